@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, classifier, decontaminate, html_text, near_dup, packing, quality_rules, secrets, training_order
+from corpusflow.llm import chat, classifier, decontaminate, html_text, near_dup, packing, quality_rules, secrets, suffix_dedup, training_order
 from corpusflow.llm.shared import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -50,5 +54,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op4_quality_classifier, op5_training_order, op6_quality_rules, op7_decontamination, op8_near_duplicates, op9_chat_formatting, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_training_order, op6_quality_rules, op7_decontamination, op8_near_duplicates, op9_chat_formatting, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
