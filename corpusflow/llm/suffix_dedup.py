@@ -25,8 +25,6 @@ columns are not passed.
 from __future__ import annotations
 
 import hashlib
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import checkpoint_dir
+from corpusflow.llm.shared import stored
 
 LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM
@@ -300,14 +298,6 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder as Parquet, smaller than a checkpoint, and read again."""
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte offsets of what goes)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -320,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spark = docs.sparkSession
         ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         rows = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), f"doc_id {kind}, text string, doc long")
-        rows = _stored(rows, "numbered")
+        rows = stored(rows, "numbered")
     texts = rows.select("doc", "text").mapInArrow(_pack, "doc long, z binary")
     found = rows.select("doc", "text").mapInArrow(_select, "k long, c long, doc long, pos int").repartition("k")
     context = Window.partitionBy("k", "c").orderBy("doc", "pos")
@@ -328,10 +318,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.withColumn("later", F.col("c").isNull() | (F.row_number().over(context) > 1))
     found = found.withColumn("n", F.count("*").over(gram)).withColumn("m", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(gram))
     found = found.where("later or m > 1").select("doc", "pos", F.when(~F.col("later"), F.col("k")).alias("k"))
-    found = _stored(found, "anchors")
+    found = stored(found, "anchors")
     asked = found.where("k is not null").groupBy("doc").agg(F.collect_list(F.struct("pos", "k")).alias("asked"))
     contexts = texts.join(asked, "doc").select("doc", "z", "asked").mapInArrow(_contexts, "k long, doc long, pos int, before binary, after binary")
-    masks = _stored(contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_shard, "doc long, pos int, mask binary"), "windows")
+    masks = stored(contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_shard, "doc long, pos int, mask binary"), "windows")
     every = found.where("k is null").select("doc", "pos", F.lit(None).cast("binary").alias("mask")).union(masks)
     per_doc = every.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
     out = texts.join(per_doc, "doc", "left").select("doc", "z", "found").mapInArrow(_remove, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
