@@ -109,7 +109,7 @@ def fold(log: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """``messages`` with formatted, and loss_start and loss_end: the code points of formatted under the loss mask."""
-    head = F.concat(F.lit(START), F.regexp_replace(escape(F.col("role")), "\n", "\\\\\\\\\n"), F.lit("\n"))
+    head = F.concat(F.lit(START), F.regexp_replace(escape(F.col("role")), "\n", "\\\\\n"), F.lit("\n"))
     body = escape(F.col("text"))
     out = messages.withColumn("formatted", F.concat(head, body, F.lit(END + "\n")))
     own = F.col("role") == "assistant"
