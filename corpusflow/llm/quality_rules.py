@@ -26,7 +26,7 @@ SYMBOL[list(b"#*$%&|<>")] = True
 #: A line is boilerplate on a host if at least this many different texts have it ...
 LINE_DOCS = 20
 #: ... with as many different neighbours before or after it as this share of those texts.
-NEIGHBOUR_SHARE = 0.5
+NEIGHBOUR_SHARE = 0.6
 #: A document is depleted if fewer words than this are left, or less than this share of its words.
 LEAST_WORDS, LEAST_SHARE = 20, 0.3
 
