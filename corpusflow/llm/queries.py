@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import chat, classifier, decontaminate, html_text, near_dup, packing, quality_rules, secrets, suffix_dedup, training_order
 from corpusflow.llm.shared import table
+from corpusflow.llm.sql import SQL
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_training_order, op6_quality_rules, op7_decontamination, op8_near_duplicates, op9_chat_formatting, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
