@@ -210,3 +210,34 @@ def spoken_form(c: ColumnLike, units: dict[str, str] = _UNITS) -> Column:
 
     parts = F.split(col(c), r"(?=<en>)|(?<=</en>)")
     return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("<en>"), x).otherwise(rules(x))), "")
+
+# fixed values: the Vietnamese digits
+DIGITS = ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")
+
+
+def _below_thousand(n: Column) -> Column:
+    digit = lambda i: F.element_at(F.array(*map(F.lit, DIGITS)), i.cast("int") + 1)
+    hundreds, rest = F.floor(n / 100), n % 100
+    tens, ones = F.floor(rest / 10), rest % 10
+    ten = F.when(tens == 1, "mười").when(tens > 1, F.concat_ws(" ", digit(tens), F.lit("mươi")))
+    one = F.when(ones == 0, F.lit(None)).when((ones == 1) & (tens > 1), "mốt").when((ones == 5) & (tens > 0), "lăm").otherwise(digit(ones))
+    low = F.when((rest < 10) & (hundreds > 0), F.when(rest > 0, F.concat_ws(" ", F.lit("lẻ"), digit(rest)))).otherwise(F.concat_ws(" ", ten, one))
+    return F.concat_ws(" ", F.when(hundreds > 0, F.concat_ws(" ", digit(hundreds), F.lit("trăm"))), F.nullif(low, F.lit("")))
+
+
+def number_words(c: ColumnLike) -> Column:
+    """An integer in Vietnamese words, up to 999 billion on either side of zero; null beyond."""
+    n = F.abs(col(c).cast("bigint"))
+    billions, millions, thousands, rest = F.floor(n / 1_000_000_000), F.floor(n / 1_000_000) % 1000, F.floor(n / 1000) % 1000, n % 1000
+    part = lambda v, name: F.when(v > 0, F.concat_ws(" ", _below_thousand(v), F.lit(name)))
+    last = F.when(rest > 0, F.when((thousands > 0) & (rest < 10), F.concat_ws(" ", F.lit("không trăm lẻ"), _below_thousand(rest))).when((thousands > 0) & (rest < 100), F.concat_ws(" ", F.lit("không trăm"), _below_thousand(rest))).otherwise(_below_thousand(rest)))
+    words = F.concat_ws(" ", F.when(col(c).cast("bigint") < 0, "âm"), part(billions, "tỷ"), part(millions, "triệu"), part(thousands, "nghìn"), last)
+    return F.when(n == 0, DIGITS[0]).when(billions < 1000, words)
+
+
+def numbers_to_words(c: ColumnLike) -> Column:
+    """The text with its whole numbers in words; numbers that are too large stay."""
+    pattern = r"(?U)\b\d+\b"
+    numbers = F.transform(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0)), lambda d: F.coalesce(number_words(F.when(F.length(d) <= 12, d)), d))
+    pieces = F.zip_with(F.split(col(c), pattern, -1), numbers, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit(""))))
+    return F.array_join(pieces, "")

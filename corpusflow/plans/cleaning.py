@@ -341,6 +341,12 @@ def nrm9_spoken_form(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.spoken_form(said)).alias("h"))
 
 
+@query()
+def nrm10_number_words(spark, sf_dir):
+    said = F.concat(F.lit("có "), (F.col("doc_id") * 7919 % 2_000_003).cast("string"), F.lit(" và "), F.col("n_chars").cast("string"), F.lit(" ký tự: "), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.numbers_to_words(said)).alias("h"))
+
+
 _W = r"SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents"
 
 

@@ -148,3 +148,16 @@ def test_prompt(spark):
 def test_nulls_stay_null(spark):
     row = spark.createDataFrame([(None,)], "t string").select(text.collapse_ws("t"), text.trim_lines("t"), text.simple_norm("t"), F.size(chunking.chunk_range("t"))).first()
     assert all(x is None or x == -1 for x in row)
+
+
+@pytest.mark.parametrize(
+    "n, said",
+    [(0, "không"), (5, "năm"), (10, "mười"), (11, "mười một"), (15, "mười lăm"), (21, "hai mươi mốt"), (45, "bốn mươi lăm"), (50, "năm mươi"), (105, "một trăm lẻ năm"), (115, "một trăm mười lăm"), (300, "ba trăm"),
+     (1005, "một nghìn không trăm lẻ năm"), (2024, "hai nghìn không trăm hai mươi bốn"), (12345, "mười hai nghìn ba trăm bốn mươi lăm"), (1_000_007, "một triệu bảy"), (3_000_020_000, "ba tỷ hai mươi nghìn"), (-4, "âm bốn"), (10**12, None)],
+)
+def test_number_words(spark, n, said):
+    assert one(spark, n, text.number_words("t"), "t long") == said
+
+
+def test_numbers_in_text(spark):
+    assert one(spark, "phòng 21, tầng 3a: 1005", text.numbers_to_words("t")) == "phòng hai mươi mốt, tầng 3a: một nghìn không trăm lẻ năm"
