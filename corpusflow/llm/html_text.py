@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import cut
+from corpusflow.llm.shared import stored
 
 #: A subtree is template on a host if at least this many different pages have it ...
 TEMPLATE_PAGES = 10
@@ -140,7 +140,7 @@ def _walk(top: _Node) -> tuple[list, str]:
     while state:
         node, at = state.pop()
         if at == 0:
-            if node.tag in BLOCK or node.drop:
+            if not node.tag or node.tag in BLOCK or node.drop:
                 flush()
             path.append(node)
             order.append(node)
@@ -154,7 +154,7 @@ def _walk(top: _Node) -> tuple[list, str]:
             else:
                 state.append((part, 0))
             continue
-        if node.tag in BLOCK or node.drop:
+        if not node.tag or node.tag in BLOCK or node.drop:
             flush()
         path.pop()
     for node in reversed(order):
@@ -192,7 +192,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text and n_chars of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = cut(rows.mapInArrow(_parse, f"page_id {kind}, url string, blocks array<string>, trees array<array<long>>, head long"))
+    parsed = stored(rows.mapInArrow(_parse, f"page_id {kind}, url string, blocks array<string>, trees array<array<long>>, head long"), "pages")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("\x00"))
     parsed = parsed.withColumn("host", host)
     seen = parsed.select("host", "head", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree"))
@@ -201,7 +201,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     total = parsed.groupBy("host").agg(F.count("*").alias("all"))
     template = heads.join(total, "host").where((F.col("pages") >= template_pages) & (F.col("pages") >= template_share * F.col("all"))).select("host", "tree")
     one = parsed.select("page_id", "url", "blocks", "trees", "host", F.xxhash64("page_id", "url", "blocks").alias("row"))
-    hit = one.select("host", "row", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).join(template, ["host", "tree"]).groupBy("row").agg(F.collect_set("tree").alias("gone"))
+    hit = one.select("host", "row", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).join(template, ["host", "tree"])
+    hit = stored(hit.groupBy("row").agg(F.collect_set("tree").alias("gone")), "templates")  # few pages, or the planner sees their size
     out = one.join(hit, "row", "left")
     kept = F.filter(F.arrays_zip("blocks", "trees"), lambda b: ~F.arrays_overlap(b["trees"], F.coalesce("gone", F.expr("cast(array() as array<bigint>)"))))
     text = F.array_join(F.transform(kept, lambda b: b["blocks"]), "\n")
