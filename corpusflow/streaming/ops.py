@@ -18,10 +18,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpusflow.functions.chunking import StreamBuffer
 
 
-def _stateful(df: DataFrame, key: str, out: str, step: Callable[[dict, dict], Iterator[dict]], order: list[str], idle_ms: int, mode: str = "append", close: Callable[[dict], Iterator[dict]] | None = None) -> DataFrame:
+def _stateful(df: DataFrame, key: str, out: str, step: Callable[[dict, dict], Iterator[dict]], order: list[str], idle_ms: int | None, mode: str = "append", close: Callable[[dict], Iterator[dict]] | None = None) -> DataFrame:
     """Fold each key's rows in order; ``step`` changes the state (a JSON object) and yields output rows.
 
-    Keys that stay idle for ``idle_ms`` are closed and forgotten.
+    Keys that stay idle for ``idle_ms`` are closed and forgotten.  A query with such a timeout keeps looking for idle
+    keys, so it doesn't end by itself under ``availableNow``; None is for runs over what is there.
     """
     names = [c.split()[0] for c in out.split(", ")]
 
@@ -36,14 +37,15 @@ def _stateful(df: DataFrame, key: str, out: str, step: Callable[[dict, dict], It
             for r in pdf.to_dict("records"):
                 rows += step(held, r)
             state.update((json.dumps(held, default=str),))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([{key: k[0]} | r for r in rows], columns=[key, *names])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "state string", mode, GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "state string", mode, GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def session_memory(turns: DataFrame, session: str, turn: str, role: str, text: str, limit: int = 3, keep: int = 2, idle_ms: int = 1_800_000) -> DataFrame:
+def session_memory(turns: DataFrame, session: str, turn: str, role: str, text: str, limit: int = 3, keep: int = 2, idle_ms: int | None = 1_800_000) -> DataFrame:
     """Rows (session, held, compressed): with more than ``limit`` turns all but ``keep`` are given out to be summarised."""
 
     def step(state, r):
@@ -72,7 +74,7 @@ def cache_counters(requests: DataFrame, status: str, size: Column, compute_ms: s
     return requests.groupBy(status).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"), F.round(F.coalesce(F.sum(compute_ms), F.lit(0.0)), 4).alias("ms"))
 
 
-def ttl_cache(requests: DataFrame, key: str, ts_s: str, order: str, ttl: float, version: str | None = None, size: str | None = None, largest: int = 8 << 20, idle_ms: int = 3_600_000) -> DataFrame:
+def ttl_cache(requests: DataFrame, key: str, ts_s: str, order: str, ttl: float, version: str | None = None, size: str | None = None, largest: int = 8 << 20, idle_ms: int | None = 3_600_000) -> DataFrame:
     """Rows (key, order, status): hit if the key was written under the same version not longer than ``ttl`` seconds ago.
 
     A miss writes the key unless its value is larger than ``largest`` bytes; a hit doesn't renew it.
@@ -91,7 +93,7 @@ def ttl_cache(requests: DataFrame, key: str, ts_s: str, order: str, ttl: float,
     return _stateful(requests, key, f"{order} {kind}, status string", step, [ts_s, order], idle_ms)
 
 
-def token_chunks(tokens: DataFrame, session: str, seq: str, token: str, is_final: str, least: int = 20, idle_ms: int = 300_000) -> DataFrame:
+def token_chunks(tokens: DataFrame, session: str, seq: str, token: str, is_final: str, least: int = 20, idle_ms: int | None = 300_000) -> DataFrame:
     """Rows (session, chunk_index, chunk) of a token stream; the rest is flushed at the final token or when it stays idle."""
 
     def give(state, chunks):
@@ -110,7 +112,7 @@ def token_chunks(tokens: DataFrame, session: str, seq: str, token: str, is_final
     return _stateful(tokens, session, "chunk_index int, chunk string", step, [seq], idle_ms, close=lambda s: give(s, StreamBuffer(least, s.get("text", "")).close()))
 
 
-def barge_in(events: DataFrame, session: str, order: str, kind: str, ts_s: str, idle_ms: int = 300_000) -> DataFrame:
+def barge_in(events: DataFrame, session: str, order: str, kind: str, ts_s: str, idle_ms: int | None = 300_000) -> DataFrame:
     """Rows (session, response_start, interrupted_at): speech that starts while a response is open interrupts and closes it.
 
     Kinds: response_start, response_end, speech_start; others pass.
@@ -127,7 +129,7 @@ def barge_in(events: DataFrame, session: str, order: str, kind: str, ts_s: str,
     return _stateful(events, session, "response_start double, interrupted_at double", step, [order], idle_ms)
 
 
-def speech_segments(events: DataFrame, session: str, order: str, kind: str, ts_ms: str, least_ms: int = 250, idle_ms: int = 30_000) -> DataFrame:
+def speech_segments(events: DataFrame, session: str, order: str, kind: str, ts_ms: str, least_ms: int = 250, idle_ms: int | None = 30_000) -> DataFrame:
     """Rows (session, start_ms, end_ms) from start and end events; open speech is closed at its last event when idle."""
 
     def give(state, end):

@@ -12,8 +12,7 @@ from corpusflow.streaming import ops
 def run(spark, df, mode="append"):
     name = "q" + uuid.uuid4().hex
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
+    assert q.awaitTermination(120) and q.exception() is None
     return spark.table(name)
 
 
@@ -25,27 +24,27 @@ def stream(spark, df, tmp_path, name):
 
 def test_session_memory(spark, tmp_path):
     rows = spark.createDataFrame([("s", i, "user", f"t{i}") for i in range(7)] + [("r", 0, "user", "x")], "session string, turn int, role string, text string")
-    got = run(spark, ops.session_memory(stream(spark, rows, tmp_path, "a"), "session", "turn", "role", "text")).collect()
+    got = run(spark, ops.session_memory(stream(spark, rows, tmp_path, "a"), "session", "turn", "role", "text", idle_ms=None)).collect()
     assert [(r.session, r.held, r.compressed.count("user")) for r in got] == [("s", 2, 2)] * 2
 
 
 def test_token_chunks_agree_with_the_batch_form(spark, tmp_path):
     words = "Xin chào bạn. Đây là một câu. Và một câu dài hơn nhiều so với câu trước đó! Hết".split(" ")
     rows = spark.createDataFrame([("s", i, w + " ", i == len(words) - 1) for i, w in enumerate(words)], "session string, seq int, token string, final boolean")
-    got = run(spark, ops.token_chunks(stream(spark, rows, tmp_path, "b"), "session", "seq", "token", "final")).orderBy("chunk_index").collect()
+    got = run(spark, ops.token_chunks(stream(spark, rows, tmp_path, "b"), "session", "seq", "token", "final", idle_ms=None)).orderBy("chunk_index").collect()
     assert [r.chunk for r in got] == [r.chunk for r in chunk_stream_buffer(rows, "session", "seq", "token").orderBy("chunk_index").collect()]
 
 
 def test_barge_in_and_segments(spark, tmp_path):
     rows = spark.createDataFrame([("s", 1, "response_start", 1.0), ("s", 2, "speech_start", 2.0), ("s", 3, "speech_start", 3.0), ("s", 4, "response_start", 4.0), ("s", 5, "response_end", 5.0), ("s", 6, "speech_start", 6.0)], "session string, o int, kind string, ts double")
-    assert [tuple(r) for r in run(spark, ops.barge_in(stream(spark, rows, tmp_path, "c"), "session", "o", "kind", "ts")).collect()] == [("s", 1.0, 2.0)]
+    assert [tuple(r) for r in run(spark, ops.barge_in(stream(spark, rows, tmp_path, "c"), "session", "o", "kind", "ts", idle_ms=None)).collect()] == [("s", 1.0, 2.0)]
     rows = spark.createDataFrame([("s", 1, "start", 0.0), ("s", 2, "end", 100.0), ("s", 3, "start", 200.0), ("s", 4, "start", 300.0), ("s", 5, "end", 600.0)], "session string, o int, kind string, ts double")
-    assert [tuple(r) for r in run(spark, ops.speech_segments(stream(spark, rows, tmp_path, "d"), "session", "o", "kind", "ts")).collect()] == [("s", 200.0, 600.0)]
+    assert [tuple(r) for r in run(spark, ops.speech_segments(stream(spark, rows, tmp_path, "d"), "session", "o", "kind", "ts", idle_ms=None)).collect()] == [("s", 200.0, 600.0)]
 
 
 def test_ttl_cache(spark, tmp_path):
     rows = spark.createDataFrame([("k", i, float(t), "v1" if i < 5 else "v2", 10 if i != 6 else 1 << 30) for i, t in enumerate([0, 5, 9, 11, 12, 13, 40, 41])], "key string, o int, ts double, version string, size long")
-    got = run(spark, ops.ttl_cache(stream(spark, rows, tmp_path, "e"), "key", "ts", "o", 10, "version", "size")).orderBy("o").collect()
+    got = run(spark, ops.ttl_cache(stream(spark, rows, tmp_path, "e"), "key", "ts", "o", 10, "version", "size", idle_ms=None)).orderBy("o").collect()
     assert [r.status for r in got] == ["miss", "hit", "hit", "miss", "hit", "miss", "miss", "miss"]
 
 
