@@ -28,7 +28,7 @@ from corpusflow.llm.shared import stored
 #: A subtree is template on a host if at least this many different pages have it ...
 TEMPLATE_PAGES = 10
 #: ... and at least this share of the host's pages.
-TEMPLATE_SHARE = 0.1
+TEMPLATE_SHARE = 0.25
 
 # fixed values: elements by what they are for
 SKIP = frozenset("script style noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea input label fieldset dialog menu head title".split())
