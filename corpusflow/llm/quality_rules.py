@@ -28,7 +28,7 @@ LINE_DOCS = 20
 #: ... with as many different neighbours before or after it as this share of those texts.
 NEIGHBOUR_SHARE = 0.6
 #: A document is depleted if fewer words than this are left, or less than this share of its words.
-LEAST_WORDS, LEAST_SHARE = 20, 0.3
+LEAST_WORDS, LEAST_SHARE = 10, 0.1
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
