@@ -1,7 +1,7 @@
 """Token-id output in training order.
 
-Every document becomes sequences of at most ``seq_len`` ids.  Sequences are numbered densely, in salted groups, and a
-keyed Feistel network over the next power of four permutes the numbers; values outside the range walk the cycle
+Every document becomes sequences of at most ``seq_len`` ids.  Sequences are numbered densely, by partition of their
+materialised table, and a keyed Feistel network over the next power of four permutes the numbers; values outside the range walk the cycle
 until they fall inside, so that every sequence gets its own global slot.  Slots are range partitioned into
 shards of ``shard_rows`` rows; a shard is one Parquet file sorted by slot whose ids column has a fixed stride
 (``2 * seq_len`` bytes, padded with zeros, n_ids tells how many count), so a reader resumes at any slot by
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from corpusflow.llm import tokens, vec
 from corpusflow.llm.shared import checkpoint_dir, cut
 
-SEQ_LEN, SHARD_ROWS, KEY, ROUNDS, SALTS = 1024, 16_384, 0x5EED, 6, 1024
+SEQ_LEN, SHARD_ROWS, KEY, ROUNDS = 1024, 16_384, 0x5EED, 6
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -50,7 +50,7 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
 
 def _cut(seq_len: int, ranks: str, json: str):
     def run(batches):
-        encode, press = tokens.encoder(ranks, json), zstandard.ZstdCompressor(level=1)
+        encode, press = tokens.encoder(ranks, json), zstandard.ZstdCompressor(level=9)
         for part in vec.slices(batches, "text"):
             ids, seq, size, body = [], [], [], []
             for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -95,14 +95,15 @@ def _pad(seq_len: int):
 
 def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, key: int = KEY, ranks: str = tokens.RANKS, json: str = tokens.JSON) -> None:
     """Write all sequences of ``docs`` in training order under ``path``, a folder per shard."""
-    parts = cut(sequences(docs, id_col, text_col, seq_len, ranks, json).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    groups = cut(parts.groupBy("salt").agg(F.count("*").alias("n")))  # at most SALTS rows
+    parts = cut(sequences(docs, id_col, text_col, seq_len, ranks, json))
+    # the cut's partitions are fixed, so a row's number is its partition's first one and its place there; nothing moves
+    placed = parts.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    groups = cut(placed.groupBy("part").agg(F.count("*").alias("n")))  # a row per partition
     n = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    before = groups.select("salt", (F.sum("n").over(Window.orderBy("salt")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("salt").orderBy("doc_id", "seq", "n_ids", "z")
-    numbered = parts.withColumn("r", F.row_number().over(order)).join(F.broadcast(before), "salt")
+    before = groups.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = placed.join(F.broadcast(before), "part")
     kind = parts.schema["doc_id"].dataType.simpleString()
-    slots = numbered.select("doc_id", "seq", "n_ids", "z", (F.col("before") + F.col("r") - 1).alias("index")).mapInArrow(_slot(n, key), f"doc_id {kind}, seq int, n_ids int, z binary, slot long")
+    slots = numbered.select("doc_id", "seq", "n_ids", "z", (F.col("before") + F.col("place")).alias("index")).mapInArrow(_slot(n, key), f"doc_id {kind}, seq int, n_ids int, z binary, slot long")
     slots = slots.withColumn("shard", (F.col("slot") / shard_rows).cast("long"))
     shards = max(1, -(-n // shard_rows))
     out = slots.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
