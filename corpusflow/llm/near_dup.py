@@ -1,17 +1,20 @@
 """MinHash near-duplicate detection on word shingles.
 
-Every distinct shingle set gets 128 universal-hash minima (multiply-shift), banded 32 x 4.  Members of a
-bucket are compared with bucket leaders, first by signature and then on the full sets; verified links
-become components by alternating large-star and small-star.  Buckets whose members are still in different
-components are compared further: by more leaders while the open pairs are many, and pair by pair across
-components once they are few, so that no candidate pair of two components stays untested and no bucket
-is ever expanded into all its pairs.
+Documents of which over a quarter of the shingles are in no other candidate can't be linked and leave early.
+Every distinct shingle set gets 256 universal-hash minima (multiply-shift); the first 128 are banded 32 x 4.  Members of
+a bucket are compared with a bucket leader, by signature (two bits of each minimum) and then on the full
+sets; verified links become components by alternating large-star and small-star.  Pairs of a bucket that are
+still in different components are compared next: all of them once they are a few per member, with more and more
+leaders before that, so that no candidate pair of two components stays untested and no bucket is ever
+expanded into all its pairs.  Leaders come from the first half of the bands; what they join needs no comparison in the
+buckets of the second.
 
-With 32 bands of 4 rows a pair of similarity 0.75 shares no bucket with probability 5e-6.
+With 32 bands of 4 rows a pair of similarity 0.75 shares no bucket with probability 5e-6; its signatures differ more
+than allowed with probability 1e-6.
 
 Null or word-free texts have an empty set and are linked with nothing.  Texts of one to four words have one
 shingle, the whole sequence.  Rows with a null id are returned alone (component null, kept).  Rows that
-repeat an id share its component.  Extra columns pass through ``dedup``; an empty table gives an empty result.
+repeat an id are each in the component of their own text.  Extra columns pass through ``dedup``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,17 +22,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm import vec
 from corpusflow.llm.shared import cut
 
-HASHES, ROWS, WORDS = 128, 4, 5
-BANDS = HASHES // ROWS
-#: Signatures that agree in fewer places than this can't come from a pair of similarity 0.75 (5 standard deviations).
-LEAST_SHARED = 72
+HASHES, BANDS, ROWS, WORDS = 256, 32, 4, 5
+#: Signatures whose minima agree in their lowest two bits in fewer places can't come from a pair of similarity 0.75:
+#: 13 in 16 agree on average, a quarter of them by chance, and this is 4.8 standard deviations below.
+LEAST_SHARED = 178
+#: Buckets are compared pair by pair across components once that is at most this many comparisons a member; only near
+#: pairs leave the comparison.
+PAIRS_PER_MEMBER = 200
 #: Ids are broadcast only up to this many; beyond it the same join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -69,7 +75,7 @@ def _sketch(batches):
         size = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(size)
         sums = np.zeros((2, len(sets)), np.int64)
-        sig = bands = None
+        bands, planes = np.zeros((len(sets), 0), np.int64), np.zeros((len(sets), 0), np.int64)
         if len(full):
             h = np.concatenate([sets[i] for i in full])
             start = np.concatenate([[0], np.cumsum(size[full])[:-1]])
@@ -79,27 +85,24 @@ def _sketch(batches):
             for k in range(HASHES):
                 sig[:, k] = np.minimum.reduceat((h * _A[k] + _B[k]) >> np.uint64(32), start)
             key = np.zeros((len(full), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * vec.BASE
-            wide = sig.astype(np.uint64).reshape(len(full), BANDS, ROWS)
+            wide = sig[:, : BANDS * ROWS].astype(np.uint64).reshape(len(full), BANDS, ROWS)
             for r in range(ROWS):
                 key = (key + wide[:, :, r]) * vec.STEP
-            bands = vec.mix(key).view(np.int64)
-        place = {int(i): j for j, i in enumerate(full)}
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column(0).cast(pa.int64()),
-                pa.array(size),
-                pa.array(sums[0]),
-                pa.array(sums[1]),
-                pa.array([bands[place[i]] if i in place else None for i in range(len(sets))], pa.list_(pa.int64())),
-                pa.array([sig[place[i]].tobytes() if i in place else None for i in range(len(sets))], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "s1", "s2", "bands", "sig"],
-        )
+            low = np.stack([sig & 1, sig >> 1 & 1], axis=1).astype(np.uint8)
+            bits = np.ascontiguousarray(np.packbits(low, axis=2)).view(np.int64).reshape(len(full), -1)
+            bands, planes = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), bits.shape[1]), np.int64)
+            bands[full], planes[full] = vec.mix(key).view(np.int64), bits
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), _lists(bands), _lists(planes)], ["doc_id", "n_shingles", "s1", "s2", "bands", "planes"])
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel(), pa.int64()))
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"
+        _sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, planes array<long>"
     )
 
 
@@ -107,27 +110,21 @@ def _pack(batches):
     press = zstandard.ZstdCompressor(level=3)
     for part in vec.slices(batches, "text"):
         z = pa.array([press.compress((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([part.column(0), z, part.column(2)], ["doc", "z", "sig"])
+        yield pa.RecordBatch.from_arrays([part.column(0), z], ["doc", "z"])
 
 
 def _verify(batches):
-    """Rows (a, b, their packed texts and signatures) to the pairs that are linked."""
+    """Rows (a, b, their packed texts) to the pairs that are linked."""
     open_ = zstandard.ZstdDecompressor().decompress
     last, last_set = None, None
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(n, HASHES) for i in (3, 5))
-        close = np.flatnonzero((sa == sb).sum(axis=1) >= LEAST_SHARED)
-        za, zb = batch.column(2), batch.column(4)
+        za, zb = batch.column(2), batch.column(3)
         keep = []
-        for at in range(0, len(close), 256):
-            some = close[at : at + 256]
-            right = shingles(pa.array([open_(zb[int(i)].as_py()).decode() for i in some], pa.string()))
+        for at in range(0, batch.num_rows, 256):
+            some = range(at, min(at + 256, batch.num_rows))
+            right = shingles(pa.array([open_(zb[i].as_py()).decode() for i in some], pa.string()))
             for i, other in zip(some, right):
-                i = int(i)
                 if a[i] != last:
                     last, last_set = a[i], shingles(pa.array([open_(za[i].as_py()).decode()], pa.string()))[0]
                 both = len(np.intersect1d(last_set, other, assume_unique=True))
@@ -137,21 +134,71 @@ def _verify(batches):
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = texts.select(F.col("doc").alias("a"), F.col("z").alias("za"), F.col("sig").alias("siga"))
-    right = texts.select(F.col("doc").alias("b"), F.col("z").alias("zb"), F.col("sig").alias("sigb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "za", "siga", "zb", "sigb")
-    return both.mapInArrow(_verify, "a long, b long")
+    """The pairs (a, b) that are linked on their full sets."""
+    left, right = (texts.select(F.col("doc").alias(c), F.col("z").alias("z" + c)) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(_verify, "a long, b long")
+
+
+def _rows(batches):
+    """Rows (h, doc), a row per shingle of a packed text."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            sets = shingles(pa.array([open_(z).decode() for z in some.column(1).to_pylist()], pa.string()))
+            size = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(some.column(0).to_numpy(), size))], ["h", "doc"])
+
+
+def _unshared(texts: DataFrame) -> DataFrame:
+    """(doc, u): how many of a document's shingles no other candidate has."""
+    held = texts.select("doc", "z").mapInArrow(_rows, "h long, doc long").groupBy("h").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"))
+    return held.where("doc = other").groupBy("doc").agg(F.count("*").alias("u"))
+
+
+def _near(one: str, two: str) -> Column:
+    """What a linked pair's sizes, unshared shingles and signatures can be; the first two bound the similarity exactly.
+
+    No shingle that only one document has is in the intersection, and all of them are in the union.
+    """
+    n, u, planes, n2, u2, planes2 = (f"{c}{side}" for side in (one, two) for c in ("n", "u", "planes"))
+    most = F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2))
+    least = F.greatest(F.col(n) + F.col(u2), F.col(n2) + F.col(u))
+    words = HASHES // 64
+    differ = F.lit(0)
+    for i in range(words):
+        low, high = (F.col(planes)[j].bitwiseXOR(F.col(planes2)[j]) for j in (i, i + words))
+        differ = differ + F.bit_count(low.bitwiseOR(high))
+    return (100 * most >= 75 * least) & (HASHES - differ >= LEAST_SHARED)
+
+
+def _led(many: DataFrame, scores: DataFrame, profile: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of members and leaders, from the first half of the bands.
+
+    The rows that go by bucket are narrow; signatures are joined to the distinct pairs.
+    """
+    half = many.where(F.col("band") < BANDS // 2).select("k", "doc")
+    lead = half.join(scores, "doc").groupBy("k").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("doc2"))
+    pairs = half.join(lead, "k").where("doc <> doc2").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(profile.select(F.col("doc").alias(c), *(F.col(x).alias(x + c) for x in ("n", "u", "planes"))), c)
+    return pairs.where(_near("a", "b")).select("a", "b")
+
+
+def _across(live: DataFrame, lead: DataFrame, one_way: bool) -> DataFrame:
+    """Near pairs (a, b) of a bucket's members and leads that are in different components."""
+    lead = lead.select("k", F.col("doc").alias("doc2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("planes").alias("planes2"))
+    pairs = live.join(lead, "k").where(F.col("comp") < F.col("comp2") if one_way else F.col("comp") != F.col("comp2")).where(_near("", "2"))
+    return pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, comp) of every id in the links (a, b): the smallest id it is connected with.
+    """(doc, comp) of every id that the links (a, b) connect with a smaller one: the smallest such.
 
     Alternates large-star (join a node's larger neighbours to its smallest one) and small-star (join its
-    smaller neighbours to the smallest), until nothing moves.  Self links are kept as single nodes.
+    smaller neighbours to the smallest), until all hang on their root.
     """
-    nodes = links.select(F.col("a").alias("doc")).union(links.select(F.col("b").alias("doc"))).distinct()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -159,77 +206,64 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            break
-        state = now
-    comp = edges.groupBy("u").agg(F.min("v").alias("v"))
-    return nodes.join(comp, nodes.doc == comp.u, "left").select("doc", F.coalesce("v", "doc").alias("comp"))
+        # done when every node hangs on one root and no root hangs on another
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("hangs").alias("h"), F.max("holds").alias("r")).where("h > 1 or (h = 1 and r = 1)").isEmpty():
+            return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
-    spark = docs.sparkSession
     sk = cut(sketches(docs, id_col, text_col))
     full = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    member = cut(full.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "rep").distinct())
-    reps = full.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    same = ["n_shingles", "s1", "s2"]
+    # members of a class have the same set, and so the same bands and planes
+    classes = full.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("planes").alias("planes"))
+    classes = cut(classes.withColumnRenamed("n_shingles", "n"))
 
-    rows = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("k"))
-    buckets = cut(rows.join(rows.groupBy("k").count().where("count > 1").select("k"), "k"))
-    ids = cut(buckets.select("doc").distinct())
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    if ids.count() <= BROADCAST_IDS:
+    rows = classes.select("doc", F.posexplode("bands").alias("band", "k"))
+    many = cut(rows.join(rows.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"))
+    # the origin of a family shares larger buckets with more members than a copy does: it leads
+    scores = cut(many.groupBy("doc").agg(F.sum("size").alias("score")))
+    ids = scores.select("doc")
+    if scores.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sigs = reps.select(F.col("doc_id").alias("doc"), "sig").join(ids, "doc", "left_semi")
-    texts = cut(source.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).join(sigs, "doc").select("doc", "text", "sig").mapInArrow(_pack, "doc long, z binary, sig binary"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = cut(source.join(ids, "doc", "left_semi").mapInArrow(_pack, "doc long, z binary"))
+    # an id that repeats with different texts has several sets: nothing of it counts as unshared
+    several = classes.groupBy("doc").count().where("count > 1").select("doc")
+    unshared = _unshared(texts).join(several, "doc", "left_anti")
+    profile = classes.select("doc", "n", "planes").join(ids, "doc", "left_semi").join(unshared, "doc", "left").fillna(0, "u")
+    profile = cut(profile.where("4 * u <= n"))  # with more than a quarter unshared, no link is possible
+    many = cut(many.select("k", "doc", "band").join(profile.select("doc").distinct(), "doc", "left_semi"))
 
-    links = comp = None
-    tested = spark.createDataFrame([], "a long, b long")
-    turn = 0
-    while True:
-        have = buckets.select("k", "doc", F.col("doc").alias("comp")) if comp is None else buckets.join(comp, "doc", "left").select("k", "doc", F.coalesce("comp", "doc").alias("comp"))
-        have = cut(have)
-        per = have.groupBy("k", "comp").agg(F.count("*").alias("n"))
-        per = per.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("c")).where("c > 1")
-        per = cut(per)
-        total = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0))).first()
-        if not total[0]:
-            break
-        live = have.join(per.select("k"), "k")
-        last = total[1] <= 4 * total[0]
-        if last:
-            other = live.select("k", F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
-            pairs = live.join(other, "k").where("comp < comp2").select("doc", F.col("doc2").alias("other"))
-            leaders = None
-        else:
-            if turn == 0:
-                leaders = live.groupBy("k").agg(F.min_by("doc", F.xxhash64("doc")).alias("other"))
-            else:
-                order = Window.partitionBy("k").orderBy(F.xxhash64("doc"), "doc")
-                leaders = live.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2**turn).select("k", F.col("doc").alias("other"))
-            leaders = cut(leaders)
-            lead = leaders.join(live.select("k", F.col("doc").alias("other"), F.col("comp").alias("comp2")), ["k", "other"])
-            pairs = live.join(lead, "k").where("comp <> comp2").select("doc", "other")
-        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(_links(pairs, texts))
-        links = found if links is None else cut(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).where("a <> b").union(found))
-        comp = cut(components(links))
-        if last:
+    tested = pairs = cut(_led(many, scores, profile))
+    comp = components(cut(_links(pairs, texts)))
+    turn, last = 0, False
+    while not last:
+        rest = many.select("k", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        per = rest.groupBy("k", "comp").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
+        live = cut(rest.join(per.select("k", "size", ((F.col("size") - F.col("own") / F.col("size")) / 2).alias("open")), "k"))
+        members, open_pairs, largest = live.agg(F.count("*"), F.sum("open"), F.max("size")).first()
+        if not members:
             break
-        tested = cut(tested.union(pairs))
-        buckets = cut(buckets.join(leaders.withColumnRenamed("other", "doc"), ["k", "doc"], "left_anti"))
         turn += 1
+        last = open_pairs <= PAIRS_PER_MEMBER * members or 4**turn >= largest
+        live = live.select("k", "doc", "comp").join(profile, "doc")
+        lead = live
+        if not last:
+            order = Window.partitionBy("k").orderBy(F.col("score").desc(), "doc")
+            lead = live.join(scores, "doc").withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4**turn)
+        pairs = cut(_across(live, lead, one_way=last).join(tested, ["a", "b"], "left_anti"))
+        found = cut(_links(pairs, texts))
+        if not found.isEmpty():
+            comp = components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(found))
+        tested = tested if last else cut(tested.union(pairs))
 
-    root = member
-    if comp is not None:
-        root = member.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("rep"))
-    # an id that repeats with different texts belongs to one component only if its sets say so; its smallest counts
-    root = root.groupBy("doc_id").agg(F.min("rep").alias("component"))
-    out = sk.select("doc_id", "n_shingles").join(root, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of = classes.select(F.col("n").alias("n_shingles"), "s1", "s2", "doc").join(comp, "doc", "left").select(*same, F.coalesce("comp", "doc").alias("root"))
+    out = sk.select("doc_id", *same).join(of, same, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -262,7 +262,7 @@ def test_fm_index():
 # op 8
 
 
-@pytest.mark.parametrize("per_member", [16, 0])
+@pytest.mark.parametrize("per_member", [200, 0])
 def test_near_duplicates(spark, docs, monkeypatch, per_member):
     monkeypatch.setattr(near_dup, "PAIRS_PER_MEMBER", per_member)
     rng = random.Random(7)
