@@ -23,7 +23,7 @@ def _as_documents(docs: DataFrame) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs).select(*COLUMNS)
+    return _as_documents(quality_rules.clean(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@
 hashed and counted per host; those above the limit are then counted exactly by distinct texts and by the
 distinct lines that stand before and after them.  A boilerplate line has other neighbours in nearly every
 document; the lines of copied documents keep theirs, so copies alone never make a line boilerplate.
-A document that such lines leave with too little text is rejected as depleted.
+A document that such lines leave with too little text is rejected as depleted; ``clean`` cuts them out of the rest.
 
 Null texts have no words.  A null host is a host of its own.  Ties don't arise: counts decide.  Repeated rows
-are judged one by one and equally.  Extra columns pass through ``keep``; an empty table gives an empty result.
+are judged one by one and equally.  Extra columns pass through ``keep`` and ``clean``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,11 +74,18 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 
+def _level(line):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _SPACE, " "), "[0-9]+", "0"))
+
+
+def _host(host_col: str):
+    return F.coalesce(F.col(host_col).cast("string"), F.lit("\x00"))
+
+
 def lines(docs: DataFrame, host_col: str, id_col: str, text_col: str) -> DataFrame:
     """The lines with a word: id, host, line hash (case, digits and white space levelled), words, text hash, neighbours."""
-    level = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), _SPACE, " "), "[0-9]+", "0"))
-    parts = F.filter(F.transform(F.split(F.col(text_col), "\n"), level), lambda x: x != "")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("host"), F.xxhash64(F.col(text_col)).alias("th"), parts.alias("p"))
+    parts = F.filter(F.transform(F.split(F.col(text_col), "\n"), _level), lambda x: x != "")
+    base = docs.select(F.col(id_col).alias("id"), _host(host_col).alias("host"), F.xxhash64(F.col(text_col)).alias("th"), parts.alias("p"))
     hashed = base.select("id", "host", "th", F.transform("p", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("p"))
     # element_at counts from 1 and takes no 0: the line before the first is null by the guard below
     near = F.transform("p", lambda x, i: F.struct(x["h"].alias("line"), x["w"].alias("w"), F.when(i > 0, F.try_element_at("p", F.greatest(i, F.lit(1)))["h"]).alias("before"), F.try_element_at("p", i + 2)["h"].alias("after")))
@@ -110,7 +117,27 @@ def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", tex
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def keep(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the rules."""
-    bad = judge(docs, host_col, id_col, text_col, **limits).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def _verdicts(docs: DataFrame, host_col: str, id_col: str, text_col: str, line_docs: int, neighbour_share: float, least_words: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a key __row of (id, host, text), and per key that fails or has boilerplate: __row, __kept, __lines (hashes)."""
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), _host(host_col), F.col(text_col)))
+    rows = lines(keyed, host_col, "__row", text_col)
+    gone = rows.join(template_lines(rows, line_docs, neighbour_share), ["host", "line"]).groupBy("id").agg(F.sum("w").alias("w"), F.collect_set("line").alias("__lines"))
+    counted = measure(keyed, "__row", text_col).groupBy("doc_id").agg(F.first("n_words").alias("n"), F.first("base_failed").alias("failed"), F.count("*").alias("copies"))
+    out = counted.join(gone, F.col("doc_id") == F.col("id"), "left").where("failed or w is not null")
+    left = F.col("n") - F.col("w") / F.col("copies")  # equal rows share a key
+    depleted = F.coalesce((left < least_words) | (left < least_share * F.col("n")), F.lit(False))
+    return keyed, out.select(F.col("doc_id").alias("__row"), (~F.col("failed") & ~depleted).alias("__kept"), "__lines")
+
+
+def keep(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the rules; rows that share an id are judged each by its own text."""
+    keyed, found = _verdicts(docs, host_col, id_col, text_col, line_docs, neighbour_share, least_words, least_share)
+    return keyed.join(found.where("not __kept").select("__row"), "__row", "left_anti").select(docs.columns)
+
+
+def clean(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """``keep`` with the boilerplate lines cut out of the texts; a text without one stays as it is."""
+    keyed, found = _verdicts(docs, host_col, id_col, text_col, line_docs, neighbour_share, least_words, least_share)
+    own = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(_level(x))))
+    out = keyed.join(found, "__row", "left").where(F.coalesce("__kept", F.lit(True)))
+    return out.withColumn(text_col, F.when(F.col("__lines").isNotNull(), F.array_join(own, "\n")).otherwise(F.col(text_col))).select(docs.columns)

@@ -230,6 +230,20 @@ def test_rules_keep_extra_columns(spark):
     assert quality_rules.keep(df).columns == df.columns and quality_rules.keep(empty(df)).count() == 0
 
 
+def test_boilerplate_lines_are_cut(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    notice = "all rights reserved by this very long notice of the site with lots of words in it 2024"
+    ends = [(i, words(30), words(30)) for i in range(40)]
+    rows = [(i, f"{a}\n {notice.upper()}\n{b}", "s", 7) for i, a, b in ends] + [(50, f"{words(7)}\n{notice}", "s", 7), (60, f"{words(30)}\n\n{notice}\n", "other", 7), (61, None, "s", 7), (62, words(30), None, 7)]
+    rows += rows[:2] + [(0, words(30), "s", 7), (1, "too short", "s", 7)]
+    # equal rows count once each: 25 words of 43 are left in both copies
+    rows += [(70, f"{words(25)}\n{notice}", "s", 7)] * 3
+    got = sorted(((r.doc_id, r.text, r.source, r.extra) for r in quality_rules.clean(spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")).collect()), key=repr)
+    want = [(i, f"{a}\n{b}", "s", 7) for i, a, b in ends + ends[:2]] + [r for r in rows if r[0] in (60, 62)] + [rows[-5]] + [(70, rows[-1][1].split("\n")[0], "s", 7)] * 3
+    assert got == sorted(want, key=repr)
+
+
 # op 7
 
 
