@@ -2,8 +2,9 @@
 
 A page is parsed once into blocks of text, each with the digests of the element subtrees around it.  Spark
 counts on how many different pages of a host each subtree occurs; a subtree that recurs on many of them is
-template and its blocks are deleted, wherever it stands.  Pages count as different by their heading, so copies of one
-page add nothing and an article that was copied many times stays.  Elements that are never article text (menus, page headers
+template and its blocks are deleted, wherever it stands.  Pages count as different by their heading, here and in the
+host's total, so copies of one page add nothing and an article that was copied many times stays.  Where most pages of a
+host share one heading, those with enough text of their own count by their text.  Elements that are never article text (menus, page headers
 and footers, sidebars, forms, scripts, styles) and containers named as notices, adverts, comments or the like
 go by name, on hosts of any size; where a page marks its article, only that is taken.
 
@@ -27,8 +28,10 @@ from corpusflow.llm.shared import stored
 
 #: A subtree is template on a host if at least this many different pages have it ...
 TEMPLATE_PAGES = 10
-#: ... and at least this share of the host's pages.
+#: ... and at least this share of the host's different pages.
 TEMPLATE_SHARE = 0.25
+#: Below a heading that most pages share, a page is different if this share of its text stands on few pages.
+OWN_SHARE = 1 / 3
 
 # fixed values: elements by what they are for
 SKIP = frozenset("script style noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea input label fieldset dialog menu head title".split())
@@ -188,17 +191,38 @@ def _parse(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(trees, pa.list_(pa.list_(pa.int64()))), pa.array(heads, pa.int64())], ["page_id", "url", "blocks", "trees", "head"])
 
 
+def _different(parsed: DataFrame, template_pages: int) -> DataFrame:
+    """``parsed`` with head told apart by the text on pages whose heading most texts of their host share.
+
+    Copies of an article, edited ones too, have next to no text of their own and keep their heading.
+    """
+    parsed = parsed.withColumn("body", F.xxhash64("blocks"))
+    bodies = parsed.groupBy("host", "head").agg(F.count_distinct("body").alias("n"))
+    every = bodies.groupBy("host").agg(F.sum("n").alias("every"))
+    # a row a host at most, stored so that the planner sees how few
+    common = stored(bodies.where(F.col("n") >= template_pages).join(every, "host").where("2 * n > every").select("host", "head"), "headings")
+    if common.isEmpty():
+        return parsed.drop("body")
+    block = parsed.join(common, ["host", "head"]).select("host", "head", "body", F.explode(F.array_distinct("blocks")).alias("b"))
+    block = block.select("host", "head", "body", F.xxhash64("b").alias("b"), F.length("b").alias("long")).distinct()
+    few = block.groupBy("host", "head", "b").agg(F.count("*").alias("n")).where(F.col("n") < template_pages).select("host", "head", "b", F.lit(1).alias("few"))
+    share = block.join(few, ["host", "head", "b"], "left").groupBy("host", "head", "body").agg(F.sum(F.coalesce(F.col("few") * F.col("long"), F.lit(0))).alias("own"), F.sum("long").alias("all"))
+    own = stored(share.where(F.col("own") >= OWN_SHARE * F.col("all")).select("host", "head", "body", F.lit(True).alias("apart")), "different")
+    out = parsed.join(own, ["host", "head", "body"], "left")
+    return out.withColumn("head", F.when(F.col("apart"), F.col("body")).otherwise(F.col("head"))).drop("body", "apart")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = stored(rows.mapInArrow(_parse, f"page_id {kind}, url string, blocks array<string>, trees array<array<long>>, head long"), "pages")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("\x00"))
-    parsed = parsed.withColumn("host", host)
+    parsed = _different(parsed.withColumn("host", host), template_pages)
     seen = parsed.select("host", "head", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree"))
     often = seen.groupBy("host", "tree").count().where(F.col("count") >= template_pages).select("host", "tree")
     heads = seen.join(often, ["host", "tree"]).distinct().groupBy("host", "tree").agg(F.count("*").alias("pages"))
-    total = parsed.groupBy("host").agg(F.count("*").alias("all"))
+    total = parsed.groupBy("host").agg(F.count_distinct("head").alias("all"))
     template = heads.join(total, "host").where((F.col("pages") >= template_pages) & (F.col("pages") >= template_share * F.col("all"))).select("host", "tree")
     one = parsed.select("page_id", "url", "blocks", "trees", "host", F.xxhash64("page_id", "url", "blocks").alias("row"))
     hit = one.select("host", "row", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).join(template, ["host", "tree"])

@@ -65,6 +65,23 @@ def test_template_subtrees_go_and_copies_stay(spark):
     assert html_text.extract(empty(spark.createDataFrame(rows[:1], "page_id long, url string, html string"))).count() == 0
 
 
+def test_template_on_a_host_of_copies(spark):
+    page = lambda i, n: (i, "http://copies/x", f"<body><div><p>menu of the site</p></div><h1>head {n}</h1><p>body {n}</p></body>")
+    rows = [page(i, i % 50) for i in range(1000)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"head {i % 50}\nbody {i % 50}" for i in range(1000)}
+
+
+def test_template_on_a_host_with_one_title(spark):
+    page = lambda i, host, paragraphs: (i, f"http://{host}/{i}", "<head><title>One title</title></head><body><div><p>menu of the site</p></div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</body>")
+    rows = [page(i, "apart", [f"body {i} of its own words"]) for i in range(40)]
+    edited = [[f"paragraph {k} of the copied article" + f" edited {i}" * (i % 8 == k) for k in range(8)] for i in range(40)]
+    rows += [page(100 + i, "copies", p) for i, p in enumerate(edited)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"body {i} of its own words" for i in range(40))
+    assert all(got[100 + i] == "\n".join(["menu of the site", *p]) for i, p in enumerate(edited))
+
+
 # op 2
 
 
