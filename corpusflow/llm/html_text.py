@@ -6,7 +6,7 @@ template and its blocks are deleted, wherever it stands.  Pages count as differe
 host's total, so copies of one page add nothing and an article that was copied many times stays.  Where most pages of a
 host share one heading, those with enough text of their own count by their text.  Elements that are never article text (menus, page headers
 and footers, sidebars, forms, scripts, styles) and containers named as notices, adverts, comments or the like
-go by name, on hosts of any size; where a page marks its article, only that is taken.
+go by name, on hosts of any size, unless they hold most of the article; where a page marks its article, only that is taken.
 
 Null or empty html gives an empty text; so does a page without text.  A null url is a host of its own.  Repeated
 rows are extracted each.  Extra columns are not passed.  Unclosed and misnested markup is repaired by the nearest
@@ -38,10 +38,13 @@ SKIP = frozenset("script style noscript template iframe object embed svg math ca
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html"}
-UNWANTED = re.compile(
-    r"(^|[-_\s])(ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comment|comments|disqus|respond|replies|sidebar|side|aside|widget|related|recommended|breadcrumb|breadcrumbs|menu|nav|navbar|navigation|header|masthead|topbar|footer|foot|pagination|pager|toolbar|skip|copyright|legal|disclaimer)($|[-_\s])",
-    re.I,
-)
+# names of what is never the article, and of parts of a layout that may also name what lies around the article
+NEVER = re.compile(r"ad|ads|advert\w*|adsense|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|comment|comments|disqus|respond|replies|related|recommended|breadcrumb|breadcrumbs|pagination|pager")
+LAYOUT = re.compile(r"banner|notice|alert|overlay|social|sidebar|side|aside|widget|menu|nav|navbar|navigation|header|masthead|topbar|footer|foot|toolbar|skip|copyright|legal|disclaimer")
+#: After one of these in a compound the word says what the layout has or lacks: has-sidebar, layout-with-nav, no-comments.
+ABOUT = frozenset("has with without no not hide hides".split())
+#: A header of one of these is a headline.
+HEADED = frozenset("article entry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HEADER_INSIDE = frozenset("article main".split())
 
@@ -50,11 +53,28 @@ def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _named(attrs: dict, inside: bool) -> str:
+    """What the class and id say of an element: "never" the article, "layout", "headline" or nothing."""
+    found = set()
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = [x for x in re.split("[-_]+", token) if x]
+        for i, word in enumerate(parts):
+            if ABOUT.intersection(parts[:i]) or (word == "side" and "by" in parts):
+                continue
+            if word == "header" and (inside or HEADED.intersection(parts[:i])):
+                found.add("headline")
+            elif NEVER.fullmatch(word):
+                found.add("never")
+            elif LAYOUT.fullmatch(word):
+                found.add("layout")
+    return next((x for x in ("never", "layout", "headline") if x in found), "")
+
+
 class _Node:
-    __slots__ = ("tag", "drop", "main", "parts", "hash")
+    __slots__ = ("tag", "drop", "main", "named", "parts", "hash")
 
-    def __init__(self, tag: str, drop: bool, main: bool):
-        self.tag, self.drop, self.main, self.parts, self.hash = tag, drop, main, [], None
+    def __init__(self, tag: str, drop: bool, main: bool, named: str = ""):
+        self.tag, self.drop, self.main, self.named, self.parts, self.hash = tag, drop, main, named, [], None
 
 
 class _Tree(HTMLParser):
@@ -89,13 +109,11 @@ class _Tree(HTMLParser):
             return
         attrs = {k: v or "" for k, v in attrs}
         drop = tag in SKIP or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        if tag == "header" and not any(n.tag in HEADER_INSIDE for n in stack):
+        named = _named(attrs, any(n.main for n in stack)) if "class" in attrs or "id" in attrs else ""
+        if tag == "header" and named != "headline" and not any(n.tag in HEADER_INSIDE for n in stack):
             drop = True
-        if not drop and tag not in ("html", "body", "article", "main"):
-            inside = any(n.main for n in stack)
-            names = (m[2].lower() for k in ("class", "id") if k in attrs for m in UNWANTED.finditer(attrs[k]))
-            drop = any(not (inside and name == "header") for name in names)
-        node = _Node(tag, bool(drop), tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody")
+        main = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+        node = _Node(tag, bool(drop), main, "" if tag in ("html", "body") else named)
         stack[-1].parts.append(node)
         stack.append(node)
 
@@ -121,6 +139,48 @@ class _Tree(HTMLParser):
         self.stack[-1].parts.append(data)
 
 
+def _settle(top: _Node):
+    """Drop the elements that go by their names, but none that holds most of the page's article.
+
+    The article is what lies in elements marked so that have no such name themselves, or else the text that nothing drops.
+    What is never the article goes unless such a marked element in it holds most of that.
+    """
+    order, up = [top], [-1]
+    at = 0
+    while at < len(order):  # by levels: every element after its parent
+        for part in order[at].parts:
+            if not isinstance(part, str):
+                order.append(part)
+                up.append(at)
+        at += 1
+    n = len(order)
+    if not any(x.named for x in order):
+        return
+    marked = [x.main and x.named not in ("never", "layout") for x in order]
+    holds = [False] * n
+    for i in range(n - 1, 0, -1):
+        holds[up[i]] |= marked[i] or holds[i]
+    gone, inside = [False] * n, [False] * n
+    size, article = [0] * n, [0] * n
+    for i, x in enumerate(order):
+        parent = up[i]
+        gone[i] = x.drop or (x.named == "never" and not x.main and not holds[i]) or (i > 0 and gone[parent])
+        inside[i] = marked[i] or (i > 0 and inside[parent])
+        if not gone[i]:
+            size[i] = sum(len("".join(p.split())) for p in x.parts if isinstance(p, str))
+            article[i] = size[i] if inside[i] else 0
+    for i in range(n - 1, 0, -1):
+        size[up[i]] += size[i]
+        article[up[i]] += article[i]
+    count = article if article[0] else size
+    largest = [0] * n  # of the marked elements inside
+    for i in range(n - 1, 0, -1):
+        largest[up[i]] = max(largest[up[i]], largest[i], count[i] if marked[i] else 0)
+    for i, x in enumerate(order):
+        if x.named in ("never", "layout") and x.tag not in ("article", "main"):
+            x.drop = x.drop or 2 * (largest[i] if x.named == "never" else count[i]) <= count[0]
+
+
 def _level(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
@@ -172,6 +232,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], int]:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    _settle(tree.top)
     blocks, heading = _walk(tree.top)
     wanted = [b for b in blocks if b[1]]
     marked = [b for b in wanted if b[2]]

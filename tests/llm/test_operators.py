@@ -82,6 +82,23 @@ def test_template_on_a_host_with_one_title(spark):
     assert all(got[100 + i] == "\n".join(["menu of the site", *p]) for i, p in enumerate(edited))
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout-with-nav", "side-by-side", "no-comments", "content-sidebar-wrap", "widget"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "{}"])
+def test_layout_names_keep_the_article(name, inner):
+    body = "<h1>Head</h1><p>a long text of the article in many words</p><div class='comments-area'><p>a comment that is very much longer than the text of the article in many words</p></div>"
+    page = f"<body><div class='main-nav'><p>menu</p></div><div class='{name}'>{inner.format(body)}<div class='sidebar'><p>beside</p></div></div><div id='site-footer'>foot</div></body>"
+    assert [t for t, _ in html_text.parse(page)[0]] == ["Head", "a long text of the article in many words"]
+
+
+def test_names_inside_and_beside_the_article():
+    parsed = lambda page: [t for t, _ in html_text.parse(page)[0]]
+    assert parsed("<article><div class='content with-sidebar banner'><p>the text itself</p></div><div class='share-box'>share</div></article>") == ["the text itself"]
+    assert parsed("<div class='entry-header'><h1>Headline</h1></div><header class='post-header'><p>By line</p></header><header><p>site</p></header><p>the text itself</p>") == ["Headline", "By line", "the text itself"]
+    cards = "<div class='related-posts'><article>one card</article><article>other card</article></div>"
+    assert parsed(f"<article><p>the text itself, which is longer than the cards</p></article>{cards}") == ["the text itself, which is longer than the cards"]
+    assert parsed("<article><p>the text</p></article><ol class='comment-list'><li><article class='comment-body'>a longer comment than the text</article></li></ol>") == ["the text"]
+
+
 # op 2
 
 
