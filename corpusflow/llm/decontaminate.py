@@ -298,14 +298,14 @@ def _strip(batches):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cols) -> DataFrame:
-    """``docs``, all columns, with the hit spans cut out of the texts; ids must be unique.
+    """``docs``, all columns, with the hit spans cut out of the texts; ids may repeat, with equal or different texts.
 
     Documents without a hit keep their text as it is; a document never goes.
     """
-    spans = occurrences(docs, benchmark, id_col=id_col, text_col=text_col, **cols).where("size(spans) > 0").select(F.col("doc_id").alias("__id"), "spans")
-    spans = cut(spans)
-    kind = docs.schema[id_col].dataType.simpleString()
-    hit = docs.join(spans, docs[id_col] == F.col("__id")).select("__id", F.col(text_col).alias("text"), "spans")
-    new = hit.mapInArrow(_strip, f"__id {kind}, __text string")
-    out = docs.join(new, docs[id_col] == F.col("__id"), "left")
-    return out.withColumn(text_col, F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(F.col(text_col))).drop("__id", "__text")
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))  # rows with one key are alike
+    spans = occurrences(keyed, benchmark, id_col="__row", text_col=text_col, **cols).where("size(spans) > 0").select(F.col("doc_id").alias("__row"), "spans")
+    spans = cut(spans.dropDuplicates(["__row"]))
+    hit = keyed.select("__row", F.col(text_col).cast("string").alias("text")).join(spans, "__row").dropDuplicates(["__row"]).select("__row", "text", "spans")
+    new = hit.mapInArrow(_strip, "__id long, __text string")
+    out = keyed.join(new, F.col("__row") == F.col("__id"), "left")
+    return out.withColumn(text_col, F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(F.col(text_col))).select(docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import cut
+from corpusflow.llm.shared import cut, stored
 
 HASHES, BANDS, ROWS, WORDS = 256, 32, 4, 5
 #: Signatures whose minima agree in their lowest two bits in fewer places can't come from a pair of similarity 0.75:
@@ -267,6 +267,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that near-duplicate detection doesn't keep."""
-    drop = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, without those that near-duplicate detection doesn't keep.
+
+    Rows that share an id are documents of their own, in the order of their texts, but equal rows are one and stay or
+    go together; rows without an id stay.
+    """
+    n, full = docs.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    if n == full:
+        drop = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col))))
+    one = keyed.where(F.col("__row").isNotNull()).select(id_col, text_col, "__row").dropDuplicates(["__row"])
+    # numbers rise with the sorted partitions; stored, or they could change when a row is computed again
+    named = stored(one.orderBy(id_col, text_col).withColumn("__n", F.monotonically_increasing_id()), "rows")
+    drop = near_duplicates(named, "__n", text_col).where("not kept").select(F.col("doc_id").alias("__n"))
+    return keyed.join(named.join(drop, "__n").select("__row"), "__row", "left_anti").select(docs.columns)

@@ -294,6 +294,16 @@ def test_contamination(spark, docs, items):
     assert decontaminate.report(rows, empty(both)).where("contaminated").count() == 0 and decontaminate.report(empty(rows), both).count() == 0
 
 
+def test_contaminated_rows_with_repeated_ids(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "one item of the benchmark that is long enough to be found whole"), (2, "another item that no text has")], "item_id long, text string")
+    leak = "so one item of the benchmark that is long enough to be found whole it is"
+    rows = [(1, leak, 5), (1, leak, 5), (1, "clean text", 5), (2, "clean text", 5), (None, leak, 5), (3, f"{leak} and {leak}", 5), (3, leak, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    want = sorted(((d, t.replace(leak, "so  it is"), x) for d, t, x in rows), key=repr)
+    for block in (8 << 20, 60):
+        assert sorted((tuple(r) for r in decontaminate.clean(docs, bench, block_chars=block).collect()), key=repr) == want
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     for n in (1, 2, 50, 400):
@@ -328,6 +338,13 @@ def test_near_duplicate_edges(spark):
     assert near_dup.near_duplicates(empty(df)).count() == 0
 
 
+def test_dedup_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 5), (2, a, 5), (2, b, 5), (3, c, 5), (3, c, 5), (4, f"{c} more", 5), (None, c, 5)]
+    got = near_dup.dedup(spark.createDataFrame(rows, "doc_id long, text string, extra int"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, a, 5), (2, b, 5), (3, c, 5), (3, c, 5), (None, c, 5)], key=repr)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 75), (200, 200)]
     got = {r.doc: r.comp for r in near_dup.components(spark.createDataFrame(path, "a long, b long")).collect()}
