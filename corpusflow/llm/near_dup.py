@@ -3,18 +3,20 @@
 Documents of which over a quarter of the shingles are in no other candidate can't be linked and leave early.
 Every distinct shingle set gets 256 universal-hash minima (multiply-shift); the first 128 are banded 32 x 4.  Members of
 a bucket are compared with a bucket leader, by signature (two bits of each minimum) and then on the full
-sets; verified links become components by alternating large-star and small-star.  Pairs of a bucket that are
-still in different components are compared next: all of them once they are a few per member, with more and more
-leaders before that, so that no candidate pair of two components stays untested and no bucket is ever
-expanded into all its pairs.  Leaders come from the first half of the bands; what they join needs no comparison in the
-buckets of the second.
+sets; verified links become components by alternating large-star and small-star.  Leaders come from the first half of
+the bands.  What the members of a bucket are still apart in, they settle without the bucket's pairs: all shingles of
+these documents are put in one order, rarest first, and a linked pair must share a shingle among the first places of both
+(prefix filter with positions).  An edited copy's first places are its own edits, so a copy that is too far from its
+origin meets none of the origin's other copies there.  Families whose copies would still meet too often elect further leaders
+first, as long as that links them.
 
 With 32 bands of 4 rows a pair of similarity 0.75 shares no bucket with probability 5e-6; its signatures differ more
 than allowed with probability 1e-6.
 
 Null or word-free texts have an empty set and are linked with nothing.  Texts of one to four words have one
-shingle, the whole sequence.  Rows with a null id are returned alone (component null, kept).  Rows that
-repeat an id are each in the component of their own text.  Extra columns pass through ``dedup``; an empty table gives an empty result.
+shingle, the whole sequence; texts of any length are taken whole.  Rows with a null id are returned alone (component null,
+kept).  Rows that repeat an id are each in the component of their own text.  Ties: the smallest id stands for its
+component.  Extra columns pass through ``dedup``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ HASHES, BANDS, ROWS, WORDS = 256, 32, 4, 5
 #: Signatures whose minima agree in their lowest two bits in fewer places can't come from a pair of similarity 0.75:
 #: 13 in 16 agree on average, a quarter of them by chance, and this is 4.8 standard deviations below.
 LEAST_SHARED = 178
-#: Buckets are compared pair by pair across components once that is at most this many comparisons a member; only near
-#: pairs leave the comparison.
-PAIRS_PER_MEMBER = 200
+#: The last join is made once it compares at most this many places of shingles a member, or leaders find few links more.
+COMPARED = 1000
+LEAST_LED = 0.02
+#: Size classes per doubling of a document's number of shingles.
+SIZE_CLASSES = 32
 #: Ids are broadcast only up to this many; beyond it the same join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -179,17 +183,64 @@ def _led(many: DataFrame, scores: DataFrame, profile: DataFrame) -> DataFrame:
     """
     half = many.where(F.col("band") < BANDS // 2).select("k", "doc")
     lead = half.join(scores, "doc").groupBy("k").agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("doc2"))
-    pairs = half.join(lead, "k").where("doc <> doc2").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    return _profiled(half.join(lead, "k").where("doc <> doc2"), profile)
+
+
+def _profiled(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The distinct near pairs (a, b) of the rows (doc, doc2)."""
+    pairs = pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
     for c in ("a", "b"):
         pairs = pairs.join(profile.select(F.col("doc").alias(c), *(F.col(x).alias(x + c) for x in ("n", "u", "planes"))), c)
     return pairs.where(_near("a", "b")).select("a", "b")
 
 
-def _across(live: DataFrame, lead: DataFrame, one_way: bool) -> DataFrame:
-    """Near pairs (a, b) of a bucket's members and leads that are in different components."""
-    lead = lead.select("k", F.col("doc").alias("doc2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("planes").alias("planes2"))
-    pairs = live.join(lead, "k").where(F.col("comp") < F.col("comp2") if one_way else F.col("comp") != F.col("comp2")).where(_near("", "2"))
-    return pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+def _prefixes(live: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (doc, n, h, at): the shingles of the live documents (doc, n) that can be the first common one of a linked pair.
+
+    Every document's shingles are put in one order, rarest first; ``at`` is a shingle's place in it.  Shingles that no other live
+    document holds take the first places and need no row.
+    """
+    held = texts.join(live.select("doc"), "doc", "left_semi").mapInArrow(_rows, "h long, doc long")
+    shared = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    place = Window.partitionBy("doc")
+    ranked = held.join(shared, "h").withColumn("r", F.row_number().over(place.orderBy("df", "h"))).withColumn("m", F.count("*").over(place))
+    return ranked.join(live, "doc").withColumn("at", F.col("n") - F.col("m") + F.col("r") - 1).where("4 * at <= n").select("doc", "n", "h", "at")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(n) * SIZE_CLASSES).cast("int")
+
+
+def _meetings(places: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of ``places`` as the smaller and as the larger document of a pair, by shingle h and the smaller one's size class c.
+
+    A pair is linked if 7 * common >= 3 * (n + n2).  Its first common shingle, at places ``at`` and ``at2``, leaves at most n - at and
+    n2 - at2 common ones, so 3 * n2 <= 4 * n - 7 * at and the other way round.  What only one component holds is left out; ``major``
+    marks the component that holds most of a key, whose members needn't meet each other.
+    """
+    places = places.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    small = places.where("7 * at <= n").withColumn("c", _size_class(F.col("n"))).withColumn("small", F.lit(True))
+    most = F.least(F.col("n"), F.floor((4 * F.col("n") - 7 * F.col("at")) / 3))
+    classes = F.sequence(_size_class(F.ceil(F.col("n") * 3 / 4)), _size_class(most))
+    large = places.withColumn("c", F.explode(classes)).withColumn("small", F.lit(False))
+    rows = small.unionByName(large)
+    held = rows.groupBy("h", "c", "comp").agg(F.count("*").alias("m")).groupBy("h", "c").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("most"), F.count("*").alias("comps"))
+    return cut(rows.join(held.where("comps > 1"), ["h", "c"]).withColumn("major", F.expr("comp = most")).drop("most", "comps"))
+
+
+def _comparisons(rows: DataFrame) -> int:
+    """How many rows of the last join are compared."""
+    n = lambda cond: F.count_if(F.expr(cond))
+    each = rows.groupBy("h", "c").agg((n("small and not major") * n("not small") + n("small and major") * n("not small and not major")).alias("x"))
+    return each.agg(F.sum("x")).first()[0] or 0
+
+
+def _first_common(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components whose first common shingle allows a link."""
+    large = rows.where("not small").select("h", "c", *(F.col(x).alias(x + "2") for x in ("doc", "comp", "n", "at", "major")))
+    fits = "comp <> comp2 and n <= n2 and 3 * n2 <= 4 * n - 7 * at and 3 * n <= 4 * n2 - 7 * at2"
+    out = rows.where("small and not major").join(large, ["h", "c"]).where(fits).unionByName(rows.where("small and major").join(large.where("not major2"), ["h", "c"]).where(fits))
+    return out.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,8 +263,24 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
+def _open(many: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows (k, doc, comp) of buckets whose members are in several components."""
+    rest = many.select("k", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    several = rest.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return cut(rest.join(several, "k", "left_semi").select("k", "doc", "comp"))
+
+
+def _next_led(live: DataFrame, scores: DataFrame, profile: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of members and their bucket's best leader outside the component of the first one."""
+    rows = live.join(scores, "doc")
+    best = F.struct("score", -F.col("doc"))
+    first = rows.groupBy("k").agg(F.max_by("comp", best).alias("led"))
+    second = rows.join(first, "k").where("comp <> led").groupBy("k").agg(F.max_by(F.struct(F.col("doc").alias("doc2"), F.col("comp").alias("comp2")), best).alias("s")).select("k", "s.*")
+    return _profiled(live.join(second, "k").where("comp <> comp2"), profile)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles and root, the smallest id of its component, of every row; ids don't repeat with different texts."""
     sk = cut(sketches(docs, id_col, text_col))
     full = sk.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "s1", "s2"]
@@ -229,39 +296,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if scores.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(source.join(ids, "doc", "left_semi").mapInArrow(_pack, "doc long, z binary"))
-    # an id that repeats with different texts has several sets: nothing of it counts as unshared
-    several = classes.groupBy("doc").count().where("count > 1").select("doc")
-    unshared = _unshared(texts).join(several, "doc", "left_anti")
-    profile = classes.select("doc", "n", "planes").join(ids, "doc", "left_semi").join(unshared, "doc", "left").fillna(0, "u")
+    texts = cut(source.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_pack, "doc long, z binary"))
+    profile = classes.select("doc", "n", "planes").join(ids, "doc", "left_semi").join(_unshared(texts), "doc", "left").fillna(0, "u")
     profile = cut(profile.where("4 * u <= n"))  # with more than a quarter unshared, no link is possible
-    many = cut(many.select("k", "doc", "band").join(profile.select("doc").distinct(), "doc", "left_semi"))
-
-    tested = pairs = cut(_led(many, scores, profile))
-    comp = components(cut(_links(pairs, texts)))
-    turn, last = 0, False
-    while not last:
-        rest = many.select("k", "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        per = rest.groupBy("k", "comp").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
-        live = cut(rest.join(per.select("k", "size", ((F.col("size") - F.col("own") / F.col("size")) / 2).alias("open")), "k"))
-        members, open_pairs, largest = live.agg(F.count("*"), F.sum("open"), F.max("size")).first()
-        if not members:
-            break
-        turn += 1
-        last = open_pairs <= PAIRS_PER_MEMBER * members or 4**turn >= largest
-        live = live.select("k", "doc", "comp").join(profile, "doc")
-        lead = live
-        if not last:
-            order = Window.partitionBy("k").orderBy(F.col("score").desc(), "doc")
-            lead = live.join(scores, "doc").withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4**turn)
-        pairs = cut(_across(live, lead, one_way=last).join(tested, ["a", "b"], "left_anti"))
+    many = cut(many.select("k", "doc", "band").join(profile.select("doc"), "doc", "left_semi"))
+
+    tested = cut(_led(many, scores, profile))
+    comp = components(cut(_links(tested, texts)))
+    live = _open(many, comp)
+    places = cut(_prefixes(live.select("doc").distinct().join(profile.select("doc", "n"), "doc"), texts))
+    members, rows = places.select("doc").distinct().count(), _meetings(places, comp)
+    while _comparisons(rows) > COMPARED * members:  # many may be linked with each other: further leaders first
+        pairs = cut(_next_led(live, scores, profile).join(tested, ["a", "b"], "left_anti"))
         found = cut(_links(pairs, texts))
-        if not found.isEmpty():
-            comp = components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(found))
-        tested = tested if last else cut(tested.union(pairs))
+        if found.count() < LEAST_LED * members or found.isEmpty():
+            break
+        tested = cut(tested.union(pairs))
+        comp = components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(found))
+        live, rows = _open(many, comp), _meetings(places, comp)
+    last = cut(_links(cut(_first_common(rows).join(tested, ["a", "b"], "left_anti")), texts))
+    if not last.isEmpty():
+        comp = components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(last))
 
     of = classes.select(F.col("n").alias("n_shingles"), "s1", "s2", "doc").join(comp, "doc", "left").select(*same, F.coalesce("comp", "doc").alias("root"))
-    out = sk.select("doc_id", *same).join(of, same, "left")
+    return sk.select("doc_id", *same).join(of, same, "left").select("doc_id", "n_shingles", "root")
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """The different rows (id, text) that have an id, numbered in that order, or None if no id repeats."""
+    n, full = docs.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    if n == full:
+        return None
+    one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(id_col, text_col).alias("__row")).dropDuplicates(["__row"])
+    # numbers rise with the sorted partitions; stored, or they could change when a row is computed again
+    return stored(one.orderBy("__id", "__text").withColumn("__n", F.monotonically_increasing_id()), "rows")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
+    named = _numbered(docs, id_col, text_col)
+    if named is None:
+        out = _classes(docs, id_col, text_col)
+    else:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, text_col)).alias("__row"), F.col(text_col).alias("__text"))
+        found = _classes(named, "__n", "__text").withColumnRenamed("doc_id", "__n").join(named.select("__n", "__row"), "__n")
+        found = found.join(named.select(F.col("__n").alias("root"), F.col("__id").cast("long").alias("id")), "root", "left").select("__row", "n_shingles", F.col("id").alias("root"))
+        alone = rows.where("__row is null").select(F.col("doc_id"), "__text")
+        out = rows.where("__row is not null").join(found, "__row").select("doc_id", "n_shingles", "root").union(sketches(alone, "doc_id", "__text").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -272,13 +353,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows that share an id are documents of their own, in the order of their texts, but equal rows are one and stay or
     go together; rows without an id stay.
     """
-    n, full = docs.agg(F.count(id_col), F.count_distinct(id_col)).first()
-    if n == full:
-        drop = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    named = _numbered(docs, id_col, text_col)
+    if named is None:
+        drop = _classes(docs, id_col, text_col).where("doc_id <> root").select(F.col("doc_id").alias("__gone"))
         return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    drop = _classes(named, "__n", "__text").where("doc_id <> root").select(F.col("doc_id").alias("__n"))
     keyed = docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col))))
-    one = keyed.where(F.col("__row").isNotNull()).select(id_col, text_col, "__row").dropDuplicates(["__row"])
-    # numbers rise with the sorted partitions; stored, or they could change when a row is computed again
-    named = stored(one.orderBy(id_col, text_col).withColumn("__n", F.monotonically_increasing_id()), "rows")
-    drop = near_duplicates(named, "__n", text_col).where("not kept").select(F.col("doc_id").alias("__n"))
     return keyed.join(named.join(drop, "__n").select("__row"), "__row", "left_anti").select(docs.columns)

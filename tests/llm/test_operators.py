@@ -320,9 +320,9 @@ def test_fm_index():
 # op 8
 
 
-@pytest.mark.parametrize("per_member", [200, 0])
-def test_near_duplicates(spark, docs, monkeypatch, per_member):
-    monkeypatch.setattr(near_dup, "PAIRS_PER_MEMBER", per_member)
+@pytest.mark.parametrize("compared", [1000, 0])
+def test_near_duplicates(spark, docs, monkeypatch, compared):
+    monkeypatch.setattr(near_dup, "COMPARED", compared)
     rng = random.Random(7)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     family = [" ".join(w if rng.random() > 0.012 else f"e{rng.randrange(10**6)}" for w in base) for _ in range(60)]
