@@ -92,8 +92,13 @@ def chunk_fixed(c: ColumnLike, size: int = 600, overlap: int = 0, drop: int = 60
 def chunk_words(c: ColumnLike, window: int = 200, stride: int = 150, min_chars: int = 80) -> Column:
     """Windows of ``window`` words every ``stride`` words; shorter texts than ``min_chars`` are dropped."""
     words = F.filter(F.split(col(c), r"\s+"), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(stride))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(words, i, window), " ")), lambda x: F.length(x) >= min_chars)
+
+    def windows(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1)), F.lit(stride))
+        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(held, i, window), " ")), lambda x: F.length(x) >= min_chars)
+
+    # a lambda variable is split once; the words themselves would be split for every window
+    return F.transform(F.array(words), windows)[0]
 
 
 def _window(sentences: list[str], text: str, window: int, stride: int) -> list[str]:
@@ -251,20 +256,26 @@ class StreamBuffer:
 
     def __init__(self, least: int = 20, text: str = ""):
         self.least, self.text = least, text
+        half = least // 2
+        # greedy up to the last place that may be cut: a mark with half of ``least`` before it, a space from there to twice ``least``
+        self.sentence = re.compile(rf"(?s).{{{half},}}[.!?]")
+        self.phrase = re.compile(rf"(?s).{{{half},{2 * least - 1}}}(?= )")
+
+    def _head(self) -> int:
+        """How many characters are ready to be given out."""
+        if len(self.text) < self.least:
+            return 0
+        whole = self.sentence.match(self.text)
+        if whole is None and len(self.text) > 2 * self.least:
+            whole = self.phrase.match(self.text)
+        return whole.end() if whole else 0
 
     def add(self, token: str) -> list[str]:
         self.text += re.sub(r"\n+", " ", token)
-        out, half = [], self.least // 2
-        while len(self.text) >= self.least:
-            at = max(self.text.rfind(m) for m in ".!?") + 1
-            if at - 1 < half:
-                if len(self.text) <= 2 * self.least:
-                    break
-                at = self.text.rfind(" ", half, 2 * self.least)
-                if at <= 0:
-                    break
-            out.append(self.text[:at].rstrip())
-            self.text = self.text[at:]
+        out = []
+        while n := self._head():
+            out.append(self.text[:n].rstrip())
+            self.text = self.text[n:]
         return out
 
     def close(self) -> list[str]:

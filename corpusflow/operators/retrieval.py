@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import ColumnLike, col, strip, tokens
+from corpusflow.session import stored
 
 #: Query vectors go to the tasks in blocks of at most this many; more queries, more passes over the chunks.
 QUERY_BLOCK = 20_000
+#: Terms of queries, each counted for its query, that go to the tasks at once, and scores that a task holds at once.
+TERM_BLOCK, SCORED_CELLS = 500_000, 4_000_000
 
 
 def dot(a: ColumnLike, b: ColumnLike) -> Column:
@@ -30,51 +35,90 @@ def top_ranked(scored: DataFrame, key: str, score: str, tie: str, k: int) -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` chunks with the highest cosine for each query: query, chunk, score, rank.
-
-    The query set is stated and goes to the tasks in blocks; each task multiplies its chunks with a block and keeps
-    the block's best ``k`` so far, so what is shuffled is k rows per query and task, not every pair.
-    """
-    q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), chunks.schema[chunk_id].dataType.simpleString()
-    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"))
-    n = asked.count()
-    parts = []
-    for i in range(max(1, -(-n // block))):
-        rows = (asked if n <= block else asked.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // block))) == i)).toPandas()
+def _blocks(asked: DataFrame, block: int):
+    """The rows of a stated query set, a column q among them, in blocks of about ``block`` rows, one after the other on the driver."""
+    parts = -(-asked.count() // block)
+    for i in range(parts):
+        rows = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i)).toPandas()
         if len(rows):
-            parts.append(chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_vec).alias("v")).mapInPandas(_best(rows, k, digits), f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double"))
+            yield rows
+
+
+def _over_blocks(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     if not parts:
-        return queries.sparkSession.createDataFrame([], f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double, rank int")
+        return spark.createDataFrame([], schema)
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
+    return found
+
+
+def vector_scan(queries: DataFrame, chunks: DataFrame, keep, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, schema: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """What ``keep(score matrix, chunk ids)`` leaves of the cosines of a block of queries and a batch of chunks: rows (query number, columns of ``schema`` after the first).
+
+    The query set is stated and goes to the tasks in blocks; each task multiplies its chunks with a block.  Rows without a vector are left out.
+    """
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v")).where("v is not null")
+    rows = chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_vec).alias("v")).where("v is not null")
+    return _over_blocks([rows.mapInPandas(_scanned(b, keep, digits), schema) for b in _blocks(asked, block)], queries.sparkSession, schema)
+
+
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` chunks with the highest cosine for each query: query, chunk, score, rank.
+
+    Each batch keeps its best ``k`` a query, and each task the best of its batches; k rows a query and task are shuffled, not every pair.
+    """
+    q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), chunks.schema[chunk_id].dataType.simpleString()
+
+    def best(score, own):
+        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+        return np.repeat(np.arange(len(score)), order.shape[1]), own[order.ravel()], np.take_along_axis(score, order, 1).ravel()
+
+    found = vector_scan(queries, chunks, best, query_id, query_vec, chunk_id, chunk_vec, f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double", digits, block)
     return top_ranked(found, query_id, "score", chunk_id, k)
 
 
-def _best(rows: pd.DataFrame, k: int, digits: int):
+def vector_at_least(queries: DataFrame, chunks: DataFrame, least: float, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """Every pair of a query and a chunk with a cosine of at least ``least``: query, chunk, score."""
+    q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), chunks.schema[chunk_id].dataType.simpleString()
+
+    def good(score, own):
+        q, c = np.nonzero(score >= least)
+        return q, own[c], score[q, c]
+
+    return vector_scan(queries, chunks, good, query_id, query_vec, chunk_id, chunk_vec, f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double", digits, block)
+
+
+def vector_summary(queries: DataFrame, chunks: DataFrame, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """Per query over all chunks but the one of its own id: n, total, least and best of the cosines."""
+    q_kind = queries.schema[query_id].dataType.simpleString()
+
+    def summed(score, own, ids):
+        other = ids[:, None] != own[None, :]
+        n = other.sum(axis=1)
+        some = n > 0
+        low, high = np.where(other, score, np.inf).min(axis=1), np.where(other, score, -np.inf).max(axis=1)
+        return np.flatnonzero(some), n[some], (score * other).sum(axis=1)[some], low[some], high[some]
+
+    parts = vector_scan(queries, chunks, summed, query_id, query_vec, chunk_id, chunk_vec, f"{query_id} {q_kind}, n long, total double, least double, best double", digits, block)
+    return parts.groupBy(query_id).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("best").alias("best"))
+
+
+def _scanned(rows: pd.DataFrame, keep, digits: int):
     def unit(v) -> np.ndarray:
         m = np.stack([np.asarray(x, float) for x in v])
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(size > 0, size, 1)
 
     ids, matrix = rows["q"].to_numpy(), unit(rows["v"])
+    by_id = keep.__code__.co_argcount == 3
 
     def run(frames):
-        held = None
         for pdf in frames:
-            pdf = pdf[pdf["v"].notna()]
-            if not len(pdf):
-                continue
-            score = np.round(matrix @ unit(pdf["v"]).T, digits)
-            own = pdf["c"].to_numpy()
-            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            new = pd.DataFrame({"q": q, "c": own[order.ravel()], "s": np.take_along_axis(score, order, 1).ravel()})
-            held = new if held is None else pd.concat([held, new])
-            held = held.sort_values(["q", "s", "c"], ascending=[True, False, True]).groupby("q").head(k)
-        if held is not None:
-            yield pd.DataFrame({0: ids[held["q"]], 1: held["c"].to_numpy(), 2: held["s"].to_numpy()})
+            if len(pdf):
+                score, own = np.round(matrix @ unit(pdf["v"]).T, digits), pdf["c"].to_numpy()
+                q, *cols = keep(score, own, ids) if by_id else keep(score, own)
+                yield pd.DataFrame({0: ids[q]} | dict(enumerate(cols, 1)))
 
     return run
 
@@ -90,25 +134,61 @@ def threshold_keep_first(df: DataFrame, rank: str, score: str, least: float) ->
     return df.where((F.col(rank) == 1) | (F.col(score) >= least))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 4) -> DataFrame:
-    """Okapi BM25 through an inverted index: query, doc, score, rank.
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 4, block: int = TERM_BLOCK) -> DataFrame:
+    """Okapi BM25 of a stated query set over all documents: query, doc, score, rank.
 
-    Negative inverse document frequencies are replaced by ``epsilon`` times the average one.  Only postings of
-    query terms are joined and aggregated; a query is never paired with documents that share no term with it.
+    Negative inverse document frequencies are replaced by ``epsilon`` times the average one.  Tokens are made once and kept in the
+    shared folder.  The weights of a block of queries' terms go to the tasks, which hold them as an inverted index, score their
+    documents by the terms they share with a query and keep the best ``k``; postings aren't shuffled.
     """
-    words = docs.select(F.col(doc_id).alias("__d"), tokens(doc_text).alias("t"))
-    terms = queries.select(F.col(query_id).alias("__q"), F.explode(tokens(query_text)).alias("term")).groupBy("__q", "term").agg(F.count("*").alias("times"))
-    postings = words.select("__d", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("__d", "len", "term").agg(F.count("*").alias("tf"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n")))
-    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf").alias("mean_idf"))
-    idf = df.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    asked = terms.join(idf, "term")
-    hit = postings.join(asked, "term").crossJoin(F.broadcast(totals.select("avg_len")))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("times")
-    scored = hit.groupBy("__q", "__d").agg(F.round(F.sum(part), digits).alias("score"))
-    return top_ranked(scored.select(F.col("__q").alias(query_id), F.col("__d").alias(doc_id), "score"), query_id, "score", doc_id, k)
+    spark = queries.sparkSession
+    q_kind, d_kind = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+    schema = f"{query_id} {q_kind}, {doc_id} {d_kind}, score double"
+    words = stored(docs.select(F.col(doc_id).alias("d"), tokens(doc_text).alias("t")), "tokens")
+    df = stored(words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    n, avg_len = words.agg(F.count("*"), F.avg(F.size("t"))).first()
+    idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.agg(F.avg(idf)).first()[0]
+    terms = queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
+    asked = terms.join(df, "term").select("q", "term", (F.when(idf < 0, F.lit(epsilon * mean if mean is not None else None)).otherwise(idf) * F.col("times")).alias("weight"))
+    parts = [words.mapInArrow(_scored(rows, k, k1, b, avg_len, digits), schema) for rows in _blocks(asked, block)]
+    return top_ranked(_over_blocks(parts, spark, schema), query_id, "score", doc_id, k)
+
+
+def _scored(rows: pd.DataFrame, k: int, k1: float, b: float, avg_len: float, digits: int):
+    ids, q = np.unique(rows["q"].to_numpy(), return_inverse=True)
+    names, term = np.unique(rows["term"].to_numpy().astype(str), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    start = np.searchsorted(term[order], np.arange(len(names) + 1))
+    q, weight = q[order], rows["weight"].to_numpy()[order]
+    code = {t: i for i, t in enumerate(names.tolist())}
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, max(1, SCORED_CELLS // len(ids))):
+                part = batch.slice(low, max(1, SCORED_CELLS // len(ids)))
+                held = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
+                size = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = held.flatten().dictionary_encode()
+                coded = np.array([code.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+                at = coded[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+                doc = np.repeat(np.arange(len(size)), size)
+                pair, tf = np.unique((doc * len(names) + at)[at >= 0], return_counts=True)
+                doc, at = pair // len(names), pair % len(names)
+                part_score = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avg_len))
+                many = start[at + 1] - start[at]
+                posting = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[at], many)
+                cell = q[posting] * len(size) + np.repeat(doc, many)
+                total = np.bincount(cell, weight[posting] * np.repeat(part_score, many), len(ids) * len(size)).reshape(len(ids), len(size))
+                met = np.zeros(total.shape, bool)
+                met.ravel()[cell] = True
+                total = np.where(met, np.round(total, digits), -np.inf)
+                if len(size) > k:  # ties at the k-th score stay for the last ranking
+                    met &= total >= np.partition(total, len(size) - k, axis=1)[:, len(size) - k, None]
+                x, y = np.nonzero(met)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), part.column(0).take(pa.array(y)), pa.array(total[x, y])], ["q", "d", "s"])
+
+    return run
 
 
 def context_scores(ranked: DataFrame, key: str, rank: str, score: str, digits: int = 4) -> DataFrame:

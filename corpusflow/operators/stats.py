@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,10 @@ from pyspark.sql.window import Window
 from corpusflow.functions.text import ColumnLike, col, simple_norm
 
 
+#: Ranges that a running total over all values is taken by.
+RANGES = 10_000
+
+
 def _by(df: DataFrame, by: list[str]):
     return df.groupBy(*by)
 
@@ -130,13 +136,15 @@ def top_counts(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), key).limit(n)
 
 
-def corpus_report(docs: DataFrame, scores: DataFrame, question: str, score: str, text: str, cuts=(0.9, 0.7, 0.5)) -> DataFrame:
-    """One row: documents, average text length, questions covered, score mean/min/max, questions whose best score reaches each cut."""
-    best = scores.groupBy(question).agg(F.max(score).alias("best"))
+def corpus_report(docs: DataFrame, summary: DataFrame, text: str, cuts=(0.9, 0.7, 0.5)) -> DataFrame:
+    """One row: documents, average text length, questions covered, score mean/min/max, questions whose best score reaches each cut.
+
+    ``summary`` has n, total, least and best of the scores of a question, as ``retrieval.vector_summary`` gives them.
+    """
     a = docs.agg(F.count("*").alias("docs"), F.round(F.avg(F.length(text)), 4).alias("avg_chars"))
-    b = scores.agg(F.round(F.avg(score), 4).alias("score_mean"), F.round(F.min(score), 4).alias("score_min"), F.round(F.max(score), 4).alias("score_max"))
-    c = best.agg(F.count("*").alias("questions"), *(F.count_if(F.col("best") >= t).alias(f"best_ge_{round(100 * t)}") for t in cuts))
-    return a.crossJoin(b).crossJoin(c)  # three rows of one row each
+    reach = (F.count_if(F.col("best") >= t).alias(f"best_ge_{round(100 * t)}") for t in cuts)
+    b = summary.agg(F.round(F.sum("total") / F.sum("n"), 4).alias("score_mean"), F.round(F.min("least"), 4).alias("score_min"), F.round(F.max("best"), 4).alias("score_max"), F.count("*").alias("questions"), *reach)
+    return a.crossJoin(b)  # two rows of one row each
 
 
 def cache_stats(df: DataFrame, status: str, compute_ms: str, size: Column, by: list[str] = ()) -> DataFrame:
@@ -193,12 +201,13 @@ def dunn_holm(df: DataFrame, condition: str, value: str) -> DataFrame:
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(condition).alias("c"), F.col(value).alias("v"))
     counts = rows.groupBy("v").agg(F.count("*").alias("t"))
-    # a running total over all values by ranges: totals of the ranges first, then within each
-    bounds = counts.select("v", "t", F.floor(F.col("v")).alias("b"))
-    per = bounds.groupBy("b").agg(F.sum("t").alias("bt"))
-    before = per.alias("x").join(per.alias("y"), F.expr("y.b < x.b"), "left").groupBy("x.b").agg(F.coalesce(F.sum("y.bt"), F.lit(0)).alias("before"))
+    # a running total over all values by ranges of equal width: totals of the ranges first, at most RANGES rows, then within each
+    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (RANGES - 1))).otherwise(F.lit(0))
+    bounds = counts.crossJoin(F.broadcast(span)).select("v", "t", at.cast("int").alias("b"))
+    before = bounds.groupBy("b").agg(F.sum("t").alias("bt")).select("b", (F.sum("bt").over(Window.orderBy("b")) - F.col("bt")).alias("before"))
     inside = F.sum("t").over(Window.partitionBy("b").orderBy("v")) - F.col("t")
-    ranks = bounds.withColumn("inside", inside).join(before, "b").select("v", "t", (F.col("before") + F.col("inside") + (F.col("t") + 1) / 2.0).alias("r"))
+    ranks = bounds.withColumn("inside", inside).join(F.broadcast(before), "b").select("v", "t", (F.col("before") + F.col("inside") + (F.col("t") + 1) / 2.0).alias("r"))
     groups = rows.join(ranks.select("v", "r"), "v").groupBy("c").agg(F.count("*").alias("n"), F.avg("r").alias("m"))
     total = counts.agg(F.sum("t").alias("all_n"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("all_ties"))
     a, b = groups.alias("a"), groups.alias("b")
@@ -313,13 +322,36 @@ def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.withColumn("ecdf", F.round(rank / F.count("*").over(w), 6))
 
 
+def _medians(every: int, by: int):
+    """Batches sorted by group and order, the value last, to rows (group, checkpoint, median)."""
+
+    def run(batches):
+        group, held, new = None, np.zeros(0), []
+        for batch in batches:
+            out = [[] for _ in range(by + 2)]
+            for *own, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != group:
+                    group, held, new, n = own, np.zeros(0), [], 0
+                n += 1
+                if v is not None:
+                    new.append(v)
+                if n % every == 0:
+                    new.sort()
+                    held, new = np.insert(held, np.searchsorted(held, new), new), []
+                    m = len(held)
+                    for column, x in zip(out, (*own, n, (held[(m - 1) // 2] + held[m // 2]) / 2 if m else None)):
+                        column.append(x)
+            types = [*(batch.schema.field(i).type for i in range(by)), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [str(i) for i in range(by + 2)])
+
+    return run
+
+
 def running_median(df: DataFrame, value: str, by: list[str], order: str, every: int = 100, digits: int = 4) -> DataFrame:
-    """The median of all samples so far at every ``every``-th one, per group."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = df.withColumn("i", F.row_number().over(w)).withColumn("checkpoint", (F.ceil(F.col("i") / every) * every).cast("long"))
-    marks = rows.groupBy(*by, "checkpoint").agg(F.count("*").alias("c")).where(F.col("c") == every).select(*by, "checkpoint")
-    all_ = rows.select(*by, F.col("checkpoint").alias("__c"), value)
-    return marks.join(all_, list(by)).where(F.col("__c") <= F.col("checkpoint")).groupBy(*by, "checkpoint").agg(F.round(F.median(value), digits).alias("median"))
+    """The median of all samples so far at every ``every``-th one, per group; a group's samples are streamed in order and kept sorted."""
+    rows = df.repartition(*by).sortWithinPartitions(*by, order).select(*by, F.col(value).cast("double").alias("v"))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInArrow(_medians(every, len(by)), f"{schema}, checkpoint long, median double").withColumn("median", F.round("median", digits))
 
 
 def share_of_total(df: DataFrame, key: str, digits: int = 4) -> DataFrame:

@@ -133,19 +133,19 @@ def ret9_assemble_context(spark, sf_dir):
 
 @query(f"WITH {_PAIRS}, a AS (SELECT query_id, label AS article, max(score) AS score FROM s WHERE score >= 0.2 GROUP BY 1, 2) SELECT query_id, article, score FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article) <= 3")
 def ret14_article_best(spark, sf_dir):
-    scored = _all_scores(spark, sf_dir).withColumnRenamed("label", "article")
-    return retrieval.article_best(scored, "query_id", "article", "score", 0.2).select("query_id", "article", "score")
-
-
-def _all_scores(spark, sf_dir):
-    """The stated query set against all vectors."""
     q, rows = vectors(spark, sf_dir)
-    return retrieval.vector_topk(q, rows, 1 << 30, "query_id", "embedding", "vec_id", "embedding").drop("rank").join(rows.select("vec_id", "label"), "vec_id")
+    scored = retrieval.vector_at_least(q, rows, 0.2, "query_id", "embedding", "vec_id", "embedding")
+    scored = scored.join(rows.select("vec_id", F.col("label").alias("article")), "vec_id")
+    return retrieval.article_best(scored, "query_id", "article", "score", 0.2).select("query_id", "article", "score")
 
 
 @query(f"WITH {_PAIRS}, o AS (SELECT *, count(*) FILTER (score >= 0.42) OVER (PARTITION BY query_id) AS good, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE vec_id <> query_id) SELECT query_id, vec_id, score FROM o WHERE CASE WHEN good > 0 THEN score >= 0.42 ELSE rank <= 3 END")
 def ret15_select_chunks(spark, sf_dir):
-    scored = _all_scores(spark, sf_dir).where("vec_id <> query_id")
+    q, rows = vectors(spark, sf_dir)
+    # a query's own vector may be among its best: one more is kept
+    few = retrieval.vector_topk(q, rows, 4, "query_id", "embedding", "vec_id", "embedding").drop("rank")
+    good = retrieval.vector_at_least(q, rows, 0.42, "query_id", "embedding", "vec_id", "embedding")
+    scored = few.union(good).distinct().where("vec_id <> query_id")
     return retrieval.select_chunks(scored, "query_id", "vec_id", "score", 0.42).select("query_id", "vec_id", "score")
 
 
@@ -174,7 +174,9 @@ def joi9_session_search(spark, sf_dir):
 
 @query(f"WITH {_PAIRS}, b AS (SELECT query_id, max(score) AS best FROM s WHERE vec_id <> query_id GROUP BY 1) SELECT (SELECT count(*) FROM documents) AS docs, (SELECT round(avg(length(text)), 4) FROM documents) AS avg_chars, round(avg(score), 4) AS score_mean, round(min(score), 4) AS score_min, round(max(score), 4) AS score_max, (SELECT count(*) FROM b) AS questions, (SELECT count(*) FROM b WHERE best >= 0.5) AS best_ge_50, (SELECT count(*) FROM b WHERE best >= 0.4) AS best_ge_40 FROM s WHERE vec_id <> query_id")
 def agg18_corpus_report(spark, sf_dir):
-    return stats.corpus_report(table(spark, sf_dir, "documents"), _all_scores(spark, sf_dir).where("vec_id <> query_id"), "query_id", "score", "text", (0.5, 0.4))
+    q, rows = vectors(spark, sf_dir)
+    summary = retrieval.vector_summary(q, rows, "query_id", "embedding", "vec_id", "embedding")
+    return stats.corpus_report(table(spark, sf_dir, "documents"), summary, "text", (0.5, 0.4))
 
 
 @query()

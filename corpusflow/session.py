@@ -1,11 +1,15 @@
-"""Session settings for local work, and making the package importable in the tasks."""
+"""Session settings for local work, making the package importable in the tasks, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -29,3 +33,33 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     paths = [ROOT, *(p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p and p != ROOT)]
     env["PYTHONPATH"] = os.pathsep.join(paths)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Only where driver and tasks are one machine may it be unset: then it is a temporary folder, gone when Python ends.
+    """
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    return where
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: what is used twice isn't made twice, and the planner knows its size."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -43,7 +43,8 @@ def read_id_list(spark: SparkSession, path: str, name: str = "id") -> DataFrame:
 
 def path_key(path: Column | None = None) -> tuple[Column, Column]:
     """The stem of the input file's name and the name of its folder."""
-    p = F.col("_metadata.file_path") if path is None else path
+    # Spark percent-encodes the paths it reads; only a plus sign stands for itself there
+    p = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))) if path is None else path
     return F.regexp_extract(p, r"([^/]+?)(?:\.[^./]*)?$", 1).alias("id"), F.regexp_extract(p, r"([^/]+)/[^/]+$", 1).alias("eval_set")
 
 
@@ -78,6 +79,7 @@ def write_snapshot(df: DataFrame, path: str, dry_run: bool = False) -> dict[str,
     version = (have[-1] if have else 0) + 1
     if not dry_run:
         df.write.mode("overwrite").parquet(f"{path}/v={version}")
+        df = spark.read.schema(df.schema).parquet(f"{path}/v={version}")  # counts what was written
     return {"before": old, "after": df.count(), "version": version}
 
 
