@@ -1,16 +1,22 @@
 """Main text of saved pages, with site templates removed.
 
-A page is parsed once into blocks of text, each with the digests of the element subtrees around it.  Spark
-counts on how many different pages of a host each subtree occurs; a subtree that recurs on many of them is
-template and its blocks are deleted, wherever it stands.  Pages count as different by their heading, here and in the
-host's total, so copies of one page add nothing and an article that was copied many times stays.  Where most pages of a
-host share one heading, those with enough text of their own count by their text.  Elements that are never article text (menus, page headers
-and footers, sidebars, forms, scripts, styles) and containers named as notices, adverts, comments or the like
-go by name, on hosts of any size, unless they hold most of the article; where a page marks its article, only that is taken.
+A page is parsed once into blocks of text and the element subtrees around them.  Every subtree has a digest of its levelled
+text (case and white space don't count); subtrees outside the page's main part that are named, by class, id or role or as
+landmarks, have one of their shape too: tags and names, without text, runs of like children as one.  Spark counts on how many different pages
+of a host each digest occurs.  A text that recurs on many of them, or a shape outside the main part that does, is template, and the subtree is
+deleted wherever it stands.  Pages count as different by their heading, here and in the host's total, so copies of one page
+add nothing and an article that was copied many times stays.  Where most pages of a host share one heading, those with enough
+text of their own count by their text.
+
+The main part is what a page marks as its article, or else the innermost element with most of its text.  What recurs too
+rarely to count, on small hosts or in the main part, goes by name: a menu, page header or footer, sidebar, form, and
+what is named as a notice, advert, comments or the like, unless it holds most of the article; so does what lies beside a marked article.
+Scripts, styles and the like are no text.
 
 Null or empty html gives an empty text; so does a page without text.  A null url is a host of its own.  Repeated
-rows are extracted each.  Extra columns are not passed.  Unclosed and misnested markup is repaired by the nearest
-open element; nothing is dropped for length.  An empty table gives no rows.
+rows and ids are extracted each, rows alike in id, url and text as one.  Pages of any length and depth are parsed whole.  Extra columns are not
+passed.  Ties don't arise: counts decide.  Unclosed and misnested markup is repaired by the nearest open element; nothing is dropped for length.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ from corpusflow.llm.shared import stored
 
 #: A subtree is template on a host if at least this many different pages have it ...
 TEMPLATE_PAGES = 10
-#: ... and at least this share of the host's different pages.
+#: ... and, by its text, at least this share of the host's different pages, as articles share passages.
 TEMPLATE_SHARE = 0.25
 #: Below a heading that most pages share, a page is different if this share of its text stands on few pages.
 OWN_SHARE = 1 / 3
 
 # fixed values: elements by what they are for
-SKIP = frozenset("script style noscript template iframe object embed svg math canvas audio video nav aside footer form button select textarea input label fieldset dialog menu head title".split())
+UNSEEN = frozenset("script style noscript template iframe object embed svg math canvas audio video head title".split())
+SKIP = frozenset("nav aside footer form button select textarea input label fieldset dialog menu".split())
+LANDMARK = SKIP | {"header"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html"}
@@ -43,12 +51,17 @@ NEVER = re.compile(r"ad|ads|advert\w*|adsense|promo\w*|sponsor\w*|cookie\w*|cons
 LAYOUT = re.compile(r"banner|notice|alert|overlay|social|sidebar|side|aside|widget|menu|nav|navbar|navigation|header|masthead|topbar|footer|foot|toolbar|skip|copyright|legal|disclaimer")
 #: After one of these in a compound the word says what the layout has or lacks: has-sidebar, layout-with-nav, no-comments.
 ABOUT = frozenset("has with without no not hide hides".split())
+#: Elements that hold no layout.
+LEAF = frozenset("p li dd dt td th pre blockquote h1 h2 h3 h4 h5 h6 a b i em strong span".split())
 #: A header of one of these is a headline.
 HEADED = frozenset("article entry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HEADER_INSIDE = frozenset("article main".split())
 
 
+_DIGITS = re.compile("[0-9]+")
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -71,10 +84,10 @@ def _named(attrs: dict, inside: bool) -> str:
 
 
 class _Node:
-    __slots__ = ("tag", "drop", "main", "named", "parts", "hash")
+    __slots__ = ("tag", "drop", "main", "named", "label", "parts", "text", "shape", "number")
 
-    def __init__(self, tag: str, drop: bool, main: bool, named: str = ""):
-        self.tag, self.drop, self.main, self.named, self.parts, self.hash = tag, drop, main, named, [], None
+    def __init__(self, tag: str, drop: bool, main: bool, named: str = "", label: str = ""):
+        self.tag, self.drop, self.main, self.named, self.label, self.parts, self.text, self.shape, self.number = tag, drop, main, named, label, [], 0, 0, -1
 
 
 class _Tree(HTMLParser):
@@ -108,12 +121,13 @@ class _Tree(HTMLParser):
         if tag in VOID:
             return
         attrs = {k: v or "" for k, v in attrs}
+        label = " ".join(sorted(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()))
         drop = tag in SKIP or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
         named = _named(attrs, any(n.main for n in stack)) if "class" in attrs or "id" in attrs else ""
         if tag == "header" and named != "headline" and not any(n.tag in HEADER_INSIDE for n in stack):
             drop = True
         main = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        node = _Node(tag, bool(drop), main, "" if tag in ("html", "body") else named)
+        node = _Node(tag, bool(drop), main, "" if tag in ("html", "body") else named, _DIGITS.sub("0", label))
         stack[-1].parts.append(node)
         stack.append(node)
 
@@ -129,7 +143,7 @@ class _Tree(HTMLParser):
                 return
             if self.stack[i].tag in ("article", "main") and tag in ("p", "b", "i", "em", "strong", "span", "a", "li", "div", "section"):
                 return
-            if self.stack[i].tag in BLOCK and tag not in BLOCK and tag not in SKIP:
+            if self.stack[i].tag in BLOCK and tag not in BLOCK and tag not in SKIP and tag not in UNSEEN:
                 return
 
     def _close(self, i: int):
@@ -139,20 +153,25 @@ class _Tree(HTMLParser):
         self.stack[-1].parts.append(data)
 
 
+def _levels(top: _Node) -> tuple[list[_Node], list[int]]:
+    """The elements level by level, each after its parent, and their parents' places."""
+    order, up, at = [top], [-1], 0
+    while at < len(order):
+        for part in order[at].parts:
+            if not isinstance(part, str):
+                order.append(part)
+                up.append(at)
+        at += 1
+    return order, up
+
+
 def _settle(top: _Node):
     """Drop the elements that go by their names, but none that holds most of the page's article.
 
     The article is what lies in elements marked so that have no such name themselves, or else the text that nothing drops.
     What is never the article goes unless such a marked element in it holds most of that.
     """
-    order, up = [top], [-1]
-    at = 0
-    while at < len(order):  # by levels: every element after its parent
-        for part in order[at].parts:
-            if not isinstance(part, str):
-                order.append(part)
-                up.append(at)
-        at += 1
+    order, up = _levels(top)
     n = len(order)
     if not any(x.named for x in order):
         return
@@ -186,7 +205,7 @@ def _level(parts: list[str]) -> str:
 
 
 def _walk(top: _Node) -> tuple[list, str]:
-    """The page's blocks in order, (text, wanted, in main, subtree digests), and its heading; without recursion."""
+    """The page's blocks in order, (text, the elements around it), and its heading; without recursion."""
     blocks: list = []
     run: list[str] = []
     heading: list[str] = []
@@ -197,59 +216,113 @@ def _walk(top: _Node) -> tuple[list, str]:
         text = _level(run)
         run.clear()
         if text:
-            blocks.append([text, not any(n.drop for n in path), any(n.main for n in path), [n for n in path if n.tag], None])
+            blocks.append((text, path[:]))
 
-    order: list[_Node] = []
     while state:
         node, at = state.pop()
         if at == 0:
-            if not node.tag or node.tag in BLOCK or node.drop:
+            if not node.tag or node.tag in BLOCK or node.tag in LANDMARK or node.drop:
                 flush()
             path.append(node)
-            order.append(node)
         if at < len(node.parts):
             state.append((node, at + 1))
             part = node.parts[at]
             if isinstance(part, str):
-                run.append(part)
+                if not any(n.tag in UNSEEN for n in path[-3:]):
+                    run.append(part)
                 if node.tag in ("h1", "title") or any(n.tag == "h1" for n in path[-3:]):
                     heading.append(part)
-            else:
+            elif part.tag not in UNSEEN or part.tag in ("head", "title"):
                 state.append((part, 0))
             continue
-        if not node.tag or node.tag in BLOCK or node.drop:
+        if not node.tag or node.tag in BLOCK or node.tag in LANDMARK or node.drop:
             flush()
         path.pop()
-    for node in reversed(order):
-        node.hash = _digest(node.tag + "\x00" + "\x01".join(p if isinstance(p, str) else str(p.hash) for p in node.parts))
     return blocks, _level(heading)
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], int]:
-    """The wanted blocks of a page with the digests of the subtrees they lie in, and the digest of its heading."""
+def _main(order: list[_Node], up: list[int], wanted: list) -> set[int]:
+    """The numbers of the elements around, of and in the page's main part, whose shapes say nothing of the template."""
+    marked = [i for i, x in enumerate(order) if x.main and x.named not in ("never", "layout")]
+    if not marked:
+        size = [0] * len(order)
+        for text, path in wanted:
+            size[path[-1].number] += len(text)
+        for i in range(len(order) - 1, 0, -1):
+            size[up[i]] += size[i]
+        marked = [max((i for i, x in enumerate(order) if 2 * size[i] >= size[0] and x.tag not in LEAF), default=0)]  # the last by levels lies deepest
+    out = set(marked)
+    for i in range(1, len(order)):
+        if up[i] in out:
+            out.add(i)
+    for i in marked:
+        while i > 0:
+            i = up[i]
+            out.add(i)
+    return out
+
+
+def analyse(html: str | None) -> tuple[list[str], list[int], list[bool], list[int], list[int], list[int], int]:
+    """A page's texts, the number of the element that each lies in, whether names alone would drop it, the elements' parents, digests of
+    their texts and of their shapes (0: none), and the digest of the heading."""
     if not html:
-        return [], 0
+        return [], [], [], [], [], [], 0
     tree = _Tree()
     tree.feed(html)
     tree.close()
     _settle(tree.top)
+    order, up = _levels(tree.top)
+    for i, x in enumerate(order):
+        x.number = i
     blocks, heading = _walk(tree.top)
-    wanted = [b for b in blocks if b[1]]
-    marked = [b for b in wanted if b[2]]
-    chosen = marked or wanted
-    out = [(text, [n.hash for n in path if n.tag not in ("html", "body")]) for text, _, _, path, _ in chosen]
-    return out, _digest(heading or "\n".join(t for t, _ in out))
+    wanted = [b for b in blocks if not any(n.drop for n in b[1])]
+    chosen = [b for b in wanted if any(n.main for n in b[1])] or wanted
+    plain = {id(b) for b in chosen}
+    main = _main(order, up, chosen)
+    for i in range(len(order) - 1, -1, -1):
+        x = order[i]
+        x.text = _digest(x.tag + "\x00" + "\x01".join(" ".join(p.lower().split()) if isinstance(p, str) else str(p.text) for p in x.parts))
+        shapes = [p.shape for p in x.parts if not isinstance(p, str)]
+        x.shape = _digest(f"{x.tag} {x.label}\x00" + ",".join(str(h) for j, h in enumerate(shapes) if not j or h != shapes[j - 1]))
+    heads = [False] * len(order)
+    for i in range(len(order) - 1, 0, -1):
+        heads[i] |= order[i].tag == "h1"
+        heads[up[i]] |= heads[i]
+    shapes = [x.shape if i not in main and not heads[i] and (x.label or x.tag in LANDMARK) else 0 for i, x in enumerate(order)]
+    texts = [0 if x.tag in ("", "html", "body") else x.text for x in order]
+    out = [b[0] for b in chosen]
+    return [b[0] for b in blocks], [b[1][-1].number for b in blocks], [id(b) not in plain for b in blocks], up, texts, shapes, _digest(heading or "\n".join(out))
+
+
+def parse(html: str | None) -> tuple[list[tuple[str, int]], int]:
+    """The blocks (text, element) that names alone leave of a page, as on a host too small to count, and the digest of its heading."""
+    texts, at, named, _, _, _, head = analyse(html)
+    return [(t, i) for t, i, n in zip(texts, at, named) if not n], head
 
 
 def _parse(batches):
+    ints = pa.list_(pa.int64())
     for part in vec.slices(batches, "html"):
-        texts, trees, heads = [], [], []
-        for html in part.column(2).to_pylist():
-            blocks, head = parse(html)
-            texts.append([b[0] for b in blocks])
-            trees.append([b[1] for b in blocks])
-            heads.append(head)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(trees, pa.list_(pa.list_(pa.int64()))), pa.array(heads, pa.int64())], ["page_id", "url", "blocks", "trees", "head"])
+        rows = list(zip(*map(analyse, part.column(2).to_pylist())))
+        kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), ints, ints, pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), t) for c, t in zip(rows, kinds))], ["page_id", "url", *_PARTS])
+
+
+_PARTS = ("blocks", "at", "named", "up", "texts", "shapes", "head")
+_TYPES = "blocks array<string>, at array<int>, named array<boolean>, up array<int>, texts array<long>, shapes array<long>, head long"
+
+
+def _delete(batches):
+    """Rows (page_id, url, the parts, the digests that are template on the page, whether names count) to (page_id, url, text)."""
+    for batch in batches:
+        out = []
+        for blocks, at, named, up, texts, shapes, gone, by_name in zip(*(batch.column(i).to_pylist() for i in range(2, 10))):
+            gone = set(gone or ())
+            dead = [False] * len(up)
+            for i, parent in enumerate(up):
+                dead[i] = texts[i] in gone or shapes[i] in gone or (parent >= 0 and dead[parent])
+            out.append("\n".join(t for t, i, n in zip(blocks, at, named) if not dead[i] and not (n and by_name)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def _different(parsed: DataFrame, template_pages: int) -> DataFrame:
@@ -273,22 +346,24 @@ def _different(parsed: DataFrame, template_pages: int) -> DataFrame:
     return out.withColumn("head", F.when(F.col("apart"), F.col("body")).otherwise(F.col("head"))).drop("body", "apart")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE, names: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page; without ``names`` only what recurs is deleted."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = stored(rows.mapInArrow(_parse, f"page_id {kind}, url string, blocks array<string>, trees array<array<long>>, head long"), "pages")
+    parsed = stored(rows.mapInArrow(_parse, f"page_id {kind}, url string, {_TYPES}"), "pages")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("\x00"))
-    parsed = _different(parsed.withColumn("host", host), template_pages)
-    seen = parsed.select("host", "head", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree"))
-    often = seen.groupBy("host", "tree").count().where(F.col("count") >= template_pages).select("host", "tree")
-    heads = seen.join(often, ["host", "tree"]).distinct().groupBy("host", "tree").agg(F.count("*").alias("pages"))
-    total = parsed.groupBy("host").agg(F.count_distinct("head").alias("all"))
-    template = heads.join(total, "host").where((F.col("pages") >= template_pages) & (F.col("pages") >= template_share * F.col("all"))).select("host", "tree")
-    one = parsed.select("page_id", "url", "blocks", "trees", "host", F.xxhash64("page_id", "url", "blocks").alias("row"))
-    hit = one.select("host", "row", F.explode(F.array_distinct(F.flatten("trees"))).alias("tree")).join(template, ["host", "tree"])
-    hit = stored(hit.groupBy("row").agg(F.collect_set("tree").alias("gone")), "templates")  # few pages, or the planner sees their size
-    out = one.join(hit, "row", "left")
-    kept = F.filter(F.arrays_zip("blocks", "trees"), lambda b: ~F.arrays_overlap(b["trees"], F.coalesce("gone", F.expr("cast(array() as array<bigint>)"))))
-    text = F.array_join(F.transform(kept, lambda b: b["blocks"]), "\n")
-    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = parsed.withColumn("host", host)
+    own = F.transform(F.filter(F.arrays_zip("blocks", "named"), lambda b: ~b["named"]), lambda b: b["blocks"])
+    told = _different(parsed.withColumn("blocks", own), template_pages)
+    some = lambda *cols: F.explode(F.array_distinct(F.filter(F.concat(*cols), lambda d: d != 0))).alias("digest")
+    seen = told.select("host", "head", some("texts", "shapes"))
+    often = seen.groupBy("host", "digest").count().where(F.col("count") >= template_pages).select("host", "digest")
+    heads = seen.join(often, ["host", "digest"]).distinct().groupBy("host", "digest").agg(F.count("*").alias("pages")).where(F.col("pages") >= template_pages)
+    total = told.groupBy("host").agg(F.count_distinct("head").alias("all"))
+    counted = stored(heads.join(total, "host").select("host", "digest", (F.col("pages") >= template_share * F.col("all")).alias("shared")), "counted")
+    one = parsed.withColumn("row", F.xxhash64("page_id", "url", "blocks", "texts"))
+    hit = one.select("host", "row", some("texts")).join(counted.where("shared"), ["host", "digest"]).select("row", "digest")
+    hit = hit.union(one.select("host", "row", some("shapes")).join(counted, ["host", "digest"]).select("row", "digest"))
+    hit = stored(hit.groupBy("row").agg(F.collect_set("digest").alias("gone")), "templates")
+    out = one.join(hit, "row", "left").select("page_id", "url", *_PARTS[:-1], "gone", F.lit(names).alias("names")).mapInArrow(_delete, f"page_id {kind}, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
