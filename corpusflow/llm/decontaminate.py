@@ -8,8 +8,9 @@ searched backward through the matrix's ranks, all windows at once.  Occurrences
 to sampled suffix positions and merged into spans per document.
 
 Null and word-free texts and items have no words: never hit, never searched.  Repeated items and rows are each
-taken on their own.  An empty benchmark or document table gives no hits or no rows.  Extra columns pass
-through ``clean``.
+taken on their own, ids may be null (an item's counts as the empty string) or repeat.  Ties don't arise: every occurrence counts.  Texts of any length are searched
+whole; a text beyond a shard's size is a shard of its own.  An empty benchmark or document table gives no hits or no rows.
+Extra columns pass through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import cut
+from corpusflow.llm.shared import stored, unused
 
 WINDOW = 10
 SAMPLE = 16
@@ -220,18 +221,17 @@ def _search(block: Windows):
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, chars: int):
-    """The items in blocks of bounded size, each brought to the driver on its own."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    """How many blocks of bounded size the items make, and a generator that brings one after the other to the driver."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if not total:
-        return []
     n = max(1, -(-(total + longest) * 2 // chars)) if total > chars else 1
-    out = []
-    for i in range(n):
-        rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)).collect()
-        if rows:
-            out.append(Windows([r.id for r in rows], [r.text for r in rows]))
-    return out
+
+    def each():
+        for i in range(n):
+            rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)).collect()
+            yield Windows([r.id for r in rows], [r.text for r in rows])
+
+    return n, each()
 
 
 _SPANS = "spans array<struct<start:long,end:long,words:long>>"
@@ -240,21 +240,23 @@ _SPANS = "spans array<struct<start:long,end:long,words:long>>"
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row: doc_id, n_words, spans (byte offsets of maximal hit runs and their words), items, items_sha256.
 
-    With more than one block of items (a benchmark beyond ``block_chars``) rows are joined by id, which must
-    then be unique; word counts of spans that touch across blocks are summed from the merged byte spans.
+    A benchmark beyond ``block_chars`` is searched block by block.  What the blocks find is written and joined by a hash of id and
+    text, as rows alike in both are hit alike, and merged over the words of the text itself.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, {_SPANS}, items array<string>, items_sha256 string"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _blocks(benchmark, item_col, item_text, block_chars)
-    if len(blocks) <= 1:
-        return rows.mapInArrow(_search(blocks[0] if blocks else Windows([], [])), schema)
-    parts = [rows.mapInArrow(_search(b), schema) for b in blocks]
+    n, blocks = _blocks(benchmark, item_col, item_text, block_chars)
+    if n == 1:
+        return rows.mapInArrow(_search(next(blocks)), schema)
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    search = lambda b: keyed.select("key", "text").mapInArrow(_search(b), schema.replace(f"doc_id {kind}", "key long"))
+    parts = [stored(search(b).where("size(spans) > 0").select("key", "spans", "items").dropDuplicates(["key"]), "hits") for b in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = rows.join(merged, "doc_id").mapInArrow(_merge, schema)
+    merged = every.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = keyed.join(merged, "key", "left").select("doc_id", "text", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_merge, schema)
     return joined.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
 
 
@@ -264,7 +266,7 @@ def _merge(batches):
         _, off, starts, ends, row, _ = words(part.column(1))
         n = len(off) - 1
         hit = np.zeros(len(starts), bool)
-        for r, spans in enumerate(part.column(3).to_pylist()):
+        for r, spans in enumerate(part.column(2).to_pylist()):
             for s in spans or ():
                 hit[np.searchsorted(starts, s["start"] + off[r]) : np.searchsorted(starts, s["end"] + off[r])] = True
         first, last, owner = vec.runs(hit, np.searchsorted(row, np.arange(n + 1)))
@@ -272,7 +274,7 @@ def _merge(batches):
         for a, b, r in zip(first.tolist(), last.tolist(), owner.tolist()):
             out[r].append({"start": int(starts[a] - off[r]), "end": int(ends[b - 1] - off[r]), "words": b - a})
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, kind), part.column(4), pa.array([""] * n)], ["doc_id", "n_words", "spans", "items", "items_sha256"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(out, kind), part.column(3), pa.array([""] * n)], ["doc_id", "n_words", "spans", "items", "items_sha256"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **cols) -> DataFrame:
@@ -282,30 +284,22 @@ def report(docs: DataFrame, benchmark: DataFrame, **cols) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(F.array_distinct("items")).cast("long").alias("n_items"), "items_sha256", (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
-def _strip(batches):
-    for batch in batches:
-        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        out = []
-        for t, cuts in zip(texts, spans):
-            if cuts:
-                b, at, keep = t.encode(), 0, []
-                for c in cuts:
-                    keep.append(b[at : c["start"]])
-                    at = c["end"]
-                t = b"".join([*keep, b[at:]]).decode()
-            out.append(t)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["__id", "__text"])
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **cols) -> DataFrame:
-    """``docs``, all columns, with the hit spans cut out of the texts; ids may repeat, with equal or different texts.
+    """``docs``, all columns, with the hit spans cut out of the texts; ids may be null or repeat, with equal or different texts.
 
     Documents without a hit keep their text as it is; a document never goes.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))  # rows with one key are alike
-    spans = occurrences(keyed, benchmark, id_col="__row", text_col=text_col, **cols).where("size(spans) > 0").select(F.col("doc_id").alias("__row"), "spans")
-    spans = cut(spans.dropDuplicates(["__row"]))
-    hit = keyed.select("__row", F.col(text_col).cast("string").alias("text")).join(spans, "__row").dropDuplicates(["__row"]).select("__row", "text", "spans")
-    new = hit.mapInArrow(_strip, "__id long, __text string")
-    out = keyed.join(new, F.col("__row") == F.col("__id"), "left")
-    return out.withColumn(text_col, F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(F.col(text_col))).select(docs.columns)
+    key, spans = unused(docs, "key", "spans")
+    hash_ = F.xxhash64(F.col(id_col), F.col(text_col))  # rows with one hash are alike
+    rows = docs.select(hash_.alias("doc_id"), F.col(text_col).alias("text"))
+    found = occurrences(rows, benchmark, **cols).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
+    found = stored(found.dropDuplicates([key]), "spans")
+    raw = F.col(text_col).cast("string").cast("binary")
+
+    def step(acc, s):
+        return F.struct(s["end"].cast("int").alias("at"), F.concat(acc["out"], F.substring(raw, acc["at"] + 1, s["start"].cast("int") - acc["at"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out"))
+    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.lit(2**31 - 1))))
+    out = docs.join(found, hash_ == F.col(key), "left")
+    return out.withColumn(text_col, F.when(F.col(spans).isNotNull(), rest.cast("string")).otherwise(F.col(text_col))).select(docs.columns)

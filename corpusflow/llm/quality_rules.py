@@ -2,13 +2,14 @@
 
 ``measure`` counts words, symbols, repeated lines and repeated 8-word windows of each text in one pass.
 ``template_lines`` finds the lines that a host repeats over many different documents: normalised lines are
-hashed and counted per host; those above the limit are then counted exactly by distinct texts and by the
-distinct lines that stand before and after them.  A boilerplate line has other neighbours in nearly every
-document; the lines of copied documents keep theirs, so copies alone never make a line boilerplate.
-A document that such lines leave with too little text is rejected as depleted; ``clean`` cuts them out of the rest.
-
-Null texts have no words.  A null host is a host of its own.  Ties don't arise: counts decide.  Repeated rows
-are judged one by one and equally.  Extra columns pass through ``keep`` and ``clean``; an empty table gives an empty result.
+hashed and counted per host by different texts.  Around every line above the limit, alone or in a block of such lines,
+stand the document's own lines; a boilerplate line has other ones around it in nearly every document, while copies, edited
+ones too, keep theirs.  An own line is told by its smallest word and the two after it, which most edits leave alone.
+A document that boilerplate leaves with too little text is rejected as depleted; ``clean`` cuts it out of the rest.
+
+Null texts have no words.  A null host is a host of its own.  Ties don't arise: counts decide.  Rows are judged by host and
+text alone, told apart by a 64-bit hash of both: equal rows, null ids and repeated ids need no rule.  Texts of any length are taken
+whole.  Extra columns pass through ``keep`` and ``clean``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusflow.llm import vec
+from corpusflow.llm.shared import stored, unused
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 #: A line is boilerplate on a host if at least this many different texts have it ...
 LINE_DOCS = 20
-#: ... with as many different neighbours before or after it as this share of those texts.
+#: ... with as many different own lines before or after it as this share of those texts.
 NEIGHBOUR_SHARE = 0.6
 #: A document is depleted if fewer words than this are left, or less than this share of its words.
-LEAST_WORDS, LEAST_SHARE = 10, 0.1
+LEAST_WORDS, LEAST_SHARE = 20, 0.3
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -62,14 +65,15 @@ def _measure(batches):
             np.bincount(owner[real], minlength=n) - np.bincount(owner[real][first], minlength=n),
             np.bincount(row[covered], minlength=n),
         ]
-        yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c.astype(np.int64)) for c in cols], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)] + [pa.array(c.astype(np.int64)) for c in cols], ["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, a row per row."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None) -> DataFrame:
+    """doc_id, key (see ``row_key``), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, a row per row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _measure, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    key = row_key(host_col, text_col) if host_col else F.lit(None).cast("long")
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key")).mapInArrow(
+        _measure, f"doc_id {kind}, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     )
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
@@ -82,62 +86,80 @@ def _host(host_col: str):
     return F.coalesce(F.col(host_col).cast("string"), F.lit("\x00"))
 
 
-def lines(docs: DataFrame, host_col: str, id_col: str, text_col: str) -> DataFrame:
-    """The lines with a word: id, host, line hash (case, digits and white space levelled), words, text hash, neighbours."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), "\n"), _level), lambda x: x != "")
-    base = docs.select(F.col(id_col).alias("id"), _host(host_col).alias("host"), F.xxhash64(F.col(text_col)).alias("th"), parts.alias("p"))
-    hashed = base.select("id", "host", "th", F.transform("p", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("p"))
-    # element_at counts from 1 and takes no 0: the line before the first is null by the guard below
-    near = F.transform("p", lambda x, i: F.struct(x["h"].alias("line"), x["w"].alias("w"), F.when(i > 0, F.try_element_at("p", F.greatest(i, F.lit(1)))["h"]).alias("before"), F.try_element_at("p", i + 2)["h"].alias("after")))
-    return hashed.select("id", "host", "th", F.explode(near).alias("x")).select("id", "host", "th", "x.line", "x.w", "x.before", "x.after")
+def row_key(host_col: str, text_col: str):
+    return F.xxhash64(_host(host_col), F.col(text_col).cast("string"))
+
+
+def lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
+    """A row per different text of a host: key, host and its lines with a word, each by its hash (case, digits and white space levelled), number of words and a mark that edits elsewhere in the line leave alone."""
+    parts = F.filter(F.transform(F.split(F.col(text_col).cast("string"), "\n"), _level), lambda x: x != "")
+
+    def told(words):
+        return F.struct(F.xxhash64(F.array_join(words, " ")).alias("line"), F.size(words).alias("w"), F.xxhash64(F.array_join(F.slice(words, F.array_position(words, F.array_min(words)).cast("int"), 3), " ")).alias("mark"))
+
+    rows = docs.select(row_key(host_col, text_col).alias("key"), _host(host_col).alias("host"), F.transform(F.transform(parts, lambda x: F.split(x, " ")), told).alias("lines"))
+    return stored(rows.where("size(lines) > 0").dropDuplicates(["key"]), "lines")
+
+
+def _often(texts: DataFrame, line_docs: int) -> DataFrame:
+    """The lines (key, host, line, w, before, after) that many texts of their host have, with the nearest own lines on either side."""
+    often = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").count()
+    often = stored(often.where(F.col("count") >= line_docs).select("host", "line"), "often")
+    at = texts.select("key", "host", F.posexplode("lines").alias("i", "x")).select("key", "i", "host", "x.*")
+    hits = stored(at.join(often, ["host", "line"]).select("key", "i"), "hits").withColumn("often", F.lit(True))
+    near = at.join(hits.select("key").distinct(), "key", "left_semi").join(hits, ["key", "i"], "left")
+    own = F.last(F.when(F.col("often").isNull(), F.col("mark")), ignorenulls=True)
+    upward, downward = (Window.partitionBy("key").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("i"), F.col("i").desc()))
+    near = near.withColumn("before", own.over(upward)).withColumn("after", own.over(downward))
+    return stored(near.where("often").select("key", "host", "line", "w", "before", "after"), "near")
 
 
-def template_lines(rows: DataFrame, line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE) -> DataFrame:
+def template_lines(near: DataFrame, line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE) -> DataFrame:
     """(host, line) above the limits; exact counts over all documents."""
-    often = rows.groupBy("host", "line").count().where(F.col("count") >= line_docs).select("host", "line")
-    found = rows.join(often, ["host", "line"])
-    n = found.select("host", "line", "th").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
-    b = found.select("host", "line", "before").distinct().groupBy("host", "line").agg(F.count("*").alias("b"))
-    a = found.select("host", "line", "after").distinct().groupBy("host", "line").agg(F.count("*").alias("a"))
-    out = n.where(F.col("docs") >= line_docs).join(b, ["host", "line"]).join(a, ["host", "line"])
-    return out.where(F.greatest("a", "b") >= F.col("docs") * neighbour_share).select("host", "line")
+    n = lambda c: F.count_distinct(F.struct(c))  # noqa: E731  a missing neighbour counts as one
+    found = near.groupBy("host", "line").agg(n("key").alias("docs"), n("before").alias("b"), n("after").alias("a"))
+    return found.where((F.col("docs") >= line_docs) & (F.greatest("a", "b") >= F.col("docs") * neighbour_share)).select("host", "line")
 
 
-def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``measure`` plus n_template_words and kept, a row per row of ``docs``.
-
-    Rows that share an id are taken as one document for the line counts removed from it.
-    """
-    rows = lines(docs, host_col, id_col, text_col)
-    gone = rows.join(template_lines(rows, line_docs, neighbour_share), ["host", "line"]).groupBy("id").agg(F.sum("w").cast("long").alias("n_template_words"))
-    out = measure(docs, id_col, text_col).join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
-    out = out.withColumn("n_template_words", F.coalesce("n_template_words", F.lit(0)))
+def _boilerplate(docs: DataFrame, host_col: str, text_col: str, line_docs: int, neighbour_share: float) -> DataFrame:
+    """Per key of a text with boilerplate: how many words it has in such lines, and their hashes."""
+    near = _often(lines(docs, host_col, text_col), line_docs)
+    gone = near.join(template_lines(near, line_docs, neighbour_share), ["host", "line"]).groupBy("key")
+    return stored(gone.agg(F.sum("w").alias("n_template_words"), F.collect_set("line").alias("template")), "boilerplate")
+
+
+def _judged(counted: DataFrame, gone: DataFrame, least_words: int, least_share: float) -> DataFrame:
+    out = counted.join(gone, "key", "left").withColumn("n_template_words", F.coalesce("n_template_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_template_words")
     depleted = (F.col("n_template_words") > 0) & ((left < least_words) | (left < least_share * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def _verdicts(docs: DataFrame, host_col: str, id_col: str, text_col: str, line_docs: int, neighbour_share: float, least_words: int, least_share: float) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a key __row of (id, host, text), and per key that fails or has boilerplate: __row, __kept, __lines (hashes)."""
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), _host(host_col), F.col(text_col)))
-    rows = lines(keyed, host_col, "__row", text_col)
-    gone = rows.join(template_lines(rows, line_docs, neighbour_share), ["host", "line"]).groupBy("id").agg(F.sum("w").alias("w"), F.collect_set("line").alias("__lines"))
-    counted = measure(keyed, "__row", text_col).groupBy("doc_id").agg(F.first("n_words").alias("n"), F.first("base_failed").alias("failed"), F.count("*").alias("copies"))
-    out = counted.join(gone, F.col("doc_id") == F.col("id"), "left").where("failed or w is not null")
-    left = F.col("n") - F.col("w") / F.col("copies")  # equal rows share a key
-    depleted = F.coalesce((left < least_words) | (left < least_share * F.col("n")), F.lit(False))
-    return keyed, out.select(F.col("doc_id").alias("__row"), (~F.col("failed") & ~depleted).alias("__kept"), "__lines")
+def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """``measure`` plus n_template_words and kept, a row per row of ``docs``."""
+    gone = _boilerplate(docs, host_col, text_col, line_docs, neighbour_share).drop("template")
+    return _judged(measure(docs, id_col, text_col, host_col), gone, least_words, least_share).drop("key")
+
+
+def _verdicts(docs: DataFrame, host_col: str, text_col: str, line_docs: int, neighbour_share: float, least_words: int, least_share: float) -> DataFrame:
+    """Per key that fails or has boilerplate: key, kept and template (hashes of lines), under names that ``docs`` doesn't have."""
+    gone = _boilerplate(docs, host_col, text_col, line_docs, neighbour_share)
+    rows = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    found = _judged(measure(rows, "id", "text", "host"), gone, least_words, least_share).where("not kept or template is not null").dropDuplicates(["key"])
+    return found.select(*(F.col(c).alias(n) for c, n in zip(("key", "kept", "template"), unused(docs, "key", "kept", "template"))))
 
 
-def keep(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the rules; rows that share an id are judged each by its own text."""
-    keyed, found = _verdicts(docs, host_col, id_col, text_col, line_docs, neighbour_share, least_words, least_share)
-    return keyed.join(found.where("not __kept").select("__row"), "__row", "left_anti").select(docs.columns)
+def keep(docs: DataFrame, host_col: str = "source", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the rules."""
+    found = _verdicts(docs, host_col, text_col, line_docs, neighbour_share, least_words, least_share)
+    key, kept, _ = found.columns
+    return docs.join(found.where(~F.col(kept)).select(key), row_key(host_col, text_col) == F.col(key), "left_anti")
 
 
-def clean(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """``keep`` with the boilerplate lines cut out of the texts; a text without one stays as it is."""
-    keyed, found = _verdicts(docs, host_col, id_col, text_col, line_docs, neighbour_share, least_words, least_share)
-    own = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(_level(x))))
-    out = keyed.join(found, "__row", "left").where(F.coalesce("__kept", F.lit(True)))
-    return out.withColumn(text_col, F.when(F.col("__lines").isNotNull(), F.array_join(own, "\n")).otherwise(F.col(text_col))).select(docs.columns)
+    found = _verdicts(docs, host_col, text_col, line_docs, neighbour_share, least_words, least_share)
+    key, kept, template = found.columns
+    own = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(template, F.xxhash64(_level(x))))
+    out = docs.join(found, row_key(host_col, text_col) == F.col(key), "left").where(F.coalesce(kept, F.lit(True)))
+    return out.withColumn(text_col, F.when(F.col(template).isNotNull(), F.array_join(own, "\n")).otherwise(F.col(text_col))).select(docs.columns)

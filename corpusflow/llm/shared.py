@@ -3,21 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusflow.session import checkpoint_dir, remove, stored
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
+__all__ = ["checkpoint_dir", "cut", "remove", "stored", "table", "unused"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,11 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same through Parquet files, which are smaller and tell the planner their size."""
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

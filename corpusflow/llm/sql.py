@@ -14,12 +14,14 @@ g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], chr(10)) AS g FROM (SE
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
 l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY 1),
 b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
-k AS (SELECT doc_id, host, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_LEVEL}), lambda x: x <> '') AS p FROM d),
-e AS (SELECT doc_id, host, text, unnest(p) AS line, unnest(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i > 1 THEN p[i - 1] END)) AS before, unnest(list_transform(range(1, len(p) + 1), lambda i: p[i + 1])) AS after FROM k),
-t AS (SELECT host, line FROM e GROUP BY 1, 2 HAVING count(DISTINCT text) >= {quality_rules.LINE_DOCS} AND greatest(count(DISTINCT before) + CAST(count(*) FILTER (before IS NULL) > 0 AS INT), count(DISTINCT after) + CAST(count(*) FILTER (after IS NULL) > 0 AS INT)) >= {quality_rules.NEIGHBOUR_SHARE} * count(DISTINCT text)),
-z AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS gone FROM e JOIN t USING (host, line) GROUP BY 1),
+k AS MATERIALIZED (SELECT DISTINCT host, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_LEVEL}), lambda x: x <> '') AS p FROM d WHERE text IS NOT NULL),
+e AS MATERIALIZED (SELECT host, text, unnest(p) AS line, unnest(range(0, len(p))) AS i FROM k WHERE len(p) > 0), o AS (SELECT host, line FROM e GROUP BY 1, 2 HAVING count(DISTINCT text) >= {quality_rules.LINE_DOCS}),
+m AS (SELECT e.*, o.line IS NOT NULL AS often, CASE WHEN o.line IS NULL THEN array_to_string(s[list_position(s, list_min(s)) : list_position(s, list_min(s)) + 2], ' ') END AS own FROM (SELECT *, string_split(line, ' ') AS s FROM e) e LEFT JOIN o ON o.host = e.host AND o.line = e.line),
+v AS MATERIALIZED (SELECT * FROM (SELECT host, text, line, often, last_value(own IGNORE NULLS) OVER (PARTITION BY host, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, last_value(own IGNORE NULLS) OVER (PARTITION BY host, text ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM m) WHERE often),
+t AS (SELECT host, line FROM v GROUP BY 1, 2 HAVING greatest(count(DISTINCT before) + CAST(count(*) FILTER (before IS NULL) > 0 AS INT), count(DISTINCT after) + CAST(count(*) FILTER (after IS NULL) > 0 AS INT)) >= {quality_rules.NEIGHBOUR_SHARE} * count(DISTINCT text)),
+z AS (SELECT host, text, sum(len(string_split(line, ' '))) AS gone FROM v JOIN t USING (host, line) GROUP BY 1, 2),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
-SELECT f.*, NOT base_failed AND NOT (coalesce(gone, 0) > 0 AND (n_words - gone < {quality_rules.LEAST_WORDS} OR n_words - gone < {quality_rules.LEAST_SHARE} * n_words)) AS kept FROM f LEFT JOIN z ON z.doc_id = f.doc_id"""
+SELECT f.*, NOT base_failed AND NOT (coalesce(gone, 0) > 0 AND (n_words - gone < {quality_rules.LEAST_WORDS} OR n_words - gone < {quality_rules.LEAST_SHARE} * n_words)) AS kept FROM f JOIN d ON d.doc_id = f.doc_id LEFT JOIN z ON z.host = d.host AND z.text = d.text"""
 
 _WORDS7 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
