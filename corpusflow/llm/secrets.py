@@ -8,7 +8,8 @@ made from digests of the same rows in the notations that keys come in.  The samp
 every whole text is scanned.
 
 Null texts are empty: no spans.  Empty tables give no rows; their model is flat and finds nothing.  Repeated
-rows are scanned each.  Extra columns pass through ``redact``.
+rows are scanned each, and train the model once.  Ties between spans are ordered by kind.  Texts of any length are scanned whole.
+Extra columns pass through ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.shared import stored, unused
+
 # fixed values: the base patterns and the least lengths of what they match
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -29,8 +32,10 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
-#: Documents whose words train the model of ordinary identifiers, the ones with the smallest id hashes.
+#: About as many documents train the model of ordinary identifiers, those with the smallest hashes of id and text.
 TRAIN_DOCS = 2000
+#: Tasks that the sample is dealt to, as each of its texts makes thousands of strings.
+TRAIN_TASKS = 24
 #: Nats by which a run must be likelier random, and nats per character.
 MARGIN, PER_CHAR = 12.0, 0.4
 
@@ -55,8 +60,14 @@ def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_DOCS) -> DataFrame:
-    """Labelled strings (s, label): 1 random, 0 an ordinary identifier, from a bounded number of documents."""
-    some = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).orderBy(F.xxhash64("id"), "id", "text").limit(rows)
+    """Labelled strings (s, label): 1 random, 0 an ordinary identifier, from a bounded number of documents.
+
+    Hashes are even, so that those under rows / (number of documents) of their range are about ``rows``; no order is needed.
+    """
+    share = min(1.0, rows / max(1, docs.count()))
+    keyed = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    some = keyed.where(F.col("key") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).dropDuplicates(["key"])
+    some = stored(some.select("id", "text"), "sample").repartition(TRAIN_TASKS)
     words = F.regexp_extract_all("text", F.lit(r"[A-Za-z][a-z]*"), F.lit(0))
     some = some.select("id", F.filter(words, lambda w: F.length(w) > 1).alias("w"))
 
@@ -109,18 +120,19 @@ def _ratio(table: Column) -> object:
     return score
 
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text", margin: float = MARGIN, per_char: float = PER_CHAR) -> DataFrame:
-    """``docs`` with the columns ``base`` and ``spans``: arrays of (start, kind, end) in code points, in order."""
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", margin: float = MARGIN, per_char: float = PER_CHAR, base: str = "base", spans: str = "spans") -> DataFrame:
+    """``docs`` with two more columns, named by ``base`` and ``spans``: arrays of (start, kind, end) in code points, in order."""
     assert len(model) == len(ALPHABET) ** 2 and all(math.isfinite(x) for x in model)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
     score = _ratio(table)
     long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 6
     likely = lambda hit: score(hit) >= F.greatest(F.lit(margin), per_char * F.length(hit))
-    found = docs.withColumn("base", F.array_sort(F.concat(_spans(text, ASSIGN, 0, long_enough), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
-    found = found.withColumn("__more", _spans(text, RUN, 3, likely))
-    free = F.filter("__more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("spans", F.array_sort(F.concat("base", free))).drop("__more")
+    found = docs.withColumn(base, F.array_sort(F.concat(_spans(text, ASSIGN, 0, long_enough), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
+    (more,) = unused(found, "more")
+    found = found.withColumn(more, _spans(text, RUN, 3, likely))
+    free = F.filter(more, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return found.withColumn(spans, F.array_sort(F.concat(base, free))).drop(more)
 
 
 def named(spans: str) -> Column:
@@ -138,12 +150,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs``, all columns, with every span of the texts replaced by ``mark``; overlapping spans by one."""
-    found = scan(docs, train(samples(docs, id_col, text_col)), text_col)
+    base, spans = unused(docs, "base", "spans")
+    found = scan(docs, train(samples(docs, id_col, text_col)), text_col, base=base, spans=spans)
 
     def step(acc, s):
         new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["at"], new).otherwise(inside)
 
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(F.col(text_col))).drop("base", "spans")
+    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(F.col(text_col))).select(docs.columns)
