@@ -99,9 +99,80 @@ def test_names_inside_and_beside_the_article():
     assert parsed("<article><p>the text</p></article><ol class='comment-list'><li><article class='comment-body'>a longer comment than the text</article></li></ol>") == ["the text"]
 
 
+def test_shapes_of_a_host_are_template(spark):
+    """Boxes without a telling name and with a text of their own on every page go by their shape, on hosts with enough pages."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    def page(i, host, n):
+        body = [f"{words(30)} {i}" for _ in range(n)]
+        rest = "".join(f"<p>{x}</p>" for x in body[1:])
+        html = f"<body><div class='zq'><a>{words(2)}</a>{'<a>x</a>' * (i % 5)}</div><div class='entry'><h1>Head {i}</h1><p class='lead'>{body[0]}</p>{rest}</div><div id='zz{i}'><span>{words(3)}</span></div></body>"
+        return (i, f"http://{host}/{i}", html), "\n".join([f"Head {i}", *body])
+
+    made = [page(i, "large", 2 + i % 3) for i in range(40)] + [page(100 + i, "small", 2) for i in range(5)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([m[0] for m in made], "page_id long, url string, html string")).collect()}
+    assert all(got[m[0][0]] == m[1] for m in made[:40])
+    assert all(m[1] in got[m[0][0]] and got[m[0][0]] != m[1] for m in made[40:])
+
+
+def test_recurrence_alone_finds_the_templates(spark):
+    """On hosts with enough pages the names add nothing to what recurs."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    large = pages.groupBy(host.alias("h")).agg(F.count_distinct("html").alias("n")).where("n >= 20")
+    some = pages.join(large, host == F.col("h")).select("page_id", "url", "html")
+    assert some.count() > 50
+    by_name, alone = ({r.page_id: r.text for r in html_text.extract(some, names=n).collect()} for n in (True, False))
+    assert by_name == alone
+    none = {r.page_id: r.text for r in html_text.extract(some, template_pages=1 << 40, names=False).collect()}
+    assert sum(none[i] != t for i, t in alone.items()) == len(alone)
+
+
+def test_hostile_pages(spark):
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    long_ = "<body>" + "".join(f"<p>paragraph {i}</p>" for i in range(5000)) + "</body>"
+    rows = [(1, None, deep, 0), (2, "http://h/a", long_, 0), (None, "http://h/b", "<p>x", 0), (None, "http://h/b", "<p>x", 0), (3, "http://h/c", "<script>a", 0), (4, "http://h/d", "<<<>>> &bogus; </p></div>", 0)]
+    got = sorted(((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, blocks int")).collect()), key=repr)
+    want = [(1, "deep text"), (2, "\n".join(f"paragraph {i}" for i in range(5000))), (None, "x"), (None, "x"), (3, ""), (4, "<<<>>> &bogus;")]
+    assert got == sorted(want, key=repr)
+
+
 # op 2
 
 
+def planted_keys(rng):
+    """Random keys in the notations that keys come in, none of which the base patterns find."""
+    import base64
+    import string
+
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    each = [lambda: base64.b64encode(rng.randbytes(24)).decode(), lambda: pick(string.ascii_letters + string.digits, 32), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: pick(string.ascii_uppercase + string.digits, 28), lambda: pick(string.ascii_letters + string.digits + "_-", 40), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36)]
+    return [make() for make in each for _ in range(40)]
+
+
+def test_planted_keys_are_found(spark):
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    keys = planted_keys(rng)
+    ordinary = ["the_configuration_of_the_service_account", "getUserNameFromTheDatabaseConnection", "MAXIMUM_NUMBER_OF_CONNECTIONS_PER_HOST", "src/components/navigation/header/index", "internationalization-of-the-application", "anotherVeryLongIdentifierWithManyWords"]
+    rows = [(10**6 + i, f"some words before {k} and after") for i, k in enumerate(keys)] + [(2 * 10**6 + i, f"call {x} here") for i, x in enumerate(ordinary)]
+    found = {r.doc_id: r.spans for r in secrets.report(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
+    hit = [found[10**6 + i] == f"random:18:{18 + len(k)}" for i, k in enumerate(keys)]
+    assert sum(hit) >= 0.95 * len(keys)
+    assert not any(found[2 * 10**6 + i] for i in range(len(ordinary)))
+    clean = [s for d, s in found.items() if d < 10**6]
+    assert sum("random" in s for s in clean) <= 0.005 * len(clean)
+
+
+def test_redaction_keeps_the_callers_columns(spark):
+    rows = [(None, "token = abcdef0123", "b", [1], "m"), (1, None, "b", None, None), (1, "token = abcdef0123", "b", [2], "m")]
+    got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, base string, spans array<int>, more string"))
+    assert got.columns == ["doc_id", "text", "base", "spans", "more"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, "[SECRET]", "b", [1], "m"), (1, None, "b", None, None), (1, "[SECRET]", "b", [2], "m")], key=repr)
+
+
+
 def test_secrets(spark, docs):
     token = "Zx9" + hashlib.sha256(b"a").hexdigest()[:9].upper() + "qK7vT2mB8nL4"
     more = [
@@ -278,6 +349,44 @@ def test_boilerplate_lines_are_cut(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_notices_of_many_lines(spark):
+    """Headers, footers and blocks inside go whole; one of them is as many documents' middle line as a copied text's lines are."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    head, foot, inside = ([words(8) for _ in range(n)] for n in (3, 8, 4))
+    own = [[words(30) for _ in range(3)] for _ in range(60)]
+    rows = [(i, "\n".join([*head, o[0], *inside, *o[1:], *foot]), "s") for i, o in enumerate(own)]
+    rows += [(100, "\n".join([*head, words(7), *foot]), "s")]
+    origin = [words(40) for _ in range(5)]
+    for i in range(60):
+        each = list(origin)
+        for _ in range(3):
+            at = rng.randrange(5)
+            each[at] = each[at].replace(rng.choice(each[at].split()), f"edit{i}", 1)
+        rows.append((200 + i, "\n".join(each), "s"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert all(got[i].n_template_words == 8 * 15 and got[i].kept for i in range(60)) and not got[100].kept
+    assert all(got[200 + i].n_template_words == 0 and got[200 + i].kept for i in range(60))
+    text = {r.doc_id: r.text for r in quality_rules.clean(df).collect()}
+    assert text == {i: "\n".join(o) for i, o in enumerate(own)} | {r[0]: r[1] for r in rows if r[0] >= 200}
+
+
+def test_equal_rows_are_judged_alike(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    notice = words(17)
+    rows = [(i, f"{words(40)}\n{notice}\n{words(20)}", "s", "c", "c") for i in range(30)]
+    four = f"{words(30)}\n{notice}\n{words(30)}"
+    df = spark.createDataFrame(rows + [(None, four, "s", "c", "c")] * 4 + [(None, "x", "s", "c", "c"), (3, "x", "s", "c", "c")], "doc_id long, text string, source string, key string, kept string")
+    got = [r for r in quality_rules.judge(df).collect() if r.doc_id is None and r.n_words == 77]
+    assert [(r.n_template_words, r.kept) for r in got] == [(17, True)] * 4
+    kept = quality_rules.keep(df)
+    assert kept.columns == df.columns and kept.count() == 34 and kept.where("doc_id is null").count() == 4
+    clean = quality_rules.clean(df)
+    assert clean.columns == df.columns and clean.where(F.col("text") == four.replace(f"\n{notice}", "")).count() == 4
+
+
 # op 7
 
 
@@ -304,6 +413,21 @@ def test_contaminated_rows_with_repeated_ids(spark, monkeypatch):
         assert sorted((tuple(r) for r in decontaminate.clean(docs, bench, block_chars=block).collect()), key=repr) == want
 
 
+def test_contamination_row_by_row(spark):
+    """Null and repeated ids, clashing columns: one block of items or many give each row its own result."""
+    bench = spark.createDataFrame([(1, "one item of the benchmark that is long enough to be found whole"), (2, "another item that no text has"), (None, "third text of the set")], "item_id long, text string")
+    leak = "so one item of the benchmark that is long enough to be found whole it is"
+    rows = [(None, leak), (None, "clean"), (1, leak), (1, "clean text here"), (1, None), (2, f"third text of the set {leak}")]
+    docs = spark.createDataFrame([(*r, [0], "k") for r in rows], "doc_id long, text string, spans array<int>, key string")
+    each = []
+    for block in (8 << 20, 60):
+        got = decontaminate.report(docs, bench, block_chars=block)
+        each.append(sorted(map(str, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans").collect())))
+        clean = decontaminate.clean(docs, bench, block_chars=block)
+        assert clean.columns == docs.columns and sorted(map(str, clean.select("doc_id", "text").collect())) == sorted(str(r) for r in spark.createDataFrame([(d, t and t.replace("third text of the set", "").replace("one item of the benchmark that is long enough to be found whole", "")) for d, t in rows], "doc_id long, text string").collect())
+    assert each[0] == each[1] and len(each[0]) == 6
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     for n in (1, 2, 50, 400):
@@ -345,6 +469,13 @@ def test_dedup_with_repeated_ids(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, a, 5), (2, b, 5), (3, c, 5), (3, c, 5), (None, c, 5)], key=repr)
 
 
+def test_repeated_ids_have_components_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, f"{a} more"), (8, b), (8, b), (None, a), (9, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(5, 36, 5, True), (5, 36, 5, True), (7, 37, 5, False), (8, 36, 5, False), (8, 36, 5, False), (None, 36, None, True), (9, 0, 9, True)], key=repr)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 75), (200, 200)]
     got = {r.doc: r.comp for r in near_dup.components(spark.createDataFrame(path, "a long, b long")).collect()}
