@@ -21,18 +21,52 @@ def _by(df: DataFrame, by: list[str]):
     return df.groupBy(*by)
 
 
+def _group(by: list[str]) -> Column:
+    return F.struct(*by) if by else F.lit(0)
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """(g, v, t, upto, n): the distinct values of each group g, how many rows have them, have at most them, and are in the group.
+
+    No group is sorted in one task: values are counted, dealt to at most RANGES ranges of equal width a group, and summed up by range
+    first, then within each.
+    """
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("t"))
+    span = counts.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("t").alias("n"))
+    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (RANGES - 1))).otherwise(F.lit(0))
+    placed = counts.join(span, "g").select("g", "v", "t", "n", at.cast("int").alias("b"))
+    before = placed.groupBy("g", "b").agg(F.sum("t").alias("bt"))
+    before = before.select("g", "b", (F.sum("bt").over(Window.partitionBy("g").orderBy("b")) - F.col("bt")).alias("before"))
+    inside = F.sum("t").over(Window.partitionBy("g", "b").orderBy("v"))
+    return placed.withColumn("inside", inside).join(before, ["g", "b"]).select("g", "v", "t", (F.col("before") + F.col("inside")).alias("upto"), "n")
+
+
+def _at_rank(i: Column) -> Column:
+    """The value at rank ``i`` of a group of ``_running``, counted from 0."""
+    return F.min(F.when(F.col("upto") > i, F.col("v")))
+
+
+def _percentile(p: float) -> Column:
+    """The percentile of a group of ``_running``, by linear interpolation between ranks."""
+    at = (F.col("n") - 1) * F.lit(p)
+    low, high = _at_rank(F.floor(at)), _at_rank(F.ceil(at))
+    return low + (high - low) * F.max(at - F.floor(at))
+
+
+def _ungroup(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"g.{c}").alias(c) for c in by), *(c for c in df.columns if c != "g"))
+
+
 def rank_stats(df: DataFrame, value: str, by: list[str] = (), digits: int = 1, clamp: bool = False) -> DataFrame:
     """n, mean, median, p90, p95, min, max by rank: the element at floor(n * p), counted from 0, nulls left out.
 
-    ``clamp`` holds the p95 index to n - 1.  Ranks come from a window per group; use ``interp_percentiles`` with
-    ``approx`` for groups that don't fit that.
+    ``clamp`` holds the p95 index to n - 1.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
-    ranked = rows.withColumn("i", F.row_number().over(group.orderBy("v")) - 1).withColumn("n", F.count("*").over(group))
+    run = _running(df.where(F.col(value).isNotNull()).select(_group(by).alias("g"), F.col(value).alias("v")))
     at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1) if clamp else F.floor(F.col("n") * p)
-    pick = lambda p, name: F.round(F.max(F.when(F.col("i") == at(p), F.col("v"))), digits).alias(name)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("v"), digits).alias("mean"), pick(0.5, "median"), pick(0.9, "p90"), pick(0.95, "p95"), F.round(F.min("v"), digits).alias("min"), F.round(F.max("v"), digits).alias("max"))
+    pick = lambda p, name: F.round(_at_rank(at(p)), digits).alias(name)
+    out = run.groupBy("g").agg(F.sum("t").alias("n"), F.round(F.sum(F.col("v") * F.col("t")) / F.sum("t"), digits).alias("mean"), pick(0.5, "median"), pick(0.9, "p90"), pick(0.95, "p95"), F.round(F.min("v"), digits).alias("min"), F.round(F.max("v"), digits).alias("max"))
+    return _ungroup(out, list(by))
 
 
 def timing_stats(df: DataFrame, value: str, by: list[str] = (), digits: int = 1) -> DataFrame:
@@ -60,8 +94,11 @@ def with_overall(df: DataFrame, by: str, value: str, label: str = "Overall", dig
 
 def condition_summary(df: DataFrame, condition: str, metrics: list[str], order: list[str], digits: int = 4) -> DataFrame:
     """Median and interpolated p95 of the metrics per condition, in a fixed order; conditions without rows give nulls."""
-    aggs = [f for m in metrics for f in (F.round(F.median(m), digits).alias(f"{m}_median"), F.round(F.percentile(m, 0.95), digits).alias(f"{m}_p95"))]
-    got = df.groupBy(condition).agg(F.count("*").alias("n"), *aggs)
+    got = df.groupBy(condition).agg(F.count("*").alias("n"))
+    for m in metrics:
+        run = _running(df.where(F.col(m).isNotNull() & F.col(condition).isNotNull()).select(_group([condition]).alias("g"), F.col(m).cast("double").alias("v")))
+        part = run.groupBy("g").agg(F.round(_percentile(0.5), digits).alias(f"{m}_median"), F.round(_percentile(0.95), digits).alias(f"{m}_p95"))
+        got = got.join(_ungroup(part, [condition]), condition, "left")
     return reindex(got, condition, order)
 
 
@@ -120,9 +157,10 @@ def wer_summary(df: DataFrame, rate: str, by: list[str] = (), digits: int = 4) -
 
 def rtf_stats(df: DataFrame, latency: Column, duration: Column, by: list[str], digits: int = 6) -> DataFrame:
     """Latency over duration: mean, median, p95, p99, max; rows without a duration count 0."""
-    rows = df.select(*by, F.when(duration > 0, latency / duration).otherwise(0.0).alias("rtf"))
+    run = _running(df.select(_group(by).alias("g"), F.when(duration > 0, latency / duration).otherwise(0.0).alias("v")))
     r = lambda c, n: F.round(c, digits).alias(n)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), r(F.avg("rtf"), "mean"), r(F.median("rtf"), "median"), r(F.percentile("rtf", 0.95), "p95"), r(F.percentile("rtf", 0.99), "p99"), r(F.max("rtf"), "max"))
+    out = run.groupBy("g").agg(F.sum("t").alias("n"), r(F.sum(F.col("v") * F.col("t")) / F.sum("t"), "mean"), r(_percentile(0.5), "median"), r(_percentile(0.95), "p95"), r(_percentile(0.99), "p99"), r(F.max("v"), "max"))
+    return _ungroup(out, list(by))
 
 
 def derived_latency(asr: Column, rag: Column, ttft: Column, flush: Column, tts: Column, tokens: Column, total: Column) -> list[Column]:
@@ -201,13 +239,8 @@ def dunn_holm(df: DataFrame, condition: str, value: str) -> DataFrame:
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(condition).alias("c"), F.col(value).alias("v"))
     counts = rows.groupBy("v").agg(F.count("*").alias("t"))
-    # a running total over all values by ranges of equal width: totals of the ranges first, at most RANGES rows, then within each
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (RANGES - 1))).otherwise(F.lit(0))
-    bounds = counts.crossJoin(F.broadcast(span)).select("v", "t", at.cast("int").alias("b"))
-    before = bounds.groupBy("b").agg(F.sum("t").alias("bt")).select("b", (F.sum("bt").over(Window.orderBy("b")) - F.col("bt")).alias("before"))
-    inside = F.sum("t").over(Window.partitionBy("b").orderBy("v")) - F.col("t")
-    ranks = bounds.withColumn("inside", inside).join(F.broadcast(before), "b").select("v", "t", (F.col("before") + F.col("inside") + (F.col("t") + 1) / 2.0).alias("r"))
+    run = _running(rows.select(_group([]).alias("g"), "v"))
+    ranks = run.select("v", "t", (F.col("upto") - (F.col("t") - 1) / 2.0).alias("r"))
     groups = rows.join(ranks.select("v", "r"), "v").groupBy("c").agg(F.count("*").alias("n"), F.avg("r").alias("m"))
     total = counts.agg(F.sum("t").alias("all_n"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("all_ties"))
     a, b = groups.alias("a"), groups.alias("b")
@@ -259,7 +292,8 @@ def stress_report(df: DataFrame, ok: Column, metrics: list[str], digits: int = 4
     rows = df.withColumn("__ok", ok)
     long = rows.where("__ok").select(*(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([], metrics, "metric", "v")
     r = lambda c, n: F.round(c, digits).alias(n)
-    out = long.groupBy("metric").agg(r(F.avg("v"), "mean"), r(F.min("v"), "min"), r(F.max("v"), "max"), *(r(F.percentile("v", p / 100), f"p{p}") for p in (50, 90, 99)))
+    run = _running(long.where("v is not null").select(_group(["metric"]).alias("g"), "v"))
+    out = _ungroup(run.groupBy("g").agg(r(F.sum(F.col("v") * F.col("t")) / F.sum("t"), "mean"), r(F.min("v"), "min"), r(F.max("v"), "max"), *(r(_percentile(p / 100), f"p{p}") for p in (50, 90, 99))), ["metric"])
     failed = rows.agg(F.count_if(~F.coalesce(F.col("__ok"), F.lit(False))).alias("failed"))
     return out.crossJoin(F.broadcast(failed))
 
@@ -317,9 +351,10 @@ def memory_fold(df: DataFrame, session: str, turn: str, limit: int = 3, keep: in
 
 
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(value))
-    return df.withColumn("ecdf", F.round(rank / F.count("*").over(w), 6))
+    """``df`` with ecdf: the share of the group's rows with at most the row's value."""
+    run = _running(df.where(F.col(value).isNotNull()).select(_group(by).alias("g"), F.col(value).alias("v")))
+    share = run.select(F.col("g").alias("__g"), F.col("v").alias("__v"), F.round(F.col("upto") / F.col("n"), 6).alias("ecdf"))
+    return df.join(share, (_group(by) == F.col("__g")) & (F.col(value) == F.col("__v")), "left").drop("__g", "__v")
 
 
 def _medians(every: int, by: int):
@@ -356,7 +391,8 @@ def running_median(df: DataFrame, value: str, by: list[str], order: str, every:
 
 def share_of_total(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
     out = df.groupBy(key).agg(F.count("*").alias("n"))
-    return out.withColumn("share_pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), digits))
+    total = df.agg(F.count("*").alias("__all"))  # one row
+    return out.crossJoin(F.broadcast(total)).withColumn("share_pct", F.round(100.0 * F.col("n") / F.col("__all"), digits)).drop("__all")
 
 
 def flag_warmup(df: DataFrame, run: str, order: str, k: int = 3) -> DataFrame:

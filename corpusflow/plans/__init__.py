@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpusflow.plans import cleaning, dialogue, events, pages, vectors
+from corpusflow.plans import cleaning, dialogue, events, formats, pages, vectors
 from corpusflow.plans.registry import QUERIES, SQL
 from corpusflow.plans.vectors import flagship
 
-__all__ = ["cleaning", "dialogue", "events", "flagship", "oracle_sql", "pages", "queries", "vectors"]
+__all__ = ["cleaning", "dialogue", "events", "flagship", "formats", "oracle_sql", "pages", "queries", "vectors"]
 
 
 def queries():

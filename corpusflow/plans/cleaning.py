@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import chunking, text
 from corpusflow.functions.packs import TEST_EN
 from corpusflow.operators import clean
+from corpusflow.plans import chunk_sql
 from corpusflow.plans.noise import WITH_CONV, WITH_DOC, noised, noised_conv
 from corpusflow.plans.registry import query, table
 
@@ -115,7 +116,7 @@ def cln15_complete_cases(spark, sf_dir):
     return clean.complete_cases(noised_conv(table(spark, sf_dir, "conversations")), ["noised"]).select("conv_id", "turn", "role")
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS contexts FROM documents")
 def cln16_migrate_field(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("gold_context"))
     return clean.migrate_field(rows).select("doc_id", F.array_join("contexts", "|").alias("contexts"))
@@ -144,12 +145,16 @@ def _hashed(rows: DataFrame, chunks) -> DataFrame:
     return out.select("doc_id", F.col("i").cast("long").alias("i"), F.length("x").cast("long").alias("chars"), F.md5("x").alias("h"))
 
 
-@query()
+def _hashed_sql(chunks: str, rows: str = "documents", key: str = "doc_id") -> str:
+    return f"SELECT doc_id, i - 1 AS i, length(c[i]) AS chars, md5(c[i]) AS h FROM (SELECT doc_id, c, unnest(range(1, CAST(len(c) + 1 AS BIGINT))) AS i FROM (SELECT {key} AS doc_id, {chunks} AS c FROM {rows}))"
+
+
+@query(_hashed_sql(chunk_sql.by_length(_SENTENCES, 600, 150, 60, 0)))
 def chk2_chunk_range(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.chunk_range("text"))
 
 
-@query()
+@query(_hashed_sql(chunk_sql.by_length(_SENTENCES, 400, 0, 60, 2)))
 def chk3_chunk_fixed(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.chunk_fixed("text", 400, overlap=2))
 
@@ -165,18 +170,20 @@ def chk4_chunk_words(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.chunk_words("text")).select("doc_id", "chars", "h")
 
 
-@query()
+@query(f"WITH RECURSIVE {chunk_sql.sentence_window('SELECT doc_id AS key, text FROM documents')} SELECT key AS doc_id, i, length(x) AS chars, md5(x) AS h FROM w")
 def chk5_sentence_window(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.chunk_sentence_window("text"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {chunk_sql.sentence_window('SELECT doc_id AS key, text FROM documents WHERE length(text) > 5000')}
+SELECT regexp_replace(md5('rechunk_' || key || '_' || i), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') AS chunk_id, key AS doc_id, i AS chunk_index, md5(x) AS h FROM w
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id, 0, md5(text) FROM documents WHERE length(text) <= 5000""")
 def chk6_rechunk_oversize(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_index"), "text", F.col("text").alias("embed_text"))
     return chunking.rechunk_oversize(rows).select("chunk_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("h"))
 
 
-@query()
+@query(_hashed_sql(chunk_sql.min_punct("text")))
 def chk7_chunk_min_punct(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.chunk_min_punct("text"))
 
@@ -187,12 +194,13 @@ def chk8_stream_buffer(spark, sf_dir):
     return chunking.chunk_stream_buffer(rows, "key", "seq", "token")
 
 
-@query()
+@query(rf"""WITH c AS (SELECT conv_id, turn, text, length({trim('text')}) AS n, regexp_extract(substr(text, 41), '(?s)^(.*?)[.!?,;:…]\s', 0) AS head FROM conversations)
+SELECT conv_id, turn, CAST(CASE WHEN n >= 200 THEN length(text) WHEN n >= 40 AND head <> '' THEN 40 + length(head) END AS BIGINT) AS cut FROM c""")
 def chk9_flush_point(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chunking.flush_point(F.substring("text", 1, 150)).cast("long").alias("cut"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chunking.flush_point("text").cast("long").alias("cut"))
 
 
-@query()
+@query(_hashed_sql(chunk_sql.paragraph_pack("text")))
 def chk10_paragraph_pack(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.split_paragraph_pack("text"))
 
@@ -202,7 +210,7 @@ def chk11_chunk_recursive(spark, sf_dir):
     return _hashed(table(spark, sf_dir, "documents"), chunking.chunk_recursive("text"))
 
 
-@query()
+@query(_hashed_sql(chunk_sql.last_delim("text"), "conversations", "conv_id * 100 + turn"))
 def chk12_split_last_delim(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 100 + F.col("turn"))
     return _hashed(rows, chunking.split_last_delim(F.split("text", "(?<= )")))
@@ -225,16 +233,19 @@ STATS = """count(*) AS n, CAST(min(l) AS BIGINT) AS min_len, CAST(max(CASE WHEN
 
 
 def chunk_stats(chunks: DataFrame, by: str = "config") -> DataFrame:
-    """One row of length statistics per configuration; quartiles by rank (n // 4, n // 2, 3n // 4)."""
+    """One row of length statistics per configuration; quartiles by rank (n // 4, n // 2, 3n // 4).
+
+    Ranks come from the number of chunks of each length, of which there are few, and a running total over them.
+    """
     from pyspark.sql.window import Window
 
+    rows = chunks.groupBy(by, F.length("x").alias("l")).agg(F.count("*").alias("c"), F.count_if(~F.col("x").rlike("[.?!]$")).alias("open"))
     w = Window.partitionBy(by)
-    rows = chunks.select(by, F.length("x").alias("l"), (~F.col("x").rlike("[.?!]$")).alias("open"))
-    rows = rows.withColumn("r", F.row_number().over(w.orderBy("l")) - 1).withColumn("m", F.count("*").over(w))
-    at = lambda e, name: F.max(F.when(F.col("r") == F.floor(F.expr(e)), F.col("l"))).cast("long").alias(name)
+    rows = rows.withColumn("upto", F.sum("c").over(w.orderBy("l"))).withColumn("m", F.sum("c").over(w))
+    at = lambda e, name: F.min(F.when(F.col("upto") > F.floor(F.expr(e)), F.col("l"))).cast("long").alias(name)
     return rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.min("l").cast("long").alias("min_len"), at("m / 4", "p25"), at("m / 2", "median"), at("3 * m / 4", "p75"), F.max("l").cast("long").alias("max_len"),
-        F.round(F.avg("l"), 4).alias("avg_len"), F.round(100.0 * F.count_if("open") / F.count("*"), 4).alias("pct_open"),
+        F.sum("c").alias("n"), F.min("l").cast("long").alias("min_len"), at("m / 4", "p25"), at("m / 2", "median"), at("3 * m / 4", "p75"), F.max("l").cast("long").alias("max_len"),
+        F.round(F.sum(F.col("c") * F.col("l")) / F.sum("c"), 4).alias("avg_len"), F.round(100.0 * F.sum("open") / F.sum("c"), 4).alias("pct_open"),
     )
 
 
@@ -294,9 +305,9 @@ def _digit_sql(x: str) -> str:
     return x
 
 
-@query(f"WITH {WITH_DOC} SELECT doc_id, md5({trim(f'''regexp_replace({_digit_sql(_SCORE)}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')''')}) AS h FROM n WHERE doc_id % 3 <> 0")
+@query(f"WITH {WITH_DOC} SELECT doc_id, md5({trim(f'''regexp_replace({_digit_sql(_SCORE)}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')''')}) AS h FROM n")
 def nrm3_score_norm(spark, sf_dir):
-    return docs(spark, sf_dir).where("doc_id % 3 <> 0").select("doc_id", F.md5(text.score_norm("noised", TEST_EN.digits, compose=False)).alias("h"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.score_norm("noised", TEST_EN.digits, compose=False)).alias("h"))
 
 
 @query(f"SELECT doc_id, md5({_SIMPLE.format('text')}) AS h FROM documents")
@@ -389,7 +400,7 @@ def nrm13_qualify_refs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.qualify_refs(said, "Luật An toàn", ["Luật", "Nghị định", "Thông tư"])).alias("h"))
 
 
-@query()
+@query("SELECT doc_id, CAST(0 AS INTEGER) AS pos, lang AS aspect FROM documents UNION ALL SELECT doc_id, 1, source FROM documents")
 def nrm14_parse_llm_json(spark, sf_dir):
     said = F.concat(F.lit("<think>no {</think>```json\n{\"aspects\": [\""), F.col("lang"), F.lit("\", \""), F.col("source"), F.lit("\"]}\n``` end"))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.parse_llm_json(said, "aspects array<string>").alias("j"))

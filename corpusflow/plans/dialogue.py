@@ -118,9 +118,9 @@ def joi5_first_candidate(spark, sf_dir):
     return joins.first_candidate(rows.select("doc_id"), "doc_id", F.expr("array(doc_id * 7, doc_id * 3 + 1, doc_id % 50)"), lookup, "cand", "found")
 
 
-@query("SELECT d.doc_id, d.source, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 2 = 0")
+@query("SELECT d.doc_id, d.source, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def joi12_attach_scores(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("pos"), "source")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "source")
     return rows.join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "pos"), "pos", "left").select(F.col("pos").alias("doc_id"), "source", "toxic")
 
 
@@ -131,10 +131,11 @@ def ret11_cache_key(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", key.alias("key"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT conv_id, string_agg(role || ': ' || text || CASE WHEN turn % 3 = 2 THEN ' [interrupted]' ELSE '' END, chr(10) ORDER BY turn, role, text) AS history, max_by(text, turn) AS question, CASE WHEN conv_id % 2 = 0 THEN min_by(text, turn) END AS context FROM conversations GROUP BY 1)
+SELECT conv_id, md5(concat_ws(chr(10) || chr(10), 'user: q1' || chr(10) || 'assistant: a1' || chr(10) || 'user: q2' || chr(10) || 'assistant: a2', CASE WHEN regexp_replace(coalesce(context, ''), '\s+', '', 'g') = '' THEN 'nothing found' ELSE 'context:' || chr(10) || context END, history, 'question: ' || question)) AS h FROM c""")
 def ret10_build_prompt(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), F.substring(t["text"], 1, 40).alias("text"), (t["turn"] % 3 == 2).alias("interrupted")))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), (t["turn"] % 3 == 2).alias("interrupted")))
     conv = rows.groupBy("conv_id").agg(turns.alias("history"), F.max_by("text", "turn").alias("question"), F.when(F.col("conv_id") % 2 == 0, F.min_by("text", "turn")).alias("context"), F.lit("").alias("summary"))
     out = retrieval.build_prompt(conv, "question", "context", "summary", "history", [("q1", "a1"), ("q2", "a2")], "nothing found")
     return out.select("conv_id", F.md5("prompt").alias("h"))
@@ -199,14 +200,14 @@ def srt9_size_filter(spark, sf_dir):
     return kept.select("doc_id", F.lit(True).alias("kept")).union(out.select("doc_id", F.lit(False).alias("kept")))
 
 
-_PARTS = "SELECT doc_id % 700 AS k, 0 AS part, source FROM documents WHERE doc_id < 700 UNION ALL SELECT doc_id % 700, 1, 'b' FROM documents WHERE doc_id >= 400 AND doc_id < 700 UNION ALL SELECT doc_id + 5000, 1, source FROM documents WHERE doc_id < 50"
+_PARTS = "SELECT doc_id AS k, source, 0 AS part FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'b', 1 FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT -1 - doc_id, source, 1 FROM documents"
 
 
 def _parts(spark, sf_dir):
+    """Two overlapping parts that together hold every document."""
     rows = table(spark, sf_dir, "documents")
-    a = rows.where("doc_id < 700").select((F.col("doc_id") % 700).alias("k"), "source")
-    b = rows.where("doc_id >= 400 and doc_id < 700").select((F.col("doc_id") % 700).alias("k"), F.lit("b").alias("source"))
-    return [a, b.union(rows.where("doc_id < 50").select((F.col("doc_id") + 5000).alias("k"), "source"))]
+    b = rows.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("k"), F.lit("b").alias("source"))
+    return [rows.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), "source"), b.union(rows.select((-1 - F.col("doc_id")).alias("k"), "source"))]
 
 
 @query(f"SELECT k, min_by(source, part) AS source FROM ({_PARTS}) GROUP BY k")
@@ -219,7 +220,8 @@ def set1_union_last(spark, sf_dir):
     return reshape.union_distinct(_parts(spark, sf_dir), "k", last_wins=True)
 
 
-@query()
+@query(r"""WITH n AS (SELECT unnest(['one curated passage', 'another one']) AS text) SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source, md5(text) AS h FROM documents
+UNION ALL SELECT regexp_replace(md5(text), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5'), 'curated', md5(text) FROM n""")
 def set2_append_curated(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "source")
     return reshape.append_curated(rows, [{"text": "one curated passage"}, {"text": "another one"}], {"source": "curated"}, "text", "chunk_id").select("chunk_id", "source", F.md5("text").alias("h"))
@@ -241,9 +243,9 @@ def set5_ratings_long(spark, sf_dir):
     return reshape.ratings_long(wide, ["how good is clip_0001?", "clip_0002"], keep=["doc_id"])
 
 
-@query("SELECT doc_id, c.c AS condition, k.k AS criterion, CAST(NULL AS DOUBLE) AS score FROM documents, (VALUES ('a'), ('b')) c(c), (VALUES ('natural'), ('clear')) k(k) WHERE doc_id % 5 = 0")
+@query("SELECT doc_id, c.c AS condition, k.k AS criterion, CAST(NULL AS DOUBLE) AS score FROM documents, (VALUES ('a'), ('b')) c(c), (VALUES ('natural'), ('clear')) k(k)")
 def set7_rating_sheet(spark, sf_dir):
-    return reshape.rating_sheet(table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id"), ["a", "b"], ["natural", "clear"])
+    return reshape.rating_sheet(table(spark, sf_dir, "documents").select("doc_id"), ["a", "b"], ["natural", "clear"])
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -280,11 +282,9 @@ def agg10_coverage(spark, sf_dir):
 
 @query()
 def agg11_wer_cer(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").where("n_chars < 3000")
-    b = a.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("hyp"))
-    return a.join(b, "doc_id").select("doc_id", F.round(stats.wer("text", "hyp"), 6).alias("wer"), F.round(stats.cer(F.substring("text", 1, 300), F.substring("hyp", 1, 300)), 6).alias("cer"))
-
-
+    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(stats.wer("text", "hyp"), 6).alias("wer"), F.round(stats.cer("text", "hyp"), 6).alias("cer"))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents WHERE lang = 'en' AND n_chars < 700),

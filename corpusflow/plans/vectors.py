@@ -179,13 +179,19 @@ def agg18_corpus_report(spark, sf_dir):
     return stats.corpus_report(table(spark, sf_dir, "documents"), summary, "text", (0.5, 0.4))
 
 
-@query()
+_SPLIT = r"list_distinct(regexp_extract_all({}, '[^\s]+'))"
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS q, b.text AS t FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(len(list_intersect({_SPLIT.format('q')}, {_SPLIT.format('t')})) / greatest(1, len({_SPLIT.format('q')})), 6) AS score,
+ round(CASE WHEN len({_TOK.format('q')}) = 0 THEN 0 ELSE len(list_intersect(list_distinct({_TOK.format('q')}), {_TOK.format('t')})) / len(list_distinct({_TOK.format('q')})) END, 6) AS overlap FROM p""")
 def udf1_pair_scorer(spark, sf_dir):
     def make():
         return lambda q, t: [len(set(a.split()) & set(b.split())) / max(1, len(set(a.split()))) for a, b in zip(q, t)]
 
-    rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.round(pair_scorer(make)(F.col("source"), F.col("text")), 6).alias("score"), F.round(token_overlap(F.substring("text", 1, 50), "text"), 6).alias("overlap"))
+    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows = a.join(a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.round(pair_scorer(make)(F.col("text"), F.col("answer")), 6).alias("score"), F.round(token_overlap("text", "answer"), 6).alias("overlap"))
 
 
 @query()

@@ -29,10 +29,22 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where it is installed."""
-    env = spark.sparkContext.environment
+    """Let Python workers import this package: from where it is installed, and on a cluster from a copy that Spark hands out."""
+    sc = spark.sparkContext
+    env = sc.environment
     paths = [ROOT, *(p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p and p != ROOT)]
     env["PYTHONPATH"] = os.pathsep.join(paths)
+    if not _one_machine(spark) and sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "corpusflow"), "zip", ROOT, "corpusflow"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        if not _one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)

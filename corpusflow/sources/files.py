@@ -33,7 +33,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**kept).csv(path)
 
 
 def read_id_list(spark: SparkSession, path: str, name: str = "id") -> DataFrame:

@@ -24,9 +24,9 @@ def test_csv_and_ids(spark, tmp_path):
 def test_key_from_path(spark, tmp_path):
     d = tmp_path / "set_1"
     d.mkdir()
-    (d / "clip 7.txt").write_text("hello")
+    (d / "clip 7+1 50%.txt").write_text("hello")
     row = files.key_from_path(spark.read.text(str(d))).first()
-    assert row.id.endswith("7") and row.eval_set == "set_1"
+    assert row.id == "clip 7+1 50%" and row.eval_set == "set_1"
 
 
 def test_snapshots(spark, tmp_path):
