@@ -37,7 +37,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _measure(batches):
-    for part in vec.slices(batches, "text"):
+    for part in vec.slices(batches, "text", 2 << 20):
         data, off = vec.utf8(part.column(1))
         n = len(off) - 1
         inside = ~vec.WHITE[data]
@@ -91,40 +91,47 @@ def row_key(host_col: str, text_col: str):
 
 
 def lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:
-    """A row per different text of a host: key, host and its lines with a word, each by its hash (case, digits and white space levelled), number of words and a mark that edits elsewhere in the line leave alone."""
+    """A row per row of ``docs`` with lines that hold a word: key and its lines, each by a hash of the host and the line (case, digits and white space levelled), number of words and a mark that edits elsewhere in the line leave alone."""
     parts = F.filter(F.transform(F.split(F.col(text_col).cast("string"), "\n"), _level), lambda x: x != "")
 
     def told(words):
-        return F.struct(F.xxhash64(F.array_join(words, " ")).alias("line"), F.size(words).alias("w"), F.xxhash64(F.array_join(F.slice(words, F.array_position(words, F.array_min(words)).cast("int"), 3), " ")).alias("mark"))
+        mark = F.slice(words, F.array_position(words, F.array_min(words)).cast("int"), 3)
+        return F.struct(_line(_host(host_col), F.array_join(words, " ")).alias("line"), F.size(words).alias("w"), F.xxhash64(F.array_join(mark, " ")).alias("mark"))
 
-    rows = docs.select(row_key(host_col, text_col).alias("key"), _host(host_col).alias("host"), F.transform(F.transform(parts, lambda x: F.split(x, " ")), told).alias("lines"))
-    return stored(rows.where("size(lines) > 0").dropDuplicates(["key"]), "lines")
+    rows = docs.select(row_key(host_col, text_col).alias("key"), F.transform(F.transform(parts, lambda x: F.split(x, " ")), told).alias("lines"))
+    return stored(rows.where("size(lines) > 0"), "lines")
+
+
+def _line(host, level):
+    return F.xxhash64(host, level)
 
 
 def _often(texts: DataFrame, line_docs: int) -> DataFrame:
-    """The lines (key, host, line, w, before, after) that many texts of their host have, with the nearest own lines on either side."""
-    often = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").count()
-    often = stored(often.where(F.col("count") >= line_docs).select("host", "line"), "often")
-    at = texts.select("key", "host", F.posexplode("lines").alias("i", "x")).select("key", "i", "host", "x.*")
-    hits = stored(at.join(often, ["host", "line"]).select("key", "i"), "hits").withColumn("often", F.lit(True))
-    near = at.join(hits.select("key").distinct(), "key", "left_semi").join(hits, ["key", "i"], "left")
+    """The lines (key, line, w, before, after) that many texts of their host have, with the nearest own lines on either side; once a text."""
+    many = lambda rows: rows.groupBy("line").count().where(F.col("count") >= line_docs).select("line")
+    at = texts.select("key", F.posexplode("lines").alias("i", "x")).select("key", "i", "x.*")
+    # by rows first, which leaves few lines; then by different texts
+    some = at.select("key", "i", "line").join(stored(many(at), "many"), "line").dropDuplicates(["key", "i"])
+    some = stored(some, "some")
+    hits = stored(some.join(many(some.select("key", "line").distinct()), "line").select("key", "i"), "hits")
+    near = at.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "i"]).join(hits.withColumn("often", F.lit(True)), ["key", "i"], "left")
     own = F.last(F.when(F.col("often").isNull(), F.col("mark")), ignorenulls=True)
     upward, downward = (Window.partitionBy("key").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("i"), F.col("i").desc()))
     near = near.withColumn("before", own.over(upward)).withColumn("after", own.over(downward))
-    return stored(near.where("often").select("key", "host", "line", "w", "before", "after"), "near")
+    return stored(near.where("often").select("key", "line", "w", "before", "after"), "near")
 
 
 def template_lines(near: DataFrame, line_docs: int = LINE_DOCS, neighbour_share: float = NEIGHBOUR_SHARE) -> DataFrame:
-    """(host, line) above the limits; exact counts over all documents."""
+    """The lines above the limits; exact counts over all documents."""
     n = lambda c: F.count_distinct(F.struct(c))  # noqa: E731  a missing neighbour counts as one
-    found = near.groupBy("host", "line").agg(n("key").alias("docs"), n("before").alias("b"), n("after").alias("a"))
-    return found.where((F.col("docs") >= line_docs) & (F.greatest("a", "b") >= F.col("docs") * neighbour_share)).select("host", "line")
+    found = near.groupBy("line").agg(n("key").alias("docs"), n("before").alias("b"), n("after").alias("a"))
+    return found.where((F.col("docs") >= line_docs) & (F.greatest("a", "b") >= F.col("docs") * neighbour_share)).select("line")
 
 
 def _boilerplate(docs: DataFrame, host_col: str, text_col: str, line_docs: int, neighbour_share: float) -> DataFrame:
     """Per key of a text with boilerplate: how many words it has in such lines, and their hashes."""
     near = _often(lines(docs, host_col, text_col), line_docs)
-    gone = near.join(template_lines(near, line_docs, neighbour_share), ["host", "line"]).groupBy("key")
+    gone = near.join(template_lines(near, line_docs, neighbour_share), "line").groupBy("key")
     return stored(gone.agg(F.sum("w").alias("n_template_words"), F.collect_set("line").alias("template")), "boilerplate")
 
 
@@ -160,6 +167,6 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", lin
     """``keep`` with the boilerplate lines cut out of the texts; a text without one stays as it is."""
     found = _verdicts(docs, host_col, text_col, line_docs, neighbour_share, least_words, least_share)
     key, kept, template = found.columns
-    own = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(template, F.xxhash64(_level(x))))
+    own = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains(template, _line(_host(host_col), _level(x))))
     out = docs.join(found, row_key(host_col, text_col) == F.col(key), "left").where(F.coalesce(kept, F.lit(True)))
     return out.withColumn(text_col, F.when(F.col(template).isNotNull(), F.array_join(own, "\n")).otherwise(F.col(text_col))).select(docs.columns)
