@@ -14,7 +14,7 @@ what is named as a notice, advert, comments or the like, unless it holds most of
 Scripts, styles and the like are no text.
 
 Null or empty html gives an empty text; so does a page without text.  A null url is a host of its own.  Repeated
-rows and ids are extracted each, rows alike in id, url and text as one.  Pages of any length and depth are parsed whole.  Extra columns are not
+rows and ids are extracted each.  Pages of any length and depth are parsed whole.  Extra columns are not
 passed.  Ties don't arise: counts decide.  Unclosed and misnested markup is repaired by the nearest open element; nothing is dropped for length.
 An empty table gives no rows.
 """
@@ -36,6 +36,8 @@ from corpusflow.llm.shared import stored
 TEMPLATE_PAGES = 10
 #: ... and, by its text, at least this share of the host's different pages, as articles share passages.
 TEMPLATE_SHARE = 0.25
+#: Digests that are template are broadcast only up to this many.
+BROADCAST_DIGESTS = 1_000_000
 #: Below a heading that most pages share, a page is different if this share of its text stands on few pages.
 OWN_SHARE = 1 / 3
 
@@ -46,6 +48,8 @@ LANDMARK = SKIP | {"header"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html"}
+#: Elements whose texts are counted: blocks, as what recurs inside a line recurs with it or is the article's.
+COUNTED = CLOSES_P | LANDMARK
 # names of what is never the article, and of parts of a layout that may also name what lies around the article
 NEVER = re.compile(r"ad|ads|advert\w*|adsense|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|comment|comments|disqus|respond|replies|related|recommended|breadcrumb|breadcrumbs|pagination|pager")
 LAYOUT = re.compile(r"banner|notice|alert|overlay|social|sidebar|side|aside|widget|menu|nav|navbar|navigation|header|masthead|topbar|footer|foot|toolbar|skip|copyright|legal|disclaimer")
@@ -289,7 +293,7 @@ def analyse(html: str | None) -> tuple[list[str], list[int], list[bool], list[in
         heads[i] |= order[i].tag == "h1"
         heads[up[i]] |= heads[i]
     shapes = [x.shape if i not in main and not heads[i] and (x.label or x.tag in LANDMARK) else 0 for i, x in enumerate(order)]
-    texts = [0 if x.tag in ("", "html", "body") else x.text for x in order]
+    texts = [x.text if x.tag in COUNTED else 0 for x in order]
     out = [b[0] for b in chosen]
     return [b[0] for b in blocks], [b[1][-1].number for b in blocks], [id(b) not in plain for b in blocks], up, texts, shapes, _digest(heading or "\n".join(out))
 
@@ -354,16 +358,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("\x00"))
     parsed = parsed.withColumn("host", host)
     own = F.transform(F.filter(F.arrays_zip("blocks", "named"), lambda b: ~b["named"]), lambda b: b["blocks"])
-    told = _different(parsed.withColumn("blocks", own), template_pages)
-    some = lambda *cols: F.explode(F.array_distinct(F.filter(F.concat(*cols), lambda d: d != 0))).alias("digest")
-    seen = told.select("host", "head", some("texts", "shapes"))
-    often = seen.groupBy("host", "digest").count().where(F.col("count") >= template_pages).select("host", "digest")
-    heads = seen.join(often, ["host", "digest"]).distinct().groupBy("host", "digest").agg(F.count("*").alias("pages")).where(F.col("pages") >= template_pages)
+    told = _different(parsed.withColumn("blocks", own), template_pages).withColumn("host", F.xxhash64("host"))
+    digests = F.concat(*(F.transform(F.array_distinct(c), lambda d: F.struct(d.alias("digest"), F.lit(c == "shapes").alias("shape"))) for c in ("texts", "shapes")))
+    seen = told.select("host", "head", F.explode(digests).alias("x")).select("host", "head", "x.*").where("digest <> 0").withColumn("key", F.xxhash64("host", "digest"))
+    # by pages first, which leaves few digests; then by different pages
+    often = stored(seen.groupBy("key").count().where(F.col("count") >= template_pages).select("key"), "often")
+    counted = seen.join(often, "key").select("host", "digest", "shape", "head").distinct().groupBy("host", "digest", "shape").agg(F.count("*").alias("pages"))
     total = told.groupBy("host").agg(F.count_distinct("head").alias("all"))
-    counted = stored(heads.join(total, "host").select("host", "digest", (F.col("pages") >= template_share * F.col("all")).alias("shared")), "counted")
-    one = parsed.withColumn("row", F.xxhash64("page_id", "url", "blocks", "texts"))
-    hit = one.select("host", "row", some("texts")).join(counted.where("shared"), ["host", "digest"]).select("row", "digest")
-    hit = hit.union(one.select("host", "row", some("shapes")).join(counted, ["host", "digest"]).select("row", "digest"))
-    hit = stored(hit.groupBy("row").agg(F.collect_set("digest").alias("gone")), "templates")
-    out = one.join(hit, "row", "left").select("page_id", "url", *_PARTS[:-1], "gone", F.lit(names).alias("names")).mapInArrow(_delete, f"page_id {kind}, url string, text string")
+    template = counted.where(F.col("pages") >= template_pages).join(total, "host").where(F.col("shape") | (F.col("pages") >= template_share * F.col("all")))
+    hosts = stored(template.groupBy("host").agg(F.collect_set("digest").alias("gone")), "hosts")
+    # verdicts go to the pages while they are few, else pages and verdicts meet by host
+    small = hosts.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_DIGESTS
+    out = parsed.withColumn("host", F.xxhash64("host")).join(F.broadcast(hosts) if small else hosts, "host", "left")
+    out = out.select("page_id", "url", *_PARTS[:-1], "gone", F.lit(names).alias("names")).mapInArrow(_delete, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
