@@ -4,22 +4,25 @@ Two equal 100-byte strings hold the same 32-byte grams, so the gram with the sma
 the same at the same place.  Spark shuffles one row per anchor, keyed by the gram, not one per byte:
 
 1. Anchors of every text are selected in one pass.  Occurrences whose whole context (the 68 bytes on either side) is
-   seen before in the same slice are known repeats and don't go to the gram's group.
-2. Per gram, windows count the occurrences and the different contexts.  Grams seen once are dropped.  Later
-   occurrences of a context are repeats throughout.
+   seen before in the same slice are known repeats and don't go on.
+2. Occurrences are grouped by context, told by a 128-bit hash: later ones are repeats throughout.  The first ones are counted
+   by gram; those whose gram has one context are done.
 3. The different contexts of a gram are sent to the gram's shard, once each.  A shard writes the halves of its
    contexts, read away from the anchor, as blocks of 17 bytes into one text and sorts its suffixes; neighbours in
    suffix order give the common lengths on both sides, and with them, for each of the 69 places of a window over
-   the anchor, which occurrence is the first.
-4. Per document the repeated windows are merged into removed spans.
+   the anchor, which occurrence is the first.  What is compared there are bytes, the gram's among them.
+4. A gram with more contexts than a shard holds is split by its neighbouring bytes: the windows at places lo to hi all hold the lo
+   bytes before the gram and the 68 - hi after it, so halves of the range go to groups by those bytes, and halves of halves
+   until the groups fit.  A group of one place holds equal windows; its first occurrence is a minimum.
+5. Per document the repeated windows are merged into removed spans.
 
 Suffix sorting is the linear grouping construction (``lyndon_suffix_array``): suffixes are grouped by Lyndon prefix, the groups
 are taken in descending order, each moves the previous smaller suffixes of its members to new groups, and a last
 pass emits every group's order along the same pointers; nothing is renamed recursively.
 
 Null texts are empty.  Rows with null or repeated ids are ordered by id (nulls first) and text and treated as different
-documents in that order.  Texts under 100 bytes have nothing to remove.  An empty table gives no rows.  Extra
-columns are not passed.
+documents in that order; between equal rows any is the first.  Texts under 100 bytes have nothing to remove, texts of any length are
+taken whole.  An empty table gives no rows.  Extra columns are not passed.
 """
 
 from __future__ import annotations
@@ -40,9 +43,10 @@ LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM
 PLACES = SIDE + 1
 BLOCK = 17
-#: Contexts that a shard holds at once; a gram's contexts stay together.
+#: Contexts that a shard holds at once, and that a group may have before it is split; a group's contexts stay together.
 SHARD = 40_000
 _TOP = np.uint64(2**64 - 1)
+_OPEN = -2
 
 
 def lyndon_suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -60,7 +64,7 @@ def lyndon_suffix_array(symbols: np.ndarray) -> np.ndarray:
     size = np.zeros(n, np.int64)
     size[start] = sizes
     order, link, place, size = order.tolist(), link.tolist(), place.tolist(), size.tolist()
-    prev = [-1] * n
+    prev = [_OPEN] * n
 
     end = n - 1
     while end >= 0:
@@ -84,11 +88,21 @@ def lyndon_suffix_array(symbols: np.ndarray) -> np.ndarray:
             end = low - 1
             continue
         times: dict[int, int] = {}
-        for s in sorted(order[low : end + 1]):
-            p = s - 1
-            while p >= 0 and link[p] >= low:
-                p = prev[p]
-            prev[s] = p
+        members = order[low : end + 1]
+        for s in members:
+            if prev[s] != _OPEN:
+                continue
+            todo, p = [s], s - 1
+            while todo:  # a pointer through an open member of the group waits for that one's
+                while p >= 0 and link[p] >= low and prev[p] != _OPEN:
+                    p = prev[p]
+                if p >= 0 and link[p] >= low:
+                    todo.append(p)
+                    p -= 1
+                else:
+                    prev[todo.pop()] = p
+        for s in members:
+            p = prev[s]
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
         by_times: dict[int, list[int]] = {}
@@ -161,8 +175,12 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+#: The bytes in another order, for a second hash of the same span.
+_OTHER = np.random.Generator(np.random.PCG64(5)).permutation(256).astype(np.uint8)
+
+
 def _select(batches):
-    """Rows (k, c, doc, pos) of a slice's anchors; c is null for known repeats, whose k only spreads them."""
+    """Rows (k, c, c2, doc, pos) of a slice's anchors: hashes of the gram and, twice, of the context; all null for known repeats."""
     for part in vec.slices(batches, "text"):
         data, off = vec.utf8(part.column(1))
         at, g = anchors(data, off)
@@ -170,14 +188,14 @@ def _select(batches):
             continue
         row = np.searchsorted(off, at, "right") - 1
         begin, stop = np.maximum(at - SIDE, off[row]), np.minimum(at + LENGTH, off[row + 1])
-        c = vec.mix(vec.span_hash(vec.prefix_hash(data), begin, stop) + (at - begin).astype(np.uint64) * vec.STEP)
+        c, c2 = (vec.mix(vec.span_hash(vec.prefix_hash(d), begin, stop) + (at - begin).astype(np.uint64) * vec.STEP) for d in (data, _OTHER[data]))
         doc = part.column(0).to_numpy()[row]
         pos = at - off[row]
-        order = np.lexsort((pos, doc, c, g))
+        order = np.lexsort((pos, doc, c2, c))
         same = np.zeros(len(at), bool)
-        same[order[1:]] = (g[order][1:] == g[order][:-1]) & (c[order][1:] == c[order][:-1])
-        k = np.where(same, vec.mix(doc.astype(np.uint64) * vec.BASE + pos.astype(np.uint64)), g).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.view(np.int64), mask=same), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32))], ["k", "c", "doc", "pos"])
+        same[order[1:]] = (c[order][1:] == c[order][:-1]) & (c2[order][1:] == c2[order][:-1])
+        hashes = [pa.array(x.view(np.int64), mask=same) for x in (g, c, c2)]
+        yield pa.RecordBatch.from_arrays([*hashes, pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32))], ["k", "c", "c2", "doc", "pos"])
 
 
 def _pack(batches):
@@ -186,19 +204,41 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.compress((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], ["doc", "z"])
 
 
+_CONTEXT = "k long, lo int, hi int, doc long, pos int, gram binary, before binary, after binary, hot boolean"
+_CONTEXT_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+
+
+def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_CONTEXT_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _CONTEXT_TYPES)], [x.split()[0] for x in _CONTEXT.split(", ")])
+
+
 def _contexts(batches):
     open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            out = ([], [], [], [], [])
+            some, rows = batch.slice(at, 256), []
             for doc, z, asked in zip(*(some.column(i).to_pylist() for i in range(3))):
                 b = open_(z)
                 for a in asked:
                     p = a["pos"]
-                    for column, value in zip(out, (a["k"], doc, p, b[max(0, p - SIDE) : p][::-1], b[p + GRAM : p + LENGTH])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())], ["k", "doc", "pos", "before", "after"])
+                    rows.append((a["k"], 0, SIDE, doc, p, b[p : p + GRAM], b[max(0, p - SIDE) : p][::-1], b[p + GRAM : p + LENGTH], a["hot"]))
+            yield _context_rows(rows)
+
+
+def _halve(batches):
+    """Each context once for either half of its range of places, keyed by the bytes that the windows there share."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            rows = []
+            for _, lo, hi, doc, pos, gram, before, after, _ in zip(*(c.to_pylist() for c in batch.slice(at, 4096).columns)):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    if len(before) >= a and len(after) >= SIDE - b:
+                        shared = before[:a][::-1] + gram + after[: SIDE - b]
+                        key = hashlib.blake2b(shared, digest_size=8, salt=bytes((a, b))).digest()
+                        rows.append((int.from_bytes(key, "little", signed=True), a, b, doc, pos, gram, before, after, False))
+            yield _context_rows(rows)
 
 
 def _matrix(half: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +251,11 @@ def _matrix(half: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def first_windows(k: np.ndarray, before: tuple, after: tuple) -> np.ndarray:
-    """For contexts in document order: which of the PLACES windows over each anchor repeat an earlier context's."""
-    n = len(k)
+def first_windows(gram: np.ndarray, before: tuple, after: tuple, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For contexts in document order: which of the PLACES windows over each anchor, from place lo to hi, repeat an earlier context's."""
+    n = len(gram)
     sides = []
-    kinds = np.unique(k, return_inverse=True)[1]
+    kinds = np.unique(gram, return_inverse=True)[1].ravel()
     for bytes_, size in (before, after):
         keyed = np.concatenate([kinds.astype(">u8").view(np.uint8).reshape(n, 8), bytes_], axis=1)
         _, first, back = np.unique(np.ascontiguousarray(keyed).view(f"V{8 + SIDE}").ravel(), return_index=True, return_inverse=True)
@@ -237,7 +277,9 @@ def first_windows(k: np.ndarray, before: tuple, after: tuple) -> np.ndarray:
     where = (rank[sides[0][1]], rank[len(sides[0][0]) + sides[1][1]])
     repeated = np.zeros((n, PLACES), bool)
     for o in range(PLACES):
-        fits = np.flatnonzero((before[1] >= o) & (after[1] >= SIDE - o))
+        fits = np.flatnonzero((before[1] >= o) & (after[1] >= SIDE - o) & (lo <= o) & (o <= hi))
+        if not len(fits):
+            continue
         group = [np.concatenate([[0], np.cumsum(common < need)])[w[fits]] for need, w in ((o, where[0]), (SIDE - o, where[1]))]
         _, first = np.unique(group[0] * len(order) + group[1], return_index=True)
         repeated[fits, o] = True
@@ -249,7 +291,8 @@ def _shard(batches):
     def solve(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks().sort_by([("doc", "ascending"), ("pos", "ascending")]).combine_chunks()
         col = lambda c: t.column(c).chunk(0)
-        found = first_windows(col("k").to_numpy(), _matrix(col("before")), _matrix(col("after")))
+        gram = np.frombuffer(b"".join(col("gram").to_pylist()), f"V{GRAM}")
+        found = first_windows(gram, _matrix(col("before")), _matrix(col("after")), col("lo").to_numpy(), col("hi").to_numpy())
         some = np.flatnonzero(found.any(axis=1))
         bits = np.packbits(found[some], axis=1)
         return pa.RecordBatch.from_arrays([col("doc").take(pa.array(some)), col("pos").take(pa.array(some)), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc", "pos", "mask"])
@@ -276,6 +319,31 @@ def _shard(batches):
         yield solve(held)
 
 
+def _place_mask(place: int) -> bytes:
+    return np.packbits(np.arange(PLACES) == place).tobytes()
+
+
+def _masks(contexts: DataFrame) -> DataFrame:
+    """(doc, pos, mask): the windows over each context that repeat an earlier one."""
+    fit, hot = contexts.where("not hot"), contexts.where("hot")
+    out = []
+    while not hot.isEmpty():  # at most as often as 69 places can be halved
+        halves = stored(hot.mapInArrow(_halve, _CONTEXT).drop("hot"), "halves")
+        large = halves.groupBy("k").count().where(F.col("count") > SHARD).select("k", F.lit(True).alias("hot"))
+        told = stored(halves.join(large, "k", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "told").select(contexts.columns)
+        fit, hot = fit.union(told.where("not hot")), told.where("hot and lo < hi")
+        # one place: all of a window's bytes are the key, and its first occurrence is a minimum
+        one = told.where("hot and lo = hi").withColumn("w", F.expr(f"concat(gram, substring(before, 1, lo), substring(after, 1, {SIDE} - lo))")).select("lo", "w", "doc", "pos")
+        first = one.groupBy("lo", "w").agg(F.min(F.struct("doc", "pos")).alias("first"))
+        later = one.join(first, ["lo", "w"]).where(F.struct("doc", "pos") != F.col("first"))
+        mask = F.element_at(F.array(*(F.lit(_place_mask(i)) for i in range(PLACES))), F.col("lo") + 1)
+        out.append(later.select("doc", "pos", mask.alias("mask")))
+    masks = fit.repartition("k").sortWithinPartitions("k").mapInArrow(_shard, "doc long, pos int, mask binary")
+    for more in out:
+        masks = masks.union(more)
+    return masks
+
+
 def _remove(batches):
     open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -306,22 +374,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = n == full and kind in ("bigint", "int", "smallint", "tinyint")
     if plain:
         rows = rows.withColumn("doc", F.col("doc_id").cast("long"))
-    else:  # number the rows in order; a distributed sort and an index
-        spark = docs.sparkSession
+    else:  # numbers rise with the sorted partitions; stored, or they could change when a row is computed again
         ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-        rows = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), f"doc_id {kind}, text string, doc long")
-        rows = stored(rows, "numbered")
+        rows = stored(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered")
     texts = rows.select("doc", "text").mapInArrow(_pack, "doc long, z binary")
-    found = rows.select("doc", "text").mapInArrow(_select, "k long, c long, doc long, pos int").repartition("k")
-    context = Window.partitionBy("k", "c").orderBy("doc", "pos")
-    gram = Window.partitionBy("k")
-    found = found.withColumn("later", F.col("c").isNull() | (F.row_number().over(context) > 1))
-    found = found.withColumn("n", F.count("*").over(gram)).withColumn("m", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(gram))
-    found = found.where("later or m > 1").select("doc", "pos", F.when(~F.col("later"), F.col("k")).alias("k"))
-    found = stored(found, "anchors")
-    asked = found.where("k is not null").groupBy("doc").agg(F.collect_list(F.struct("pos", "k")).alias("asked"))
-    contexts = texts.join(asked, "doc").select("doc", "z", "asked").mapInArrow(_contexts, "k long, doc long, pos int, before binary, after binary")
-    masks = stored(contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_shard, "doc long, pos int, mask binary"), "windows")
+    found = rows.select("doc", "text").mapInArrow(_select, "k long, c long, c2 long, doc long, pos int")
+    # known repeats have no hashes; their place deals them out
+    spread = F.coalesce("c", F.xxhash64("doc", "pos"))
+    context = Window.partitionBy("spread", "c2").orderBy("doc", "pos")
+    found = found.withColumn("spread", spread).withColumn("later", F.col("k").isNull() | (F.row_number().over(context) > 1))
+    found = stored(found.select("doc", "pos", F.when(~F.col("later"), F.col("k")).alias("k")), "anchors")
+    firsts = found.where("k is not null")
+    several = firsts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k", (F.col("m") > SHARD).alias("hot"))
+    asked = firsts.join(several, "k").groupBy("doc").agg(F.collect_list(F.struct("pos", "k", "hot")).alias("asked"))
+    contexts = stored(texts.join(asked, "doc").select("doc", "z", "asked").mapInArrow(_contexts, _CONTEXT), "contexts")
+    masks = stored(_masks(contexts), "windows")
     every = found.where("k is null").select("doc", "pos", F.lit(None).cast("binary").alias("mask")).union(masks)
     per_doc = every.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
     out = texts.join(per_doc, "doc", "left").select("doc", "z", "found").mapInArrow(_remove, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
