@@ -11,8 +11,8 @@ Texts may hold the template's control strings: a backslash is put behind the fir
 backslash), which no control string survives and which ``unescape`` reverts exactly.
 
 Null texts and roles are empty.  A null conv_id is a conversation of its own, null turns come first.  Rows that repeat a
-turn are messages of their own, ordered by role and text.  Unknown events are errors.  An empty table gives no rows.
-Extra columns are not passed.
+turn are messages of their own, ordered by role and text; ties are only between equal ones.  Unknown events are errors.  Texts and
+conversations of any length are streamed.  An empty table gives no rows.  Extra columns are not passed, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,9 +5,11 @@ bounded sample of labelled rows: features are binned by quantiles, every node's
 bincounts per bin, and a level of splits is chosen at once.  A model is a few flat arrays (feature, threshold,
 children, value); scoring walks all rows of a batch down all trees with numpy indexing.
 
-Null and empty texts have statistics of zero and get a score like any other row.  Labels other than 0 and 1 and
-labels of unknown documents are ignored; a sample without both classes gives its share as constant score.
-Repeated rows are scored each.  Extra columns are not passed.  An empty table gives no rows.
+Null and empty texts have statistics of zero and get a score like any other row; texts of any length are measured whole.  Labels other
+than 0 and 1 and labels of unknown documents are ignored; of an id with several labels the larger counts, of one with several
+texts the one with the smallest statistics.  A sample without both classes gives its share as constant score.
+Ties between splits go to the first feature and threshold.  Repeated rows and null ids are scored each; a null id is not held out.
+Extra columns are not passed, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -158,7 +160,7 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 def _statistics(batches):
     for part in vec.slices(batches, "text"):
         x = statistics(part.column(1))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["id", "x"])
 
 
 def held_out(doc_id: str) -> Column:
@@ -169,8 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows outside the held-out fold, at most ``rows`` of them."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out("id"))
     y = y.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), "id").select("y", "text")
-    table = some.mapInArrow(_statistics, "y int, x array<double>").toPandas()
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y.select("id")), "id", "left_semi")
+    measured = some.mapInArrow(_statistics, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>").groupBy("id").agg(F.min("x").alias("x"))
+    table = measured.join(F.broadcast(y), "id").select("y", "x").toPandas()  # at most ``rows``
     if not len(table):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.stack(table["x"].to_numpy())

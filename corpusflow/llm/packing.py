@@ -7,8 +7,9 @@ fullest feasible combination, which is removed, as often at once as the counts a
 rows per combination, is bounded by the capacity and not by the corpus.  Pieces find their bin through their
 rank among the pieces of equal length; ranks are counted in salted groups, so that no length is one group.
 
-Null texts are empty and give one piece, the id 0.  Repeated rows are packed each.  Ties in rank are only
-between equal rows.  An empty table gives an empty result.
+Null texts are empty and give one piece, the id 0.  Repeated rows and null ids are packed each.  Ties in rank are only
+between equal rows.  Texts of any length are packed whole, in several pieces.  Extra columns are not passed, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusflow.llm import tokens
+from corpusflow.llm import tokens, vec
 from corpusflow.llm.shared import cut
 
 CAPACITY = 2048
@@ -32,7 +33,7 @@ _END = b"\0\0\0\0"
 def _cut(capacity: int, ranks: str, json: str):
     def run(batches):
         encode = tokens.encoder(ranks, json)
-        for batch in batches:
+        for batch in vec.slices(batches, "text"):
             ids, piece, start, length, crc = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = encode(text) + _END

@@ -4,11 +4,12 @@ Every document becomes sequences of at most ``seq_len`` ids.  Sequences are numb
 materialised table, and a keyed Feistel network over the next power of four permutes the numbers; values outside the range walk the cycle
 until they fall inside, so that every sequence gets its own global slot.  Slots are range partitioned into
 shards of ``shard_rows`` rows; a shard is one Parquet file sorted by slot whose ids column has a fixed stride
-(``2 * seq_len`` bytes, padded with zeros, n_ids tells how many count), so a reader resumes at any slot by
-shard number and row.
+(``2 * seq_len`` bytes, or ``4 * seq_len`` for a ``wide`` vocabulary, padded with zeros, n_ids tells how many count), so a reader
+resumes at any slot by shard number and row.
 
-Null texts are empty: one sequence, the end id.  Repeated rows are written each.  Extra columns are not passed.
-An empty table gives no shards.
+Null texts are empty: one sequence, the end id.  Repeated rows and null ids are written each; no two share a slot, so there
+are no ties.  Texts of any length are written whole, in several sequences.  Ids that don't fit the width are an error.  Extra columns are not
+passed, whatever their names.  An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -48,13 +49,20 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def _cut(seq_len: int, ranks: str, json: str):
+def _width(wide: bool) -> str:
+    return "<u4" if wide else "<u2"
+
+
+def _cut(seq_len: int, ranks: str, json: str, wide: bool):
     def run(batches):
         encode, press = tokens.encoder(ranks, json), zstandard.ZstdCompressor(level=9)
         for part in vec.slices(batches, "text"):
             ids, seq, size, body = [], [], [], []
             for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                got = np.append(np.frombuffer(encode(text), np.uint32), 0).astype("<u2")
+                got = np.append(np.frombuffer(encode(text), np.uint32), 0)
+                if not wide and got.max() >> 16:
+                    raise ValueError(f"id {got.max()} needs more than 16 bits: a wide vocabulary")
+                got = got.astype(_width(wide))
                 for k in range(0, len(got), seq_len):
                     ids.append(i)
                     seq.append(k // seq_len)
@@ -65,10 +73,10 @@ def _cut(seq_len: int, ranks: str, json: str):
     return run
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, ranks: str = tokens.RANKS, json: str = tokens.JSON) -> DataFrame:
-    """doc_id, seq, n_ids and z, the ids as packed little-endian unsigned 16-bit integers."""
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, ranks: str = tokens.RANKS, json: str = tokens.JSON, wide: bool = False) -> DataFrame:
+    """doc_id, seq, n_ids and z, the ids as packed little-endian unsigned 16-bit (``wide``: 32-bit) integers."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(seq_len, ranks, json), f"doc_id {kind}, seq int, n_ids int, z binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(seq_len, ranks, json, wide), f"doc_id {kind}, seq int, n_ids int, z binary")
 
 
 def _slot(n: int, key: int):
@@ -80,22 +88,22 @@ def _slot(n: int, key: int):
     return run
 
 
-def _pad(seq_len: int):
+def _pad(stride: int):
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
             z = b.column(b.schema.get_field_index("z"))
             for at in range(0, b.num_rows, 1024):
-                ids = pa.array([open_(x).ljust(2 * seq_len, b"\0") for x in z[at : at + 1024].to_pylist()], pa.binary())
+                ids = pa.array([open_(x).ljust(stride, b"\0") for x in z[at : at + 1024].to_pylist()], pa.binary())
                 own = b.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([*(own.column(own.schema.get_field_index(c)) for c in ("shard", "slot", "doc_id", "seq", "n_ids")), ids], ["shard", "slot", "doc_id", "seq", "n_ids", "ids"])
 
     return run
 
 
-def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, key: int = KEY, ranks: str = tokens.RANKS, json: str = tokens.JSON) -> None:
+def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shard_rows: int = SHARD_ROWS, key: int = KEY, ranks: str = tokens.RANKS, json: str = tokens.JSON, wide: bool = False) -> None:
     """Write all sequences of ``docs`` in training order under ``path``, a folder per shard."""
-    parts = cut(sequences(docs, id_col, text_col, seq_len, ranks, json))
+    parts = cut(sequences(docs, id_col, text_col, seq_len, ranks, json, wide))
     # the cut's partitions are fixed, so a row's number is its partition's first one and its place there; nothing moves
     placed = parts.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     groups = cut(placed.groupBy("part").agg(F.count("*").alias("n")))  # a row per partition
@@ -107,7 +115,7 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     slots = slots.withColumn("shard", (F.col("slot") / shard_rows).cast("long"))
     shards = max(1, -(-n // shard_rows))
     out = slots.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-    out = out.select("shard", "slot", "doc_id", "seq", "n_ids", "z").mapInArrow(_pad(seq_len), f"shard long, slot long, doc_id {kind}, seq int, n_ids int, ids binary")
+    out = out.select("shard", "slot", "doc_id", "seq", "n_ids", "z").mapInArrow(_pad((4 if wide else 2) * seq_len), f"shard long, slot long, doc_id {kind}, seq int, n_ids int, ids binary")
     out.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
@@ -116,18 +124,21 @@ def read_from(spark: SparkSession, path: str, slot: int = 0, shard_rows: int = S
     return spark.read.parquet(path).where((F.col("shard") >= slot // shard_rows) & (F.col("slot") >= slot))
 
 
-def _check(batches):
-    for b in batches:
-        ids, size = b.column(b.schema.get_field_index("ids")).to_pylist(), b.column(b.schema.get_field_index("n_ids")).to_pylist()
-        crc = [zlib.crc32(np.frombuffer(x, "<u2")[:m].astype("<u4").tobytes()) for x, m in zip(ids, size)]
-        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("slot", "shard", "doc_id", "seq", "n_ids")), pa.array(crc, pa.int64()), pa.array([len(x) for x in ids], pa.int64())], ["slot", "shard", "doc_id", "seq", "n_ids", "ids_crc32", "stride"])
+def _check(wide: bool):
+    def run(batches):
+        for b in batches:
+            ids, size = b.column(b.schema.get_field_index("ids")).to_pylist(), b.column(b.schema.get_field_index("n_ids")).to_pylist()
+            crc = [zlib.crc32(np.frombuffer(x, _width(wide))[:m].astype("<u4").tobytes()) for x, m in zip(ids, size)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("slot", "shard", "doc_id", "seq", "n_ids")), pa.array(crc, pa.int64()), pa.array([len(x) for x in ids], pa.int64())], ["slot", "shard", "doc_id", "seq", "n_ids", "ids_crc32", "stride"])
+
+    return run
 
 
-def digest(written: DataFrame) -> DataFrame:
+def digest(written: DataFrame, wide: bool = False) -> DataFrame:
     """slot, shard, doc_id, seq, n_ids, ids_crc32 (of the ids as 32-bit integers) and stride, read from the shards."""
     kind = written.schema["doc_id"].dataType.simpleString()
     rows = written.withColumn("shard", F.col("shard").cast("long"))
-    return rows.mapInArrow(_check, f"slot long, shard long, doc_id {kind}, seq int, n_ids int, ids_crc32 long, stride long")
+    return rows.mapInArrow(_check(wide), f"slot long, shard long, doc_id {kind}, seq int, n_ids int, ids_crc32 long, stride long")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
@@ -136,4 +147,4 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"training-{uuid.uuid4().hex}")
     materialise(docs, path, **options)
     schema = f"slot long, doc_id {docs.schema[options.get('id_col', 'doc_id')].dataType.simpleString()}, seq int, n_ids int, ids binary, shard long"
-    return digest(spark.read.schema(schema).parquet(path))
+    return digest(spark.read.schema(schema).parquet(path), options.get("wide", False))
