@@ -99,8 +99,10 @@ def test_names_inside_and_beside_the_article():
     assert parsed("<article><p>the text</p></article><ol class='comment-list'><li><article class='comment-body'>a longer comment than the text</article></li></ol>") == ["the text"]
 
 
-def test_shapes_of_a_host_are_template(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_shapes_of_a_host_are_template(spark, monkeypatch, broadcast):
     """Boxes without a telling name and with a text of their own on every page go by their shape, on hosts with enough pages."""
+    monkeypatch.setattr(html_text, "BROADCAST_DIGESTS", broadcast)
     rng = random.Random(5)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
 
@@ -230,6 +232,17 @@ def test_repeats_in_hostile_texts(spark, monkeypatch):
     check_repeats(spark, rows)
 
 
+def test_repeats_of_a_gram_in_every_document(spark, monkeypatch):
+    """A phrase that all documents hold between different surroundings is split until its groups fit."""
+    monkeypatch.setattr(suffix_dedup, "SHARD", 9)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    phrase, near = text(40), [text(70) for _ in range(3)]
+    rows = [(i, f"{text(rng.randrange(90))}{rng.choice(near)[rng.randrange(60):]}{phrase}{rng.choice(near)[:rng.randrange(70)]}{text(rng.randrange(90))}") for i in range(60)]
+    rows += [(100 + i, f"{text(30)}{near[0]}{phrase}{near[1]}{text(30)}") for i in range(30)]
+    check_repeats(spark, rows)
+
+
 def test_repeats_with_repeated_ids(spark):
     t = "".join(random.Random(9).choices("abcdefgh", k=150))
     got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")).collect()
