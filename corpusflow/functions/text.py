@@ -133,16 +133,20 @@ def tokens(c: ColumnLike) -> Column:
     return F.filter(F.split(simple_norm(c), " "), lambda t: t != "")
 
 
+# fixed values: the markdown that goes, in the order it goes, and what stays of it
+_STARS, _UNDERSCORES = (r"\*{1,3}([^*\n]+)\*{1,3}", "$1"), (r"_{1,3}([^_\n]+)_{1,3}", "$1")
+_MARKDOWN = ((r"(?m)^#{1,6}[ \t]*", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*[0-9]+\.[ \t]+", ""), (r"`{1,3}([^`]*)`{1,3}", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\n+", " "))
+
+
 def strip_markdown(c: ColumnLike, underscores: bool = True) -> Column:
     """Bold, italics, headings, bullets, numbers, code and links as plain text on one line."""
-    out = F.regexp_replace(col(c), r"\*{1,3}([^*\n]+)\*{1,3}", "$1")
-    if underscores:
-        out = F.regexp_replace(out, r"_{1,3}([^_\n]+)_{1,3}", "$1")
-    for pattern, new in ((r"(?m)^#{1,6}[ \t]*", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*[0-9]+\.[ \t]+", ""), (r"`{1,3}([^`]*)`{1,3}", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\n+", " ")):
+    out = col(c)
+    for pattern, new in (_STARS, *([_UNDERSCORES] if underscores else []), *_MARKDOWN):
         out = F.regexp_replace(out, pattern, new)
     return strip(out)
 
 
+# fixed value: what counts as a url in spoken text
 _URL = r"(?i)https?://\S+|www\.\S+"
 
 
@@ -187,6 +191,7 @@ def parse_llm_json(c: ColumnLike, schema: str) -> Column:
 
 # reading aloud
 
+# fixed values: units and their spoken names
 _UNITS = {"km": "ki lô mét", "kg": "ki lô gam", "mg": "mi li gam", "ml": "mi li lít", "cm": "xen ti mét", "mm": "mi li mét", "m": "mét", "g": "gam", "l": "lít", "h": "giờ"}
 
 
@@ -196,6 +201,7 @@ def spoken_form(c: ColumnLike, units: dict[str, str] = _UNITS) -> Column:
     The rules run in this order; spans inside <en>...</en> are left as they are.  Dates and times out of range stay.
     """
 
+    # fixed values: the patterns, their spoken forms and their order
     def rules(x: Column) -> Column:
         x = F.regexp_replace(x, r"(-?\d+(?:[.,]\d+)?)\s*°\s*C\b", "$1 độ xê")
         x = F.regexp_replace(x, r"(\d+(?:[.,]\d+)?)\s*(?:đ|VND|VNĐ)(?![\p{L}\p{N}])", "$1 đồng")
@@ -211,6 +217,7 @@ def spoken_form(c: ColumnLike, units: dict[str, str] = _UNITS) -> Column:
     parts = F.split(col(c), r"(?=<en>)|(?<=</en>)")
     return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("<en>"), x).otherwise(rules(x))), "")
 
+
 # fixed values: the Vietnamese digits
 DIGITS = ("không", "một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")
 

@@ -51,14 +51,24 @@ def cln5_drop_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.drop_lines("noised", TEST_EN).alias("t"))
 
 
-@query()
+_TOC = r"(?s)^(.*?)\nCONTENTS\n(?:[ \t]*(?:\d+\.[^\n]*)?(?:\n|\z))*(.*)$"
+
+
+def _toc_sql(x: str) -> str:
+    before, after = f"regexp_extract({x}, '{_TOC}', 1)", f"regexp_extract({x}, '{_TOC}', 2)"
+    return f"CASE WHEN contains({x}, chr(10) || 'CONTENTS' || chr(10)) THEN {before} || CASE WHEN {after} <> '' THEN chr(10) || {after} ELSE '' END ELSE {x} END"
+
+
+@query(f"WITH t AS (SELECT doc_id, 'intro' || chr(10) || 'CONTENTS' || chr(10) || '1. ' || lang || chr(10) || chr(10) || '2. two' || chr(10) || text AS x FROM documents) SELECT doc_id, {_toc_sql('x')} AS t FROM t")
 def cln4_remove_toc(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
     toc = F.concat(F.lit("intro\nCONTENTS\n1. "), F.col("lang"), F.lit("\n\n2. two\n"), F.col("text"))
     return rows.select("doc_id", text.remove_toc(toc, TEST_EN).alias("t"))
 
 
-@query()
+@query(rf"""WITH {WITH_DOC}, a AS (SELECT doc_id, {INVISIBLE.format('noised')} AS x FROM n), m AS (SELECT doc_id, x, regexp_extract(x, '(?i)\n(Bibliography|References?)([^\pL\pN_]|$)', 0) AS h FROM a),
+b AS (SELECT doc_id, CASE WHEN h = '' THEN x ELSE left(x, CAST(strpos(x, h) - 1 AS INT)) END AS x FROM m), c AS (SELECT doc_id, {_toc_sql('x')} AS x FROM b),
+d AS (SELECT doc_id, array_to_string(list_filter(string_split(x, chr(10)), lambda y: NOT regexp_matches({trim('y')}, '{_UNWANTED}')), chr(10)) AS x FROM c) SELECT doc_id, {COLLAPSE.format('x')} AS t FROM d""")
 def cln6_clean_content(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.clean_content("noised", TEST_EN).alias("t"))
 
@@ -394,7 +404,7 @@ def nrm12_lexicon_oov(spark, sf_dir):
     return cores.join(_lexicon(spark, sf_dir), F.col("core") == F.col("k"), "left_anti").groupBy("core").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, md5('theo Điều ' || (doc_id % 9 + 1) || CASE WHEN doc_id % 2 = 0 THEN ' của Luật này ' ELSE ' Luật An toàn ' END || text) AS h FROM documents")
 def nrm13_qualify_refs(spark, sf_dir):
     said = F.concat(F.lit("theo Điều "), (F.col("doc_id") % 9 + 1).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit(" của Luật này ")).otherwise(F.lit(" ")), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.qualify_refs(said, "Luật An toàn", ["Luật", "Nghị định", "Thông tư"])).alias("h"))

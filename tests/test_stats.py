@@ -1,8 +1,10 @@
 import math
+import re
 
 from pyspark.sql import functions as F
 
-from corpusflow.operators import retrieval, sample, stats
+from corpusflow.operators import joins, retrieval, sample, stats
+from corpusflow.plans import queries
 
 
 def test_wer(spark):
@@ -11,6 +13,27 @@ def test_wer(spark):
     assert rows.select(stats.cer("r", "h").alias("c")).first().c == 0.5
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_error_rates_of_turns(spark):
+    sf = "/root/testdata/sf0.001"
+    text = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = queries()["agg11_wer_cer"](spark, sf).collect()
+    assert len(got) == sum((c, t + 1) in text for c, t in text)
+    for r in got[::5]:
+        a, b = (" ".join(re.sub(r"[^\w\s]", " ", text[r.conv_id, t].lower()).split()) for t in (r.turn, r.turn + 1))
+        assert abs(r.wer - round(distance(a.split(), b.split()) / max(1, len(a.split())), 6)) < 2e-6
+        a, b = a.replace(" ", ""), b.replace(" ", "")
+        assert abs(r.cer - round(distance(a, b) / max(1, len(a)), 6)) < 2e-6
+
+
 def test_normal_cdf_and_t(spark):
     got = spark.createDataFrame([(0.0,), (1.96,)], "x double").select(stats.normal_cdf(F.col("x")).alias("p")).collect()
     assert abs(got[0].p - 0.5) < 1e-6 and abs(got[1].p - 0.9750021) < 1e-6
@@ -37,6 +60,33 @@ def test_vector_topk_in_blocks_is_the_same(spark):
     assert a == b and len(a) == 80 and all(r[1] == r[0] for r in a if r[3] == 1)
 
 
+def test_odd_vectors_and_blocks_of_terms(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "id int, v array<double>")
+    got = retrieval.vector_topk(rows.withColumnRenamed("id", "q"), rows, 2, "q", "v", "id", "v").collect()
+    assert {r.q for r in got} == {1, 3, 4} and all(r.id != 2 for r in got)
+    assert retrieval.vector_topk(rows.where("v is null").withColumnRenamed("id", "q"), rows, 2, "q", "v", "id", "v").count() == 0
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 9)) if i else None) for i in range(20)], "d int, t string")
+    asked = docs.where("d % 3 = 1").select(F.col("d").alias("q"), F.col("t").alias("x"))
+    a, b = (sorted(map(tuple, retrieval.bm25_topk(asked, docs, 3, "q", "x", "d", "t", block=n).collect())) for n in (1000, 4))
+    assert a == b and len(a) == 3 * asked.count()
+    assert retrieval.bm25_topk(asked.where("q < 0"), docs, 3, "q", "x", "d", "t").count() == 0
+
+
+def test_cache_runs_go_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.createDataFrame([(i, i % 3 if i % 4 else None, float((i * 7) % 50)) for i in range(120)], "o int, k int, t double")
+        got = {r.o: r.hit for r in joins.exact_cache_asof(rows, "k", "t", 10, "o").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    written, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.t, r.o)):
+        want[r.o] = r.k in written and r.t < written[r.k] + 10
+        if not want[r.o]:
+            written[r.k] = r.t
+    assert got == want
+
+
 def test_samples_repeat(spark):
     rows = spark.range(500).withColumn("g", F.col("id") % 3)
     a, b = (sorted(r.id for r in sample.stratified(rows.repartition(n), "g", "id", 7).collect()) for n in (1, 5))
