@@ -280,7 +280,7 @@ def _next_led(live: DataFrame, scores: DataFrame, profile: DataFrame) -> DataFra
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and root, the smallest id of its component, of every row; ids don't repeat with different texts."""
+    """doc_id, n_shingles and root, the smallest id of its component, of every row; ids that aren't null don't repeat."""
     sk = cut(sketches(docs, id_col, text_col))
     full = sk.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "s1", "s2"]
@@ -296,7 +296,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if scores.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = cut(source.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_pack, "doc long, z binary"))
+    texts = cut(source.join(ids, "doc", "left_semi").mapInArrow(_pack, "doc long, z binary"))
     profile = classes.select("doc", "n", "planes").join(ids, "doc", "left_semi").join(_unshared(texts), "doc", "left").fillna(0, "u")
     profile = cut(profile.where("4 * u <= n"))  # with more than a quarter unshared, no link is possible
     many = cut(many.select("k", "doc", "band").join(profile.select("doc"), "doc", "left_semi"))
