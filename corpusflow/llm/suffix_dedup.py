@@ -45,6 +45,8 @@ PLACES = SIDE + 1
 BLOCK = 17
 #: Contexts that a shard holds at once, and that a group may have before it is split; a group's contexts stay together.
 SHARD = 40_000
+#: Bytes of text within which known repeats are left out before anything moves.
+SLICE = 4 << 20
 _TOP = np.uint64(2**64 - 1)
 _OPEN = -2
 
@@ -181,7 +183,7 @@ _OTHER = np.random.Generator(np.random.PCG64(5)).permutation(256).astype(np.uint
 
 def _select(batches):
     """Rows (k, c, c2, doc, pos) of a slice's anchors: hashes of the gram and, twice, of the context; all null for known repeats."""
-    for part in vec.slices(batches, "text"):
+    for part in vec.slices(batches, "text", SLICE):
         data, off = vec.utf8(part.column(1))
         at, g = anchors(data, off)
         if not len(at):
@@ -323,8 +325,13 @@ def _place_mask(place: int) -> bytes:
     return np.packbits(np.arange(PLACES) == place).tobytes()
 
 
-def _masks(contexts: DataFrame) -> DataFrame:
-    """(doc, pos, mask): the windows over each context that repeat an earlier one."""
+def _solved(contexts: DataFrame) -> DataFrame:
+    """(doc, pos, mask): the windows over each context that repeat an earlier one of its group."""
+    return contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_shard, "doc long, pos int, mask binary")
+
+
+def _split(contexts: DataFrame) -> DataFrame:
+    """``_solved`` for contexts of which some are in groups that a shard can't hold."""
     fit, hot = contexts.where("not hot"), contexts.where("hot")
     out = []
     while not hot.isEmpty():  # at most as often as 69 places can be halved
@@ -338,7 +345,7 @@ def _masks(contexts: DataFrame) -> DataFrame:
         later = one.join(first, ["lo", "w"]).where(F.struct("doc", "pos") != F.col("first"))
         mask = F.element_at(F.array(*(F.lit(_place_mask(i)) for i in range(PLACES))), F.col("lo") + 1)
         out.append(later.select("doc", "pos", mask.alias("mask")))
-    masks = fit.repartition("k").sortWithinPartitions("k").mapInArrow(_shard, "doc long, pos int, mask binary")
+    masks = _solved(fit)
     for more in out:
         masks = masks.union(more)
     return masks
@@ -385,10 +392,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.withColumn("spread", spread).withColumn("later", F.col("k").isNull() | (F.row_number().over(context) > 1))
     found = stored(found.select("doc", "pos", F.when(~F.col("later"), F.col("k")).alias("k")), "anchors")
     firsts = found.where("k is not null")
-    several = firsts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k", (F.col("m") > SHARD).alias("hot"))
+    several = stored(firsts.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k", (F.col("m") > SHARD).alias("hot")), "several")
     asked = firsts.join(several, "k").groupBy("doc").agg(F.collect_list(F.struct("pos", "k", "hot")).alias("asked"))
-    contexts = stored(texts.join(asked, "doc").select("doc", "z", "asked").mapInArrow(_contexts, _CONTEXT), "contexts")
-    masks = stored(_masks(contexts), "windows")
+    contexts = texts.join(asked, "doc").select("doc", "z", "asked").mapInArrow(_contexts, _CONTEXT)
+    masks = stored(_solved(contexts) if several.where("hot").isEmpty() else _split(stored(contexts, "contexts")), "windows")
     every = found.where("k is null").select("doc", "pos", F.lit(None).cast("binary").alias("mask")).union(masks)
     per_doc = every.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
     out = texts.join(per_doc, "doc", "left").select("doc", "z", "found").mapInArrow(_remove, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
