@@ -29,7 +29,7 @@ WINDOW = 10
 SAMPLE = 16
 #: Items are sent to the tasks in blocks of at most this many characters; more blocks, more passes.
 BLOCK_CHARS = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _BYTES = np.arange(256)
 WORD = (_BYTES >= 0x80) | ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A))

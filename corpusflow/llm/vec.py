@@ -40,8 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def slices(batches, column: str, max_bytes: int = 4 << 20):
-    """Split record batches so that ``column`` holds at most ``max_bytes`` per piece (one row at least)."""
+def slices(batches, column: str, max_bytes: int = 1 << 20):
+    """Split record batches so that ``column`` holds at most ``max_bytes`` per piece (one row at least).
+
+    A piece's arrays take some dozens of bytes per byte of text, and several tasks share an executor.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -52,6 +55,8 @@ def slices(batches, column: str, max_bytes: int = 4 << 20):
             end = max(at + 1, int(np.searchsorted(off, off[at] + max_bytes, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del arr, off
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
