@@ -53,18 +53,20 @@ def _over_blocks(parts: list[DataFrame], spark, schema: str) -> DataFrame:
     return found
 
 
-def vector_scan(queries: DataFrame, chunks: DataFrame, keep, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, schema: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_scan(queries: DataFrame, chunks: DataFrame, keep, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, schema: str, digits: int = 6, block: int = QUERY_BLOCK, group: tuple[str, str] | None = None) -> DataFrame:
     """What ``keep(score matrix, chunk ids)`` leaves of the cosines of a block of queries and a batch of chunks: rows (query number, columns of ``schema`` after the first).
 
-    The query set is stated and goes to the tasks in blocks; each task multiplies its chunks with a block.  Rows without a vector are left out.
+    The query set is stated and goes to the tasks in blocks; each task multiplies its chunks with a block.  Rows without a vector are left
+    out.  With ``group``, columns of the queries and the chunks, pairs of different groups score minus infinity.
     """
-    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v")).where("v is not null")
-    rows = chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_vec).alias("v")).where("v is not null")
+    of = [F.lit(0), F.lit(0)] if group is None else [F.col(c) for c in group]
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"), of[0].alias("g")).where("v is not null")
+    rows = chunks.select(F.col(chunk_id).alias("c"), F.col(chunk_vec).alias("v"), of[1].alias("g")).where("v is not null")
     return _over_blocks([rows.mapInPandas(_scanned(b, keep, digits), schema) for b in _blocks(asked, block)], queries.sparkSession, schema)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
-    """The ``k`` chunks with the highest cosine for each query: query, chunk, score, rank.
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, query_vec: str, chunk_id: str, chunk_vec: str, digits: int = 6, block: int = QUERY_BLOCK, group: tuple[str, str] | None = None) -> DataFrame:
+    """The ``k`` chunks with the highest cosine for each query, of its own ``group`` where that is given: query, chunk, score, rank.
 
     Each batch keeps its best ``k`` a query, and each task the best of its batches; k rows a query and task are shuffled, not every pair.
     """
@@ -72,9 +74,10 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, qu
 
     def best(score, own):
         order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-        return np.repeat(np.arange(len(score)), order.shape[1]), own[order.ravel()], np.take_along_axis(score, order, 1).ravel()
+        q, c, top = np.repeat(np.arange(len(score)), order.shape[1]), own[order.ravel()], np.take_along_axis(score, order, 1).ravel()
+        return q[top > -np.inf], c[top > -np.inf], top[top > -np.inf]
 
-    found = vector_scan(queries, chunks, best, query_id, query_vec, chunk_id, chunk_vec, f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double", digits, block)
+    found = vector_scan(queries, chunks, best, query_id, query_vec, chunk_id, chunk_vec, f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double", digits, block, group)
     return top_ranked(found, query_id, "score", chunk_id, k)
 
 
@@ -110,13 +113,14 @@ def _scanned(rows: pd.DataFrame, keep, digits: int):
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(size > 0, size, 1)
 
-    ids, matrix = rows["q"].to_numpy(), unit(rows["v"])
+    ids, matrix, groups = rows["q"].to_numpy(), unit(rows["v"]), rows["g"].to_numpy()
     by_id = keep.__code__.co_argcount == 3
 
     def run(frames):
         for pdf in frames:
             if len(pdf):
                 score, own = np.round(matrix @ unit(pdf["v"]).T, digits), pdf["c"].to_numpy()
+                score[groups[:, None] != pdf["g"].to_numpy()[None, :]] = -np.inf
                 q, *cols = keep(score, own, ids) if by_id else keep(score, own)
                 yield pd.DataFrame({0: ids[q]} | dict(enumerate(cols, 1)))
 

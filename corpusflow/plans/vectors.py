@@ -51,9 +51,8 @@ def ret3_filtered_search(spark, sf_dir):
 @query(f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM (SELECT * FROM s WHERE label = qlabel AND vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5)")
 def joi6_similarity_join(spark, sf_dir):
     q, rows = vectors(spark, sf_dir)
-    own = q.join(rows.select("vec_id", F.col("label").alias("qlabel"), F.col("embedding").alias("other")), "qlabel").where("vec_id <> query_id")
-    cosine = retrieval.dot("embedding", "other") / F.sqrt(retrieval.dot("embedding", "embedding") * retrieval.dot("other", "other"))
-    return retrieval.top_ranked(own.select("query_id", "vec_id", F.round(cosine, 6).alias("score")), "query_id", "score", "vec_id", 5).drop("rank")
+    found = retrieval.vector_topk(q, rows, 6, "query_id", "embedding", "vec_id", "embedding", group=("qlabel", "label"))
+    return retrieval.top_ranked(found.drop("rank").where("vec_id <> query_id"), "query_id", "score", "vec_id", 5).drop("rank")
 
 
 _RR = "round(CASE WHEN vec_id % 13 = 0 THEN -999 ELSE (vec_id * 37 % 101) / 101.0 END, 6)"
@@ -166,9 +165,7 @@ def joi7_semantic_lookup(spark, sf_dir):
 @query(f"WITH {_PAIRS}, t AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE label = qlabel QUALIFY rank <= 10), r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 37 % 101) DESC, rank) AS f FROM t) SELECT query_id, vec_id FROM r WHERE f <= 5")
 def joi9_session_search(spark, sf_dir):
     q, rows = vectors(spark, sf_dir)
-    own = q.join(rows.select("vec_id", F.col("label").alias("qlabel"), F.col("embedding").alias("other")), "qlabel")
-    cosine = retrieval.dot("embedding", "other") / F.sqrt(retrieval.dot("embedding", "embedding") * retrieval.dot("other", "other"))
-    found = retrieval.top_ranked(own.select("query_id", "vec_id", F.round(cosine, 6).alias("score")), "query_id", "score", "vec_id", 10)
+    found = retrieval.vector_topk(q, rows, 10, "query_id", "embedding", "vec_id", "embedding", group=("qlabel", "label"))
     return retrieval.rerank(found, "query_id", (F.col("vec_id") * 37 % 101).cast("double"), "rank", 5).select("query_id", "vec_id")
 
 
