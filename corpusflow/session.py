@@ -71,6 +71,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
