@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import chat, classifier, decontaminate, html_text, near_dup, packing, quality_rules, secrets, suffix_dedup, training_order
+from corpusflow.llm import chat, classifier, collocations, decontaminate, html_text, mixing, near_dup, packing, prefix_trie, quality_rules, secrets, suffix_dedup, training_order
 from corpusflow.llm.shared import table
 from corpusflow.llm.sql import SQL
 
@@ -55,5 +55,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_training_order, op6_quality_rules, op7_decontamination, op8_near_duplicates, op9_chat_formatting, op10_best_fit_packing)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))))
+
+
+_ALL = (
+    op1_html_extraction, op2_secret_scan, op3_suffix_dedup, op4_quality_classifier, op5_training_order, op6_quality_rules, op7_decontamination, op8_near_duplicates, op9_chat_formatting, op10_best_fit_packing,
+    op11_phrase_collocations, op12_source_mix, op13_prefix_trie,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 __all__ = ["QUERIES", "SQL"]

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.session import checkpoint_dir, remove, stored
+from corpusflow.session import checkpoint_dir, remove, stored, unused
 
 __all__ = ["checkpoint_dir", "cut", "remove", "stored", "table", "unused"]
 
@@ -17,15 +17,5 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened until ``df`` has no such column."""
-    have, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in have:
-            name = f"_{name}"
-        out.append(name)
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

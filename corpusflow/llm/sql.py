@@ -1,8 +1,8 @@
-"""What SQL can say about the corpus queries: op6 to op9, over the same tables."""
+"""What SQL can say about the corpus queries: op6 to op9, op11 and op13, over the same tables."""
 
 from __future__ import annotations
 
-from corpusflow.llm import chat, near_dup, quality_rules
+from corpusflow.llm import chat, collocations, near_dup, prefix_trie, quality_rules
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -48,4 +48,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum({len(chat.START) + len(chat.END) + 2} + {_LONG.format("role")} + {_LONG.format("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY 1"""
 
-SQL = {"op6_quality_rules": OP6, "op7_decontamination": OP7, "op8_near_duplicates": OP8, "op9_chat_formatting": OP9}
+OP11 = rf"""WITH w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+f AS MATERIALIZED (SELECT lang, d, g, count(*) AS n FROM (SELECT lang, d, array_to_string(w[i + 1 : i + d], ' ') AS g FROM (SELECT lang, w, d, unnest(range(0, len(w) - d + 1)) AS i FROM w, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS d) WHERE len(w) >= d)) GROUP BY 1, 2, 3 HAVING count(*) >= {collocations.LEAST}),
+c AS MATERIALIZED (SELECT lang, d, g, n AS a, string_split(g, ' ') AS w FROM f WHERE d > 1),
+k AS (SELECT lang, d, g, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, d)) AS k FROM c)),
+s AS (SELECT k.lang, k.g, a, k, x.n AS l, y.n AS r, CAST(2000000::HUGEINT * a // (x.n::HUGEINT + y.n) AS BIGINT) AS score FROM k JOIN f x ON x.lang = k.lang AND x.g = head JOIN f y ON y.lang = k.lang AND y.g = tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+i AS (SELECT lang, array_to_string(w[j + 1 : j + m], ' ') AS g, max(a) AS longer FROM (SELECT lang, a, w, d, m, unnest(range(0, d - m + 1)) AS j FROM (SELECT *, unnest(range(2, d)) AS m FROM c WHERE d > 2)) GROUP BY 1, 2),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE longer IS NULL OR 100::HUGEINT * longer < {collocations.KEEP}::HUGEINT * a),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1)
+SELECT z.lang, rank, z.g AS phrase, a, l, r, n.n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= {collocations.TOP}"""
+
+_BITS = "list_reduce(list_prepend(xor(a, b), [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, r: xor(c >> 1, 3988292384 * (c & 1)))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) for x in string_split(CAST(conv_id AS VARCHAR), '')]), lambda a, b: {_BITS}))"
+
+OP13 = f"""WITH o AS MATERIALIZED (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, h) AS t FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), {2 * prefix_trie.DIGEST}) AS h FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1),
+h AS (SELECT conv_id, t, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM o),
+c AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(o.t[1 : h.h], []), h.t[h.h + 1 :]) AS t FROM h LEFT JOIN o ON o.conv_id = h.base),
+m AS MATERIALIZED (SELECT conv_id, len(t) AS n, d AS depth, t[1 : d] AS p FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM c)),
+v AS MATERIALIZED (SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth) AS ends, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE coalesce(strlen(p[-1].t), 0) END AS own FROM m GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT v.*, u.conv_id AS parent_conv_id, u.p AS up FROM v LEFT JOIN v u ON u.depth = v.depth - 1 AND u.p = v.p[1 : v.depth - 1]),
+n AS MATERIALIZED (SELECT depth - 1 AS depth, up AS p, count(*) AS n_children FROM k WHERE depth > 0 GROUP BY 1, 2),
+a AS (SELECT x.depth, x.p, CAST(count(*) FILTER (n.p IS NULL) AS BIGINT) AS n_leaves, CAST(sum(y.own) AS BIGINT) AS saved_tokens FROM v x JOIN v y ON y.depth >= x.depth AND y.p[1 : x.depth] = x.p LEFT JOIN n ON n.depth = y.depth AND n.p = y.p GROUP BY 1, 2)
+SELECT k.conv_id, k.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM k JOIN a ON a.depth = k.depth AND a.p = k.p LEFT JOIN n ON n.depth = k.depth AND n.p = k.p"""
+
+SQL = {"op6_quality_rules": OP6, "op7_decontamination": OP7, "op8_near_duplicates": OP8, "op9_chat_formatting": OP9, "op11_phrase_collocations": OP11, "op13_prefix_trie": OP13}
