@@ -1,13 +1,13 @@
 """Phrase collocations by vertical partitioning of the phrase tree.
 
-One pass counts words, and pairs of words by hash bucket.  A bucket with too few pairs holds no frequent pair, so suffixes are cut
-there: a leaf is a suffix's longest beginning, of at most ``longest`` words, without such a pair.  The bucket counts also give the load
-under each class of two-word prefixes, and classes are put together into groups within a budget of suffixes; a class above the budget is
-split by its longer prefixes.  A second pass sends each leaf, counted within its task first, to its group.  A group's sorted leaves are
-walked as a depth-truncated suffix tree, whose nodes are counted from the leaf totals below them, with one path in memory.  Nodes of
-split classes are summed over their groups.
-
-What goes to the driver and back is fixed in size: a bit a bucket and a load a class.  The buckets save work only: where a corpus
+Phrases of two words, then of three and so on up to one less than ``longest``, are counted by hash bucket, a pass for each length.  A bucket with too
+few holds no frequent phrase, so suffixes are cut there: a leaf is a suffix's longest beginning, of at most ``longest`` words, without such a
+phrase in it.  The counts of pairs also give the load under each class of two-word prefixes, and classes are put together into groups
+within a budget of suffixes, so that a group's tree fits into memory; a class above the budget is split by its longer prefixes.  A last pass sends each group
+the leaves of a task, counted and packed.  A group's leaves are put together and walked in order as a depth-truncated
+suffix tree, whose nodes are counted from the leaf totals below them.  Nodes of split classes are summed over their groups.
+
+What goes to the driver and back is fixed in size: a bit a bucket for each length and a load a class.  The buckets save work only: where a corpus
 is so large that most are full, more of them (``bits``) keep rare pairs out of the shuffle; results don't depend on them.
 
 Null texts are empty; a null language is ``und``, with the rows that say so.  Repeated rows count each.  Texts of any length are worked on whole.
@@ -33,11 +33,11 @@ LEAST, LONGEST, TOP, KEEP = 30, 4, 2000, 80
 #: Buckets that pairs of words are counted by, as a power of two, and classes of prefixes.
 BITS, CLASS_BITS, BLOCK_BITS = 24, 16, 12
 #: Suffixes a group holds at most, unless they are one class's; a small corpus gets smaller groups, so that all tasks have some.
-GROUP, LEAST_GROUP = 1 << 22, 1 << 12
+GROUP, LEAST_GROUP = 1 << 20, 1 << 12
 #: Groups are dealt to at most so many tasks; a task walks its groups one after another.
 TASKS = 16_384
 #: Rows counted in a task before they are given on.
-HELD = 1 << 18
+HELD = 1 << 20
 SALTS = 16
 
 _BREAK = np.zeros(256, bool)
@@ -57,21 +57,40 @@ class _Words:
         inside = ~_OUTSIDE[data]
         starts, ends, rows = vec.runs(inside, off)
         piece = np.cumsum(_BREAK[data])[starts] if len(starts) else starts
-        self.lang, self.rows, self.size = lang, rows, ends - starts
+        self.lang, self.rows, self.size, self.bits = lang, rows, ends - starts, bits
         self.bytes = vec.lower_ascii(data[inside])
         self.keys = np.zeros(len(self.bytes) + len(starts), np.uint8)
         self.keys[np.arange(len(self.bytes)) + np.repeat(np.arange(len(starts)), self.size)] = self.bytes + 1
         self.end = np.cumsum(self.size + 1) - 1
         self.start = self.end - self.size
         self.prefix = vec.prefix_hash(self.keys)
-        h = vec.span_hash(self.prefix, self.start, self.end)
-        self.next = np.zeros(len(starts), bool)
+        self.hash = vec.span_hash(self.prefix, self.start, self.end)
+        next_ = np.zeros(len(starts), bool)
         if len(starts) > 1:
-            self.next[:-1] = (rows[1:] == rows[:-1]) & (piece[1:] == piece[:-1])
-        at = np.flatnonzero(self.next)
-        own = np.array([zlib.crc32(x.encode()) for x in lang.to_pylist()], np.uint64)[rows[at]]
-        self.pair = np.zeros(len(starts), np.int64)
-        self.pair[at] = (vec.mix(h[at] * vec.STEP + h[at + 1] + own * vec.BASE) >> vec.U(64 - bits)).astype(np.int64)
+            next_[:-1] = (rows[1:] == rows[:-1]) & (piece[1:] == piece[:-1])
+        own = np.array([zlib.crc32(x.encode()) for x in lang.to_pylist()], np.uint64)[rows] if len(starts) else self.hash
+        #: Of phrases of ``n`` words, here two: which words begin one, and all words' buckets.
+        self.ok, self.n, self.gram = next_, 2, self.hash
+        self._extend(own * vec.BASE)
+        self.pair = self.bucket
+
+    def _extend(self, more: np.ndarray | int = 0) -> None:
+        gram = np.zeros_like(self.gram)
+        last = self.n - 1
+        if len(gram) > last:
+            gram[:-last] = self.gram[:-last] * vec.STEP + self.hash[last:]
+        self.gram = vec.mix(gram + more)
+        self.bucket = (self.gram >> vec.U(64 - self.bits)).astype(np.int64)
+
+    def longer(self, often: np.ndarray) -> None:
+        """From phrases of n words to those of one more, both of whose parts of n words are ``often``."""
+        ok = self.ok & (often[self.bucket >> 3] >> (self.bucket & 7) & 1).astype(bool)
+        self.full = ok
+        self.ok = ok.copy()
+        self.ok[:-1] &= ok[1:]
+        self.ok[-1:] = False
+        self.n += 1
+        self._extend()
 
     def words(self) -> pa.Table:
         off = np.zeros(len(self.size) + 1, np.int32)
@@ -79,14 +98,15 @@ class _Words:
         word = pa.Array.from_buffers(pa.string(), len(self.size), [None, pa.py_buffer(off), pa.py_buffer(self.bytes)])
         return pa.table({"lang": self.lang.take(pa.array(self.rows)), "word": word, "n": pa.array(np.ones(len(off) - 1, np.int64))})
 
-    def leaves(self, often: np.ndarray, first: np.ndarray, ways: np.ndarray, longest: int, shift: int) -> pa.Table:
-        ok = self.next & (often[self.pair >> 3] >> (self.pair & 7) & 1).astype(bool)
-        at = np.flatnonzero(ok)
-        last, more = at + 1, np.ones(len(at), bool)
-        for _ in range(longest - 2):
-            more &= ok[last]
-            last = last + more
-        start, end = self.start[at], self.end[last]
+    def leaves(self, often: list[np.ndarray], first: np.ndarray, ways: np.ndarray, longest: int, shift: int) -> pa.Table:
+        words = np.zeros(len(self.size), np.int64)
+        for n, bits in enumerate(often, 2):
+            self.longer(bits)
+            words[self.full] = n
+        if longest > len(often) + 1:  # no longer phrases than these are counted by bucket
+            words[self.ok] = longest
+        at = np.flatnonzero(words)
+        start, end = self.start[at], self.end[at + words[at] - 1]
         size = end - start
         off = np.zeros(len(at) + 1, np.int32)
         np.cumsum(size, out=off[1:])
@@ -100,8 +120,8 @@ class _Words:
 class _Sums:
     """Counts rows by all columns but n, within bounds, and gives them on when there are many."""
 
-    def __init__(self):
-        self.held, self.rows = [], 0
+    def __init__(self, chunk: int = 1 << 14):
+        self.held, self.rows, self.chunk = [], 0, chunk
 
     def add(self, t: pa.Table, at_end: bool = False) -> list[pa.RecordBatch]:
         if t.num_rows:
@@ -114,7 +134,7 @@ class _Sums:
             self.held, self.rows = [t], t.num_rows
             return []
         self.held, self.rows = [], 0
-        return t.to_batches(max_chunksize=1 << 14)
+        return t.to_batches(max_chunksize=self.chunk)
 
     @staticmethod
     def _sum(t: pa.Table) -> pa.Table:
@@ -122,7 +142,8 @@ class _Sums:
         return t.group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"]).combine_chunks()
 
 
-def _count(bits: int):
+def _count(bits: int, often: list[np.ndarray]):
+    """Words, with their numbers, and phrases by bucket: of two words, or of one more than the last of ``often``, which words aren't given with."""
     low = min(BLOCK_BITS, bits)
 
     def run(batches):
@@ -135,9 +156,12 @@ def _count(bits: int):
 
         for part in vec.slices(batches, "text"):
             w = _Words(part, bits)
-            at, n = np.unique(w.pair[w.next], return_counts=True)
+            for bits_ in often:
+                w.longer(bits_)
+            at, n = np.unique(w.bucket[w.ok], return_counts=True)
             seen[at] += n.astype(np.uint32)
-            yield from given(words.add(w.words()))
+            if not often:
+                yield from given(words.add(w.words()))
         yield from given(words.add(pa.table({}), at_end=True))
         full = np.flatnonzero(seen)
         cut = np.flatnonzero(np.diff(full >> low, prepend=-1))
@@ -193,49 +217,53 @@ def groups_of(load: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np
     return first, ways, np.array(split)
 
 
-def _leaves(often: np.ndarray, first: np.ndarray, ways: np.ndarray, longest: int, bits: int):
+def _packed(found: list[pa.RecordBatch]):
+    """Rows (group, lang, key, n) as one row a group and language: keys with a zero behind each, and counts."""
+    for t in found:
+        t = pa.Table.from_batches([t]).sort_by([("group", "ascending"), ("lang", "ascending")])
+        group, lang = t["group"].to_numpy(), t["lang"].combine_chunks().dictionary_encode()
+        code = lang.indices.to_numpy()
+        cut = [0, *(np.flatnonzero((np.diff(group) != 0) | (np.diff(code) != 0)) + 1).tolist(), len(group)]
+        names, n = lang.dictionary.to_pylist(), t["n"].to_numpy().astype("<i8")
+        keys = t["key"].to_pylist()
+        rows = [(int(group[i]), names[code[i]], b"\x00\x00".join(keys[i:j]), n[i:j].tobytes()) for i, j in zip(cut, cut[1:]) if j > i]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["group", "lang", "keys", "n"])
+
+
+def _leaves(often: list[np.ndarray], first: np.ndarray, ways: np.ndarray, longest: int, bits: int):
     shift = bits - min(CLASS_BITS, bits)
 
     def run(batches):
-        sums = _Sums()
+        sums = _Sums(HELD)
         for part in vec.slices(batches, "text"):
-            yield from sums.add(_Words(part, bits).leaves(often, first, ways, longest, shift))
-        yield from sums.add(pa.table({}), at_end=True)
+            yield from _packed(sums.add(_Words(part, bits).leaves(often, first, ways, longest, shift)))
+        yield from _packed(sums.add(pa.table({}), at_end=True))
 
     return run
 
 
 def _walk(least: int, split: np.ndarray):
-    """Nodes of two words or more of each group's suffix tree, from its leaves in order; those of whole classes only if frequent."""
+    """Nodes of two words or more of each group's suffix tree, from its leaves; those of whole classes only if frequent."""
     names = ["lang", "phrase", "words", "n", "whole"]
 
-    def run(batches):
+    def nodes(group: int, held: dict[str, dict[bytes, int]]):
         out: tuple[list, ...] = ([], [], [], [], [])
         words: list[bytes] = []
         counts: list[int] = []
-        at, whole = None, True
+        whole = not split[group]
 
         def close(to: int) -> None:
             while len(words) > to:
                 n = counts.pop()
                 if len(words) > 1 and (n >= least or not whole):
-                    for column, x in zip(out, (at[1], b"\0".join(words).translate(_BACK).decode(), len(words), n, whole)):
+                    for column, x in zip(out, (lang, b"\0".join(words).translate(_BACK).decode(), len(words), n, whole)):
                         column.append(x)
                 words.pop()
                 if counts:
                     counts[-1] += n
 
-        def given():
-            b = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_())], names)
-            for column in out:
-                column.clear()
-            return b
-
-        for b in batches:
-            for group, lang, key, n in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if at != (group, lang):
-                    close(0)
-                    at, whole = (group, lang), not split[group]
+        for lang, leaves in held.items():
+            for key in sorted(leaves):
                 leaf, same = key.split(b"\0"), 0
                 while same < len(words) and same < len(leaf) and words[same] == leaf[same]:
                     same += 1
@@ -243,32 +271,54 @@ def _walk(least: int, split: np.ndarray):
                 for w in leaf[same:]:
                     words.append(w)
                     counts.append(0)
-                counts[-1] += n
-            if out[0]:
-                yield given()
-        close(0)
+                counts[-1] += leaves[key]
+            close(0)
         if out[0]:
-            yield given()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()))], names)
+
+    def run(batches):
+        at, held = None, {}
+        for b in batches:
+            for group, lang, keys, n in zip(*b.columns):
+                if group.as_py() != at:
+                    if held:
+                        yield from nodes(at, held)
+                    at, held = group.as_py(), {}
+                own = held.setdefault(lang.as_py(), {})
+                for key, x in zip(keys.as_py().split(b"\x00\x00"), np.frombuffer(n.as_py(), "<i8").tolist()):
+                    own[key] = own.get(key, 0) + x
+        if held:
+            yield from nodes(at, held)
 
     return run
 
 
-def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int = BITS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, n) of all phrases of at most ``longest`` words that occur ``least`` times, and (lang, n) of all words."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    seen = stored(rows.mapInArrow(_count(bits), "lang string, word string, n long, block int, at binary, counts binary"), "phrases")
-    blocks = seen.where("block is not null").select("block", "at", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_merge(bits, least), "block int, often binary, load binary")
+def _often(blocks: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets have at least ``least`` phrases, as bits, and how many phrases of such buckets each class has."""
+    rows = blocks.where("block is not null").select("block", "at", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_merge(bits, least), "block int, often binary, load binary")
     low = min(BLOCK_BITS, bits)
     often, load = np.zeros(max(1, (1 << bits) // 8), np.uint8), np.zeros(1 << min(CLASS_BITS, bits), np.int64)
-    for r in blocks.collect():  # a bit a bucket and a number a class, whatever the corpus
+    for r in rows.collect():  # a bit a bucket and a number a class, whatever the corpus
         bit, own = np.frombuffer(r["often"], np.uint8), np.frombuffer(r["load"], "<i8")
         often[r["block"] * (1 << low) // 8 :][: len(bit)] = bit
         load[r["block"] * len(own) :][: len(own)] = own
+    return often, load
+
+
+def frequencies(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int = BITS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, words, n) of all phrases of at most ``longest`` words that occur ``least`` times, and (lang, n) of all words."""
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    kinds = "lang string, word string, n long, block int, at binary, counts binary"
+    seen = stored(rows.mapInArrow(_count(bits, []), kinds), "phrases")
+    bit, load = _often(seen, bits, least)
+    often = [bit]
+    for _ in range(longest - 3):
+        often.append(_often(rows.mapInArrow(_count(bits, often), kinds), bits, least)[0])
     budget = max(LEAST_GROUP, min(group, int(load.sum()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     first, ways, split = groups_of(load, budget)
-    leaves = rows.mapInArrow(_leaves(often, first, ways, longest, bits), "group int, lang string, key binary, n long")
-    nodes = leaves.repartitionById(min(len(split), TASKS), "group").sortWithinPartitions("group", "lang", "key").mapInArrow(_walk(least, split), "lang string, phrase string, words int, n long, whole boolean")
+    leaves = rows.mapInArrow(_leaves(often, first, ways, longest, bits), "group int, lang string, keys binary, n binary")
+    nodes = leaves.repartitionById(min(len(split), TASKS), "group").sortWithinPartitions("group").mapInArrow(_walk(least, split), "lang string, phrase string, words int, n long, whole boolean")
     nodes = stored(nodes, "phrases")
     parts = nodes.where("not whole").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     words = seen.where("word is not null").groupBy("lang", F.col("word").alias("phrase")).agg(F.lit(1).alias("words"), F.sum("n").alias("n"))

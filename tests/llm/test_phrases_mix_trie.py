@@ -49,7 +49,7 @@ def phrase_rows():
     return [*rows, ("en", None), ("en", ""), (None, " \t\n.,"), ("fr", "one"), ("en", "a the of " * 3000), *[("de", "der die das und der die das")] * 5]
 
 
-@pytest.mark.parametrize("bits,group,least,longest,top", [(24, 1 << 22, 4, 4, 2000), (4, 64, 3, 4, 7), (12, 1, 2, 3, 50), (18, 100, 2, 6, 2000)])
+@pytest.mark.parametrize("bits,group,least,longest,top", [(24, 1 << 22, 4, 4, 2000), (4, 64, 3, 4, 7), (12, 40, 2, 3, 50), (18, 100, 2, 6, 2000)])
 def test_collocations(spark, monkeypatch, bits, group, least, longest, top):
     monkeypatch.setattr(collocations, "LEAST_GROUP", 1)
     rows = phrase_rows()
