@@ -125,7 +125,7 @@ _TURNS = "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv
 @query(f"WITH t AS ({_TURNS}) SELECT b.conv_id, CAST(2 AS INTEGER) AS held, md5(a.role || ':' || a.text || '|' || b.role || ':' || b.text) AS h FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.i = a.i + 1 JOIN t c ON c.conv_id = a.conv_id AND c.i = a.i + 3 WHERE a.i % 2 = 1")
 def str1_session_memory(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    out = _ran(ops.session_memory(_streamed(rows, "turns"), "conv_id", "turn", "role", "text", idle_ms=None), "memory")
+    out = _ran(ops.session_memory(_streamed(rows, "turns"), "conv_id", "turn", "role", "text"), "memory")
     said = F.transform(F.from_json("compressed", "array<array<string>>"), lambda x: F.concat_ws(":", x[0], x[1]))
     return out.select("conv_id", "held", F.md5(F.array_join(said, "|")).alias("h"))
 
@@ -150,15 +150,15 @@ _REQ = "SELECT event_id, user_id % 40 AS key, epoch(ts) AS t, row_number() OVER
 @query(f"""WITH RECURSIVE q AS MATERIALIZED ({_REQ}), f AS (SELECT key, i, event_id, t AS w, false AS hit FROM q WHERE i = 1 UNION ALL
 SELECT q.key, q.i, q.event_id, CASE WHEN q.t < f.w + 14400 THEN f.w ELSE q.t END, q.t < f.w + 14400 FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1) SELECT event_id, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS status FROM f""")
 def str5_ttl_cache(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 40).alias("key"), F.col("ts").cast("double").alias("t"))
-    return _ran(ops.ttl_cache(_streamed(rows, "requests"), "key", "t", "event_id", 14400, idle_ms=None), "cache").select("event_id", "status")
+    rows = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 40).alias("key"), F.col("ts").cast("double").alias("t"), "ts")
+    return _ran(ops.ttl_cache(_streamed(rows, "requests").withWatermark("ts", "1 hour"), "key", "t", "event_id", 14400, ts="ts"), "cache").select("event_id", "status")
 
 
 @query()
 def str6_token_chunks(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.size(F.split("text", "(?<= )")).alias("n"), F.posexplode(F.split("text", "(?<= )")).alias("seq", "token"))
     rows = rows.select("key", "seq", "token", (F.col("seq") == F.col("n") - 1).alias("final"))
-    return _ran(ops.token_chunks(_streamed(rows, "tokens"), "key", "seq", "token", "final", idle_ms=None), "chunks")
+    return _ran(ops.token_chunks(_streamed(rows, "tokens"), "key", "seq", "token", "final"), "chunks")
 
 
 @query("""WITH e AS (SELECT user_id, epoch(ts) AS t, event_type AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('view', 'purchase', 'click')),
@@ -168,7 +168,7 @@ def str7_barge_in(spark, sf_dir):
     kind = F.create_map(*map(F.lit, ("view", "response_start", "purchase", "response_end", "click", "speech_start")))[F.col("event_type")]
     order = F.concat(F.lpad(F.unix_micros("ts").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
     rows = _events(spark, sf_dir).select("user_id", kind.alias("kind"), F.col("ts").cast("double").alias("t"), order.alias("o")).where("kind is not null")
-    return _ran(ops.barge_in(_streamed(rows, "speech"), "user_id", "o", "kind", "t", idle_ms=None), "interrupted")
+    return _ran(ops.barge_in(_streamed(rows, "speech"), "user_id", "o", "kind", "t"), "interrupted")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, event_type = 'click' AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events WHERE event_type IN ('click', 'purchase')),
@@ -178,7 +178,7 @@ def str8_speech_segments(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "end")
     order = F.concat(F.lpad(F.unix_micros("ts").cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
     rows = _events(spark, sf_dir).select("user_id", kind.alias("kind"), F.unix_millis("ts").cast("double").alias("t"), order.alias("o")).where("kind is not null")
-    return _ran(ops.speech_segments(_streamed(rows, "voice"), "user_id", "o", "kind", "t", idle_ms=None), "segments")
+    return _ran(ops.speech_segments(_streamed(rows, "voice"), "user_id", "o", "kind", "t"), "segments")
 
 
 @query("SELECT user_id, round(epoch(min(ts)) - 1704067200, 4) AS seconds FROM events GROUP BY 1")

@@ -1,61 +1,162 @@
 """Structured Streaming forms of the stateful operators.
 
-State is per key and small; idle keys are cleared by a processing-time timeout or a watermark.  Rows later than the
-watermark, where one is set, are dropped: the sources these jobs re-state have no late-data rule, so its delay is the
-time to live they give their sessions.
+State is per key, typed and small, and lives in the RocksDB state store.  A micro-batch's rows of one key are folded in order, as columns; a
+key with more than HELD rows goes through a list on disk and is folded range by range, so that memory doesn't grow with the key.
+Time is event time: with ``ts``, a timestamp column behind a watermark, keys that stay idle are closed and forgotten when
+the watermark passes them, and nothing depends on when a query runs.  Without it keys are kept.
+
+Rows later than the watermark, where one is set, are dropped: the sources these jobs re-state have no late-data rule, so its delay is the
+time to live they give their sessions.  Order holds within a micro-batch and between them as they come.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from corpusflow.functions.chunking import StreamBuffer
 
+#: Rows of one key that are held in memory.
+HELD = 200_000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-def _stateful(df: DataFrame, key: str, out: str, step: Callable[[dict, dict], Iterator[dict]], order: list[str], idle_ms: int | None, mode: str = "append", close: Callable[[dict], Iterator[dict]] | None = None) -> DataFrame:
-    """Fold each key's rows in order; ``step`` changes the state (a JSON object) and yields output rows.
+class _Fold(StatefulProcessor):
+    """Folds each key's rows in order.
 
-    Keys that stay idle for ``idle_ms`` are closed and forgotten.  A query with such a timeout keeps looking for idle
-    keys, so it doesn't end by itself under ``availableNow``; None is for runs over what is there.
+    A subclass has the schema of its state and of its rows out; ``step`` takes the state (None where there is none) and one row's values, appends
+    rows to ``out`` and returns the new state; ``close`` gives the last rows of a key that is idle.
     """
-    names = [c.split()[0] for c in out.split(", ")]
-
-    def run(k, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows: list[dict] = []
-        if state.hasTimedOut:
-            rows = list(close(held)) if close else []
-            state.remove()
+
+    state = ""
+    made: list[str] = []
+
+    def __init__(self, key: str, columns: list[str], kinds: str, order: list[int], ts: int | None, idle_ms: int | None):
+        self.key, self.columns, self.kinds, self.order, self.ts, self.idle_ms = key, columns, kinds, order, ts, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.state)
+        self.pending = handle.getListState("pending", self.kinds)
+        if self.ts is not None:
+            self.timer = handle.getValueState("timer", "at long")
+
+    def step(self, state: tuple | None, row: tuple, out: list[tuple]) -> tuple | None:
+        raise NotImplementedError
+
+    def close(self, state: tuple | None = None, out: list[tuple] | None = None) -> None:
+        """Also called without arguments when the query ends."""
+
+    def expires(self, state: tuple | None, last: float) -> float:
+        """When a key can be forgotten, in milliseconds of event time; ``last`` is that of its last row."""
+        return last + self.idle_ms
+
+    def _rank(self, row: tuple) -> tuple:
+        return tuple((row[i] is not None, row[i]) for i in self.order)
+
+    def _sorted(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """The rows in order; with many, by ranges of what was put aside."""
+        at, spilled, samples = [], 0, []
+        for pdf in rows:
+            at += zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in self.columns))
+            if len(at) > HELD:
+                spilled += len(at)
+                samples += map(self._rank, at[:: max(1, HELD // 256)])
+                self.pending.appendList(at)
+                at = []
+        if not spilled:
+            at.sort(key=self._rank)
+            yield from at
+            return
+        if at:
+            spilled += len(at)
+            samples += map(self._rank, at[:: max(1, HELD // 256)])
+            self.pending.appendList(at)
+        samples.sort()
+        n = -(-spilled // HELD) * 2
+        cuts = sorted({samples[len(samples) * i // n] for i in range(1, n)})
+        for i in range(len(cuts) + 1):
+            own = [tuple(r) for r in self.pending.get() if bisect_right(cuts, self._rank(tuple(r))) == i]
+            own.sort(key=self._rank)
+            yield from own
+        self.pending.clear()
+
+    def _given(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        got = pd.DataFrame(out, columns=self.made)
+        got.insert(0, self.key, key[0])
+        out.clear()
+        return got
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.held.get()) if self.held.exists() else None
+        out: list[tuple] = []
+        last = None
+        for row in self._sorted(rows):
+            if self.ts is not None and row[self.ts] is not None and (last is None or row[self.ts] > last):
+                last = row[self.ts]
+            state = self.step(state, row, out)
+            if len(out) >= HELD:
+                yield self._given(key, out)
+        self._keep(state)
+        if last is not None and self.idle_ms is not None:
+            was = self.timer.get()[0] if self.timer.exists() else None
+            now = int(self.expires(state, last.timestamp() * 1000)) + 1
+            if was is None or now > was:
+                if was is not None:
+                    self.handle.deleteTimer(was)
+                self.handle.registerTimer(now)
+                self.timer.update((now,))
+        if out:
+            yield self._given(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if self.held.exists():
+            self.close(tuple(self.held.get()), out)
+        self.held.clear()
+        self.timer.clear()
+        if out:
+            yield self._given(key, out)
+
+    def _keep(self, state: tuple | None) -> None:
+        if state is None:
+            self.held.clear()
         else:
-            pdf = pd.concat(list(frames)).sort_values(order, kind="stable")
-            for r in pdf.to_dict("records"):
-                rows += step(held, r)
-            state.update((json.dumps(held, default=str),))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([{key: k[0]} | r for r in rows], columns=[key, *names])
+            self.held.update(state)
+
 
+def _stateful(df: DataFrame, fold: type[_Fold], key: str, columns: list[str], order: list[str], out: str, ts: str | None, idle_ms: int | None, *args) -> DataFrame:
+    names = list(dict.fromkeys([*columns, *order, *([ts] if ts else [])]))
+    kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "state string", mode, GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the only store with typed state
+    run = fold(key, names, kinds, [names.index(c) for c in order], names.index(ts) if ts else None, idle_ms)
+    run.made = [c.split()[0] for c in out.split(", ")]
+    run.args = args
+    return df.groupBy(key).transformWithStateInPandas(run, f"{key} {kind}, {out}", "append", "eventTime" if ts else "none")
 
 
-def session_memory(turns: DataFrame, session: str, turn: str, role: str, text: str, limit: int = 3, keep: int = 2, idle_ms: int | None = 1_800_000) -> DataFrame:
-    """Rows (session, held, compressed): with more than ``limit`` turns all but ``keep`` are given out to be summarised."""
+class _Memory(_Fold):
+    state = "turns array<struct<role:string,text:string>>"
 
-    def step(state, r):
-        held = state.setdefault("turns", [])
-        held.append([r[role], r[text]])
+    def step(self, state, row, out):
+        limit, keep = self.args
+        held = [*(tuple(t) for t in state[0]), (row[0], row[1])] if state else [(row[0], row[1])]
         if len(held) > limit:
-            state["turns"] = held[-keep:]
-            yield {"held": len(state["turns"]), "compressed": json.dumps(held[:-keep], ensure_ascii=False)}
+            given, held = held[: len(held) - keep], held[len(held) - keep :]
+            out.append((len(held), json.dumps(given, ensure_ascii=False)))
+        return (held,)
 
-    return _stateful(turns, session, "held int, compressed string", step, [turn], idle_ms)
+
+def session_memory(turns: DataFrame, session: str, turn: str, role: str, text: str, limit: int = 3, keep: int = 2, idle_ms: int | None = 1_800_000, ts: str | None = None) -> DataFrame:
+    """Rows (session, held, compressed): with more than ``limit`` turns all but ``keep`` are given out to be summarised."""
+    return _stateful(turns, _Memory, session, [role, text], [turn], "held int, compressed string", ts, idle_ms, limit, keep)
 
 
 def sessions(events: DataFrame, user: str, ts: str, gap: str) -> DataFrame:
@@ -74,78 +175,104 @@ def cache_counters(requests: DataFrame, status: str, size: Column, compute_ms: s
     return requests.groupBy(status).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"), F.round(F.coalesce(F.sum(compute_ms), F.lit(0.0)), 4).alias("ms"))
 
 
-def ttl_cache(requests: DataFrame, key: str, ts_s: str, order: str, ttl: float, version: str | None = None, size: str | None = None, largest: int = 8 << 20, idle_ms: int | None = 3_600_000) -> DataFrame:
+class _Cache(_Fold):
+    state = "at double, version string"
+
+    def step(self, state, row, out):
+        ttl, largest, versioned, sized = self.args
+        now, order = float(row[0]), row[1]
+        version = None if not versioned or row[2] is None else str(row[2])
+        size = row[2 + versioned] if sized else None
+        if state and state[1] == version and now < state[0] + ttl:
+            out.append((order, "hit"))
+            return state
+        out.append((order, "miss"))
+        return (now, version) if size is None or size <= largest else state
+
+    def expires(self, state, last):
+        return max(last, (state[0] + self.args[0]) * 1000 if state else 0)
+
+
+def ttl_cache(requests: DataFrame, key: str, ts_s: str, order: str, ttl: float, version: str | None = None, size: str | None = None, largest: int = 8 << 20, idle_ms: int | None = 0, ts: str | None = None) -> DataFrame:
     """Rows (key, order, status): hit if the key was written under the same version not longer than ``ttl`` seconds ago.
 
-    A miss writes the key unless its value is larger than ``largest`` bytes; a hit doesn't renew it.
+    A miss writes the key unless its value is larger than ``largest`` bytes; a hit doesn't renew it.  ``ts`` is ``ts_s`` as a timestamp behind a
+    watermark: a key is forgotten once the watermark is past its time to live, when every further request is a miss anyway.
     """
+    kind = requests.schema[order].dataType.simpleString()
+    columns = [ts_s, order, *(c for c in (version, size) if c)]
+    return _stateful(requests, _Cache, key, columns, [ts_s, order], f"{order} {kind}, status string", ts, idle_ms, ttl, largest, bool(version), bool(size))
 
-    def step(state, r):
-        now, v = float(r[ts_s]), r[version] if version else None
-        if "at" in state and state["v"] == v and now < state["at"] + ttl:
-            yield {order: r[order], "status": "hit"}
-            return
-        if not size or r[size] <= largest:
-            state["at"], state["v"] = now, v
-        yield {order: r[order], "status": "miss"}
 
-    kind = requests.schema[order].dataType.simpleString()
-    return _stateful(requests, key, f"{order} {kind}, status string", step, [ts_s, order], idle_ms)
+class _Tokens(_Fold):
+    state = "text string, n int"
+
+    def step(self, state, row, out):
+        text, n = state or ("", 0)
+        buf = StreamBuffer(self.args[0], text)
+        chunks = buf.add(row[0] or "")
+        if row[1]:
+            chunks += buf.close()
+        out += ((n + i, c) for i, c in enumerate(chunks))
+        return buf.text, n + len(chunks)
+
+    def close(self, state=None, out=None):
+        if state:
+            out += ((state[1] + i, c) for i, c in enumerate(StreamBuffer(self.args[0], state[0]).close()))
 
 
-def token_chunks(tokens: DataFrame, session: str, seq: str, token: str, is_final: str, least: int = 20, idle_ms: int | None = 300_000) -> DataFrame:
+def token_chunks(tokens: DataFrame, session: str, seq: str, token: str, is_final: str, least: int = 20, idle_ms: int | None = 300_000, ts: str | None = None) -> DataFrame:
     """Rows (session, chunk_index, chunk) of a token stream; the rest is flushed at the final token or when it stays idle."""
+    return _stateful(tokens, _Tokens, session, [token, is_final], [seq], "chunk_index int, chunk string", ts, idle_ms, least)
 
-    def give(state, chunks):
-        for c in chunks:
-            state["n"] = state.get("n", 0) + 1
-            yield {"chunk_index": state["n"] - 1, "chunk": c}
 
-    def step(state, r):
-        buf = StreamBuffer(least, state.get("text", ""))
-        chunks = buf.add(r[token] or "")
-        if r[is_final]:
-            chunks += buf.close()
-        state["text"] = buf.text
-        yield from give(state, chunks)
+class _BargeIn(_Fold):
+    state = "open double"
 
-    return _stateful(tokens, session, "chunk_index int, chunk string", step, [seq], idle_ms, close=lambda s: give(s, StreamBuffer(least, s.get("text", "")).close()))
+    def step(self, state, row, out):
+        kind, at = row[0], float(row[1])
+        if kind == "response_start":
+            return (at,)
+        if kind == "response_end":
+            return None
+        if kind == "speech_start" and state:
+            out.append((state[0], at))
+            return None
+        return state
 
 
-def barge_in(events: DataFrame, session: str, order: str, kind: str, ts_s: str, idle_ms: int | None = 300_000) -> DataFrame:
+def barge_in(events: DataFrame, session: str, order: str, kind: str, ts_s: str, idle_ms: int | None = 300_000, ts: str | None = None) -> DataFrame:
     """Rows (session, response_start, interrupted_at): speech that starts while a response is open interrupts and closes it.
 
     Kinds: response_start, response_end, speech_start; others pass.
     """
+    return _stateful(events, _BargeIn, session, [kind, ts_s], [order], "response_start double, interrupted_at double", ts, idle_ms)
 
-    def step(state, r):
-        if r[kind] == "response_start":
-            state["open"] = float(r[ts_s])
-        elif r[kind] == "response_end":
-            state.pop("open", None)
-        elif r[kind] == "speech_start" and "open" in state:
-            yield {"response_start": state.pop("open"), "interrupted_at": float(r[ts_s])}
 
-    return _stateful(events, session, "response_start double, interrupted_at double", step, [order], idle_ms)
+class _Speech(_Fold):
+    state = "start double, last double"
 
+    def step(self, state, row, out):
+        kind, at = row[0], float(row[1])
+        if kind == "start":
+            return (state[0] if state else at, at)
+        if kind == "end" and state:
+            self._segment(state[0], at, out)
+            return None
+        return state
 
-def speech_segments(events: DataFrame, session: str, order: str, kind: str, ts_ms: str, least_ms: int = 250, idle_ms: int | None = 30_000) -> DataFrame:
-    """Rows (session, start_ms, end_ms) from start and end events; open speech is closed at its last event when idle."""
+    def close(self, state=None, out=None):
+        if state:
+            self._segment(state[0], state[1], out)
 
-    def give(state, end):
-        start = state.pop("start")
-        if end - start >= least_ms:
-            yield {"start_ms": start, "end_ms": end}
+    def _segment(self, start, end, out):
+        if end - start >= self.args[0]:
+            out.append((start, end))
 
-    def step(state, r):
-        at = float(r[ts_ms])
-        if r[kind] == "start":
-            state.setdefault("start", at)
-            state["last"] = at
-        elif r[kind] == "end" and "start" in state:
-            yield from give(state, at)
 
-    return _stateful(events, session, "start_ms double, end_ms double", step, [order], idle_ms, close=lambda s: give(s, s["last"]) if "start" in s else iter(()))
+def speech_segments(events: DataFrame, session: str, order: str, kind: str, ts_ms: str, least_ms: int = 250, idle_ms: int | None = 30_000, ts: str | None = None) -> DataFrame:
+    """Rows (session, start_ms, end_ms) from start and end events; open speech is closed at its last event when idle."""
+    return _stateful(events, _Speech, session, [kind, ts_ms], [order], "start_ms double, end_ms double", ts, idle_ms, least_ms)
 
 
 def first_chunk_latency(chunks: DataFrame, request: str, ts: str, started: str, delay: str = "5 minutes") -> DataFrame:

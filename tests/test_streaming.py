@@ -1,5 +1,6 @@
 """Streams over files agree with the batch forms."""
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -78,3 +79,62 @@ def test_ndjson_stream(spark, tmp_path):
 def test_fallback_keeps_the_old_value(spark):
     df = spark.createDataFrame([("new", "old"), (None, "old")], "n string, o string")
     assert [r.x for r in df.select(ops.keep_old_on_error(F.col("n"), F.col("o")).alias("x")).collect()] == ["new", "old"]
+
+
+def in_batches(spark, parts, tmp_path, name):
+    """A stream that reads each part as a micro-batch."""
+    path = str(tmp_path / name)
+    for i, df in enumerate(parts):
+        df.coalesce(1).write.mode("append").parquet(path)
+        for f in (tmp_path / name).glob("part-*.parquet"):
+            f.rename(tmp_path / name / f"{i}.parquet")
+        os.utime(tmp_path / name / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+CACHE = "key string, o int, t double"
+
+
+def cache_rows(spark, times, start=0):
+    return spark.createDataFrame([("k", start + i, float(t)) for i, t in enumerate(times)], CACHE).withColumn("ts", F.timestamp_seconds(F.col("t") + 1_000_000))
+
+
+def test_written_keys_live_as_long_as_their_ttl(spark, tmp_path):
+    """Four hours of event time between micro-batches, by default arguments; the watermark alone decides when a key goes."""
+    parts = [cache_rows(spark, [0]), cache_rows(spark, [13_000], 1), cache_rows(spark, [14_399], 2), cache_rows(spark, [14_401], 3), cache_rows(spark, [90_000], 4)]
+    src = in_batches(spark, parts, tmp_path, "g").withWatermark("ts", "10 seconds")
+    got = run(spark, ops.ttl_cache(src, "key", "t", "o", 14_400, ts="ts")).orderBy("o").collect()
+    assert [(r.o, r.status) for r in got] == [(0, "miss"), (1, "hit"), (2, "hit"), (3, "miss"), (4, "miss")]
+
+
+def test_idle_sessions_are_closed_in_event_time(spark, tmp_path):
+    said = "session string, seq int, token string, final boolean, sec int"
+    parts = [spark.createDataFrame(r, said).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_000_000)) for r in ([("a", 0, "some words ", False, 0), ("b", 0, "other words ", False, 100)], [("b", 1, "and more ", False, 350)], [("c", 0, "late", True, 2000)], [("c", 1, "later", True, 4000)])]
+    src = in_batches(spark, parts, tmp_path, "h").withWatermark("ts", "1 second")
+    got = run(spark, ops.token_chunks(src, "session", "seq", "token", "final", least=100, ts="ts")).collect()
+    assert sorted((r.session, r.chunk.strip()) for r in got) == [("a", "some words"), ("b", "other words and more"), ("c", "late"), ("c", "later")]
+    kinds = "session string, o int, kind string, t double, sec int"
+    parts = [spark.createDataFrame(r, kinds).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_000_000)) for r in ([("s", 0, "start", 0.0, 0), ("s", 1, "start", 400.0, 0)], [("x", 0, "end", 1.0, 500)], [("x", 0, "end", 1.0, 900)])]
+    src = in_batches(spark, parts, tmp_path, "i").withWatermark("ts", "1 second")
+    assert [tuple(r) for r in run(spark, ops.speech_segments(src, "session", "o", "kind", "t", ts="ts")).collect()] == [("s", 0.0, 400.0)]
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """Each part is a run of its own over one checkpoint."""
+    rows = [(f"s{i % 3}", i, "user", f"t{i}") for i in range(30)]
+    kinds = "session string, turn int, role string, text string"
+    inbox, out, check = (str(tmp_path / x) for x in ("inbox", "out", "check"))
+    for k in range(0, 30, 7):
+        spark.createDataFrame(rows[k : k + 7], kinds).coalesce(1).write.mode("append").parquet(inbox)
+        src = spark.readStream.schema(kinds).parquet(inbox)
+        ops.session_memory(src, "session", "turn", "role", "text").writeStream.option("checkpointLocation", check).trigger(availableNow=True).format("parquet").start(out).awaitTermination(120)
+    whole = run(spark, ops.session_memory(stream(spark, spark.createDataFrame(rows, kinds), tmp_path, "j"), "session", "turn", "role", "text"))
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 12
+
+
+def test_keys_with_more_rows_than_are_held(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ops, "HELD", 50)
+    rows = [("k", (i * 7919) % 2003, float((i * 7919) % 2003)) for i in range(2003)] + [("few", 0, 1.0)]
+    df = spark.createDataFrame(rows, CACHE)
+    got = run(spark, ops.ttl_cache(stream(spark, df, tmp_path, "k"), "key", "t", "o", 10)).where("key = 'k'").orderBy("o").collect()
+    assert [r.status for r in got] == ["hit" if i % 10 else "miss" for i in range(2003)]
