@@ -287,11 +287,9 @@ def agg11_wer_cer(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(stats.wer("text", "hyp"), 6).alias("wer"), F.round(stats.cer("text", "hyp"), 6).alias("cer"))
 
 
-@query(rf"""WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents WHERE lang = 'en' AND n_chars < 700),
-p AS (SELECT a.doc_id, a.w[1:30] AS r, list_distinct(a.w[1:30]) AS v, list_concat(a.w[2:20], a.w[22:35]) AS h FROM d a)
-SELECT doc_id, round(CASE WHEN len(r) = 0 THEN 0 ELSE levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(32 + list_position(list_distinct(list_concat(r, h)), x) AS INT))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(32 + list_position(list_distinct(list_concat(r, h)), x) AS INT))), '')) / len(r) END, 6) AS wer FROM p""")
-def agg11_wer_ascii(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("lang = 'en' and n_chars < 700")
-    w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9_]+", " "), " "), lambda x: x != "")
-    said = rows.select("doc_id", F.array_join(F.slice(w, 1, 30), " ").alias("r"), F.array_join(F.concat(F.slice(w, 2, 19), F.slice(w, 22, 14)), " ").alias("h"))
-    return said.select("doc_id", F.round(stats.wer("r", "h"), 6).alias("wer"))
+@query()
+def agg11_wer_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.filter(F.split("text", " "), lambda w, i: i % 9 != 4).alias("w"))
+    said = rows.select("doc_id", "text", F.array_join(F.transform("w", lambda w, i: F.when(i % 11 == 7, F.reverse(w)).otherwise(w)), " ").alias("hyp"))
+    return said.select("doc_id", F.round(stats.wer("text", "hyp"), 6).alias("wer"), F.round(stats.cer("text", "hyp"), 6).alias("cer"))
+

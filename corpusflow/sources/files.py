@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.sources import merged
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines are skipped."""
@@ -85,6 +87,8 @@ def write_snapshot(df: DataFrame, path: str, dry_run: bool = False) -> dict[str,
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    if version is None and merged.is_table(spark, path):
+        return merged.read(spark, path)
     have = snapshot_versions(spark, path)
     if not have:
         raise FileNotFoundError(f"no complete snapshot under {path}")

@@ -282,14 +282,11 @@ def first_chunk_latency(chunks: DataFrame, request: str, ts: str, started: str,
 
 
 def incremental_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, order: str):
-    """Run a file stream into a versioned snapshot, keyed: restarts go on behind the last committed batch."""
-    from corpusflow.sources.files import read_snapshot, snapshot_versions, write_snapshot
-    from corpusflow.sources.tables import upsert
-
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        old = read_snapshot(spark, path) if snapshot_versions(spark, path) else batch.limit(0)
-        write_snapshot(upsert(old, batch, key, order), path)
+    """Run a stream into a keyed table (``sources.merged``): a micro-batch writes its own rows only, and restarts at any batch give the same table."""
+    from corpusflow.sources import merged
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        merged.put(batch, path, key, order, checkpoint, batch_id)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

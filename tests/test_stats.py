@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -34,6 +35,40 @@ def test_error_rates_of_turns(spark):
         assert abs(r.cer - round(distance(a, b) / max(1, len(a)), 6)) < 2e-6
 
 
+def test_edit_distance():
+    rng = random.Random(6)
+    for n in (0, 1, 3, 20, 63, 64, 65, 130, 300):
+        for letters in (1, 2, 5, 400):
+            a, b = ([rng.randrange(letters) for _ in range(rng.randrange(n + 1))] for _ in range(2))
+            c = list(a)
+            for _ in range(4):
+                c[rng.randrange(len(c) + 1) : rng.randrange(len(c) + 1)] = [rng.randrange(letters)]
+            for x, y in ((a, b), (a, c), (c, b)):
+                assert stats.edit_distance(x, y) == stats.edit_distance(y, x) == distance(x, y)
+    assert stats.edit_distance("kitten", "sitting") == 3
+
+
+def test_error_rates_of_any_vocabulary(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    said = [w for i, w in enumerate(words) if i % 100] + ["x"]
+    rows = spark.createDataFrame([(" ".join(words), " ".join(said)), ("a", None), ("a b", "")], "r string, h string")
+    assert [r.w for r in rows.select(stats.wer("r", "h").alias("w")).collect()] == [601 / 60_000, None, 1.0]
+
+
+def test_error_rates_of_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries()["agg11_wer_documents"](spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        if len(text[r.doc_id]) > 1500:
+            continue
+        kept = [w for i, w in enumerate(text[r.doc_id].split(" ")) if i % 9 != 4]
+        said = " ".join(w[::-1] if i % 11 == 7 else w for i, w in enumerate(kept))
+        a, b = (re.sub(r"[^\w\s]", " ", x.lower()).split() for x in (text[r.doc_id], said))
+        assert abs(r.wer - round(distance(a, b) / max(1, len(a)), 6)) < 2e-6
+
+
 def test_normal_cdf_and_t(spark):
     got = spark.createDataFrame([(0.0,), (1.96,)], "x double").select(stats.normal_cdf(F.col("x")).alias("p")).collect()
     assert abs(got[0].p - 0.5) < 1e-6 and abs(got[1].p - 0.9750021) < 1e-6
