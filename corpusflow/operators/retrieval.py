@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import ColumnLike, col, strip, tokens
+from corpusflow.operators.vector_blocks import best_of, grouped_topk
 from corpusflow.session import stored
 
 #: Query vectors go to the tasks in blocks of at most this many; more queries, more passes over the chunks.
@@ -73,9 +74,10 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, qu
     q_kind, c_kind = queries.schema[query_id].dataType.simpleString(), chunks.schema[chunk_id].dataType.simpleString()
 
     def best(score, own):
-        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-        q, c, top = np.repeat(np.arange(len(score)), order.shape[1]), own[order.ravel()], np.take_along_axis(score, order, 1).ravel()
-        return q[top > -np.inf], c[top > -np.inf], top[top > -np.inf]
+        rank = np.empty(len(own), np.int64)
+        rank[np.argsort(own, kind="stable")] = np.arange(len(own))
+        q, c = best_of(score, rank, k)
+        return q, own[c], score[q, c]
 
     found = vector_scan(queries, chunks, best, query_id, query_vec, chunk_id, chunk_vec, f"{query_id} {q_kind}, {chunk_id} {c_kind}, score double", digits, block, group)
     return top_ranked(found, query_id, "score", chunk_id, k)
@@ -118,11 +120,12 @@ def _scanned(rows: pd.DataFrame, keep, digits: int):
 
     def run(frames):
         for pdf in frames:
-            if len(pdf):
-                score, own = np.round(matrix @ unit(pdf["v"]).T, digits), pdf["c"].to_numpy()
-                score[groups[:, None] != pdf["g"].to_numpy()[None, :]] = -np.inf
-                q, *cols = keep(score, own, ids) if by_id else keep(score, own)
-                yield pd.DataFrame({0: ids[q]} | dict(enumerate(cols, 1)))
+            step = max(1, SCORED_CELLS // max(1, len(pdf)))
+            for i in range(0, len(ids) if len(pdf) else 0, step):
+                score, own = np.round(matrix[i : i + step] @ unit(pdf["v"]).T, digits), pdf["c"].to_numpy()
+                score[groups[i : i + step, None] != pdf["g"].to_numpy()[None, :]] = -np.inf
+                q, *cols = keep(score, own, ids[i : i + step]) if by_id else keep(score, own)
+                yield pd.DataFrame({0: ids[i + q]} | dict(enumerate(cols, 1)))
 
     return run
 
@@ -255,10 +258,15 @@ def semantic_cache_rows(answers: DataFrame, parts: list[str], now: str, ttl: int
 
 
 def semantic_lookup(requests: DataFrame, cache: DataFrame, equal: list[str], request_id: str, vec: str, cache_id: str, cache_vec: str, now: str, expires: str, least: float = 0.9) -> DataFrame:
-    """The best cache row per request: equal on the keys, not expired, cosine at least ``least``."""
-    store = cache.select(*equal, F.col(cache_id).alias("cache_id"), F.col(cache_vec).alias("__v"), F.col(expires).alias("__e"))
-    scored = requests.join(store, equal).where(F.col("__e") >= F.col(now)).withColumn("score", F.round(dot(vec, "__v") / F.sqrt(dot(vec, vec) * dot("__v", "__v")), 6)).where(F.col("score") >= least)
-    return top_ranked(scored.select(request_id, "cache_id", "score"), request_id, "score", "cache_id", 1).drop("rank")
+    """The best cache row per request: equal on the keys, not expired, cosine at least ``least``.
+
+    Requests and cache rows of a key meet as blocks of vectors; a block gives one row a request.  Rows without a vector, key or time match nothing.
+    """
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(equal)]
+    asked = stored(requests.select(*keys, F.col(request_id).alias("id"), F.col(vec).alias("v"), F.col(now).cast("double").alias("at"), F.monotonically_increasing_id().alias("q")).dropna(), "requests")
+    rows = cache.select(*keys, F.col(cache_id).alias("c"), F.col(cache_vec).alias("v"), F.col(expires).cast("double").alias("at")).dropna()
+    best = grouped_topk(asked.select(*(f"k{i}" for i in range(len(equal))), "q", "v", "at"), rows, len(equal), 1, least=least)
+    return top_ranked(best.join(asked.select("q", F.col("id").alias(request_id)), "q").select(request_id, F.col("c").alias("cache_id"), "score"), request_id, "score", "cache_id", 1).drop("rank")
 
 
 def cache_path(exact_hit: str, semantic_hit: str, filtered: str, hyde: str) -> Column:

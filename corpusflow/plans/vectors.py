@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import chunking, text
 from corpusflow.functions.scorers import embedder, hashed_words, pair_scorer, score_query, token_overlap
 from corpusflow.operators import clean, retrieval, stats
+from corpusflow.operators.vector_index import VectorIndex
 from corpusflow.plans.cleaning import chunk_words_sql
 from corpusflow.plans.registry import query, table
 
@@ -48,6 +49,18 @@ def ret3_filtered_search(spark, sf_dir):
     return retrieval.vector_topk(q, rows.where("label = 3"), 5, "query_id", "embedding", "vec_id", "embedding").drop("rank")
 
 
+@query(f"WITH {_PAIRS} SELECT query_id, vec_id, score, rank FROM ({_top(10)})")
+def ret2_indexed_topk(spark, sf_dir):
+    q, rows = vectors(spark, sf_dir)
+    return VectorIndex(rows, "vec_id", "embedding").topk(q, 10, "query_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM ({_top(5, '(SELECT * FROM s WHERE label = 3)')})")
+def ret3_indexed_filtered(spark, sf_dir):
+    q, rows = vectors(spark, sf_dir)
+    return VectorIndex(rows, "vec_id", "embedding", ["label"]).topk(q, 5, "query_id", "embedding", F.col("label") == 3).drop("rank")
+
+
 @query(f"WITH {_PAIRS} SELECT query_id, vec_id, score FROM (SELECT * FROM s WHERE label = qlabel AND vec_id <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5)")
 def joi6_similarity_join(spark, sf_dir):
     q, rows = vectors(spark, sf_dir)
