@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import stored, unused
+from corpusflow.llm.shared import identity, stored, unused
 
 WINDOW = 10
 SAMPLE = 16
@@ -249,8 +249,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     n, blocks = _blocks(benchmark, item_col, item_text, block_chars)
     if n == 1:
         return rows.mapInArrow(_search(next(blocks)), schema)
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    search = lambda b: keyed.select("key", "text").mapInArrow(_search(b), schema.replace(f"doc_id {kind}", "key long"))
+    keyed = rows.withColumn("key", identity("doc_id", "text"))
+    search = lambda b: keyed.select("key", "text").mapInArrow(_search(b), schema.replace(f"doc_id {kind}", "key binary"))
     parts = [stored(search(b).where("size(spans) > 0").select("key", "spans", "items").dropDuplicates(["key"]), "hits") for b in blocks]
     every = parts[0]
     for p in parts[1:]:
@@ -290,7 +290,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Documents without a hit keep their text as it is; a document never goes.
     """
     key, spans = unused(docs, "key", "spans")
-    hash_ = F.xxhash64(F.col(id_col), F.col(text_col))  # rows with one hash are alike
+    hash_ = identity(id_col, text_col)  # rows with one hash are alike
     rows = docs.select(hash_.alias("doc_id"), F.col(text_col).alias("text"))
     found = occurrences(rows, benchmark, **cols).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
     found = stored(found.dropDuplicates([key]), "spans")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import cut, stored
+from corpusflow.llm.shared import cut, identity, stored, unused
 
 HASHES, BANDS, ROWS, WORDS = 256, 32, 4, 5
 #: Signatures whose minima agree in their lowest two bits in fewer places can't come from a pair of similarity 0.75:
@@ -323,26 +323,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """The different rows (id, text) that have an id, numbered in that order, or None if no id repeats."""
+    """(id, text, row, n): the different rows that have an id, numbered in that order, or None if no id repeats."""
     n, full = docs.agg(F.count(id_col), F.count_distinct(id_col)).first()
     if n == full:
         return None
-    one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(id_col, text_col).alias("__row")).dropDuplicates(["__row"])
+    one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), identity(id_col, text_col).alias("row")).dropDuplicates(["row"])
     # numbers rise with the sorted partitions; stored, or they could change when a row is computed again
-    return stored(one.orderBy("__id", "__text").withColumn("__n", F.monotonically_increasing_id()), "rows")
+    return stored(one.orderBy("id", "text").withColumn("n", F.monotonically_increasing_id()), "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
-    named = _numbered(docs, id_col, text_col)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    named = _numbered(docs, "doc_id", "text")
     if named is None:
-        out = _classes(docs, id_col, text_col)
+        out = _classes(docs, "doc_id", "text")
     else:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, text_col)).alias("__row"), F.col(text_col).alias("__text"))
-        found = _classes(named, "__n", "__text").withColumnRenamed("doc_id", "__n").join(named.select("__n", "__row"), "__n")
-        found = found.join(named.select(F.col("__n").alias("root"), F.col("__id").cast("long").alias("id")), "root", "left").select("__row", "n_shingles", F.col("id").alias("root"))
-        alone = rows.where("__row is null").select(F.col("doc_id"), "__text")
-        out = rows.where("__row is not null").join(found, "__row").select("doc_id", "n_shingles", "root").union(sketches(alone, "doc_id", "__text").select("doc_id", "n_shingles", F.lit(None).cast("long")))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), identity("doc_id", "text")).alias("row"), "text")
+        found = _classes(named, "n", "text").withColumnRenamed("doc_id", "n").join(named.select("n", "row"), "n")
+        found = found.join(named.select(F.col("n").alias("root"), F.col("id").cast("long").alias("id")), "root", "left").select("row", "n_shingles", F.col("id").alias("root"))
+        alone = rows.where("row is null").select("doc_id", "text")
+        out = rows.where("row is not null").join(found, "row").select("doc_id", "n_shingles", "root").union(sketches(alone, "doc_id", "text").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -353,10 +354,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows that share an id are documents of their own, in the order of their texts, but equal rows are one and stay or
     go together; rows without an id stay.
     """
-    named = _numbered(docs, id_col, text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    (gone,) = unused(docs, "gone")
+    named = _numbered(own, "doc_id", "text")
     if named is None:
-        drop = _classes(docs, id_col, text_col).where("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-        return docs.join(drop, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    drop = _classes(named, "__n", "__text").where("doc_id <> root").select(F.col("doc_id").alias("__n"))
-    keyed = docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col))))
-    return keyed.join(named.join(drop, "__n").select("__row"), "__row", "left_anti").select(docs.columns)
+        drop = _classes(own, "doc_id", "text").where("doc_id <> root").select(F.col("doc_id").alias(gone))
+        return docs.join(drop, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    drop = _classes(named, "n", "text").where("doc_id <> root").select(F.col("doc_id").alias("n"))
+    keyed = docs.withColumn(gone, F.when(F.col(id_col).isNotNull(), identity(id_col, text_col)))
+    return keyed.join(named.join(drop, "n").select(F.col("row").alias(gone)), gone, "left_anti").select(docs.columns)

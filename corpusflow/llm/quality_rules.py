@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.llm import vec
-from corpusflow.llm.shared import stored, unused
+from corpusflow.llm.shared import identity, stored, unused
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -71,9 +71,9 @@ def _measure(batches):
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None) -> DataFrame:
     """doc_id, key (see ``row_key``), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, a row per row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    key = row_key(host_col, text_col) if host_col else F.lit(None).cast("long")
+    key = row_key(host_col, text_col) if host_col else F.lit(None).cast("binary")
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key")).mapInArrow(
-        _measure, f"doc_id {kind}, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+        _measure, f"doc_id {kind}, key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     )
     return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
@@ -87,7 +87,7 @@ def _host(host_col: str):
 
 
 def row_key(host_col: str, text_col: str):
-    return F.xxhash64(_host(host_col), F.col(text_col).cast("string"))
+    return identity(host_col, text_col)
 
 
 def lines(docs: DataFrame, host_col: str, text_col: str) -> DataFrame:

@@ -39,24 +39,77 @@ TRAIN_TASKS = 24
 #: Nats by which a run must be likelier random, and nats per character.
 MARGIN, PER_CHAR = 12.0, 0.4
 
+#: Matches of a text that are folded at once.
+CHUNK = 256
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _chunks(items: Column) -> Column:
+    """An array in pieces of CHUNK items."""
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(a, i + 1, F.lit(CHUNK)))
+    return F.transform(F.array(items), cut)[0]  # what a lambda is given is computed once
+
+
+def _folded(items: Column, state: Column, step) -> Column:
+    """The spans that ``step(state, item)``, a new state and an array of spans, gives along ``items``.
+
+    Spans are gathered by pieces of the items and the pieces put together, so that a text of n matches costs n times CHUNK, not n squared.
+    """
+    empty = F.expr(f"cast(array() as {_SPAN})")
+
+    def item(acc, x):
+        new, given = step(acc["state"], x)
+        return F.struct(new.alias("state"), F.concat(acc["out"], given).alias("out"))
+
+    def piece(acc, chunk):
+        done = F.aggregate(chunk, F.struct(acc["state"].alias("state"), empty.alias("out")), item)
+        return F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+    start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("out"))
+    return F.aggregate(_chunks(items), start, piece, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+
+def _span(start: Column, kind: Column, end: Column) -> Column:
+    return F.array(F.struct(start.alias("start"), kind.alias("kind"), end.alias("end")))
+
+
 def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
     """The matches of a pattern as spans in code points, from the pieces between them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
     empty = F.expr(f"cast(array() as {_SPAN})")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+    def step(at, x):
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         good = x["hit"].isNotNull() if ok is None else x["hit"].isNotNull() & ok(x["hit"])
-        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(good, _span(start, F.lit(kind), end)).otherwise(empty)
+
+    return F.when(text.rlike(pattern), _folded(both, F.lit(0), step)["out"]).otherwise(empty)
 
-    folded = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+
+def _free(spans: Column) -> Column:
+    """Spans in order without those of kind 3 that overlap one of another kind; spans of kind 3 don't overlap each other."""
+    empty = F.expr(f"cast(array() as {_SPAN})")
+    kept = lambda st: F.when(st["start"] >= 0, _span(st["start"], F.lit(3), st["end"])).otherwise(empty)
+
+    def step(st, x):
+        """reach: where the spans of other kinds end so far; start, end: of the last span of kind 3 while it may be overlapped."""
+        more = x["kind"] == 3
+        late = x["start"] >= st["end"]  # nothing later can overlap the one that waits
+        waits = more & (x["start"] >= st["reach"])
+        stays = ~more & late | more
+        new = F.struct(
+            F.when(more, st["reach"]).otherwise(F.greatest(st["reach"], x["end"])).alias("reach"),
+            F.when(waits, x["start"]).otherwise(F.lit(-1)).alias("start"),
+            F.when(waits, x["end"]).otherwise(F.lit(-1)).alias("end"),
+        )
+        return new, F.concat(F.when(stays, kept(st)).otherwise(empty), F.when(more, empty).otherwise(F.array(x)))
+
+    start = F.struct(F.lit(0).alias("reach"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    done = _folded(spans, start, step)
+    return F.transform(F.array(done), lambda d: F.array_sort(F.concat(d["out"], kept(d["state"]))))[0]
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_DOCS) -> DataFrame:
@@ -131,8 +184,7 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", margin: fl
     found = docs.withColumn(base, F.array_sort(F.concat(_spans(text, ASSIGN, 0, long_enough), _spans(text, ACCESS, 1), _spans(text, HEX, 2))))
     (more,) = unused(found, "more")
     found = found.withColumn(more, _spans(text, RUN, 3, likely))
-    free = F.filter(more, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn(spans, F.array_sort(F.concat(base, free))).drop(more)
+    return found.withColumn(spans, F.when(F.size(more) == 0, F.col(base)).otherwise(_free(F.array_sort(F.concat(base, more))))).drop(more)
 
 
 def named(spans: str) -> Column:
@@ -153,10 +205,28 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     base, spans = unused(docs, "base", "spans")
     found = scan(docs, train(samples(docs, id_col, text_col)), text_col, base=base, spans=spans)
 
-    def step(acc, s):
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(inside)
+    def step(st, x):
+        """Overlapping spans become one; the last one waits for more."""
+        apart = x["start"] >= st["end"]
+        new = F.struct(F.when(apart, x["start"]).otherwise(st["start"]).alias("start"), F.greatest(st["end"], x["end"]).alias("end"))
+        return new, F.when(apart & (st["start"] >= 0), _span(st["start"], F.lit(0), st["end"])).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+
+    text = F.col(text_col)
+    joined = _folded(F.col(spans), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")), step)
+    joined = F.transform(F.array(joined), lambda d: F.concat(d["out"], _span(d["state"]["start"], F.lit(0), d["state"]["end"])))[0]
+
+    def cut(chunks):
+        """Each piece's part of the text, cut out of the whole once, with its spans replaced, and what is left."""
+        ends = F.transform(chunks, lambda c: F.element_at(c, -1)["end"])
+
+        def part(c, i):
+            low = F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
+            held = F.array(F.struct(low.alias("low"), F.substr(text, low + 1, F.element_at(c, -1)["end"] - low).alias("text")))
+            from_ = lambda h, j: F.when(j == 0, h["low"]).otherwise(F.element_at(c, F.greatest(j, F.lit(1)))["end"])
+            piece = lambda h: F.transform(c, lambda x, j: F.concat(F.substr(h["text"], from_(h, j) - h["low"] + 1, x["start"] - from_(h, j)), F.lit(mark)))
+            return F.transform(held, lambda h: F.array_join(piece(h), ""))[0]
+
+        return F.concat(F.array_join(F.transform(chunks, part), ""), F.substr(text, F.element_at(ends, -1) + 1))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(F.col(text_col))).select(docs.columns)
+    whole = F.transform(F.array(_chunks(joined)), cut)[0]
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).select(docs.columns)

@@ -14,21 +14,30 @@ U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _RNG.integers(0, 2**64 - 1, 256, dtype=np.uint64)
 BASE = U(0x9E3779B97F4A7C15)
-BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 STEP = U(0xD6E8FEB86659FD93)
+_PRIME = U(2**31 - 1)
+#: Of each lane of span hashes: base, its inverse, bytes' values.
+_LANES = [(int(b), pow(int(b), -1, 2**31 - 1), _RNG.integers(1, 2**31 - 1, 256, dtype=np.uint64)) for b in _RNG.integers(2**24, 2**31 - 1, 2)]
 _POWERS: dict[int, np.ndarray] = {}
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    have = _POWERS.get(int(base))
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder modulo the prime."""
+    return (x & _PRIME) + (x >> U(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime, kept between calls."""
+    have = _POWERS.get(base)
     if have is None or len(have) < n:
-        full = np.full(max(n, 1 << 16), base, np.uint64)
-        full[0] = U(1)
-        have = _POWERS[int(base)] = np.cumprod(full)
+        full = np.ones(1, np.uint32)
+        while len(full) < max(n, 1 << 16):
+            more = _fold(_fold(full.astype(np.uint64) * U(pow(base, len(full), 2**31 - 1))))
+            full = np.append(full, np.where(more >= _PRIME, more - _PRIME, more).astype(np.uint32))
+        have = _POWERS[base] = full
     return have[:n]
 
 
@@ -95,15 +104,23 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * _powers(BASE, len(data)), out=out[1:])
+    """Prefix sums, a row a lane, from which ``span_hash`` takes the hash of any span.
+
+    Sums of bytes' values by powers modulo a prime, twice: modulo 2**64 texts as different as Thue-Morse strings would be one.
+    """
+    out = np.zeros((len(_LANES), len(data) + 1), np.uint64)
+    for to, (base, _, byte) in zip(out, _LANES):
+        np.cumsum(_fold(_fold(byte[data] * _powers(base, len(data)))), out=to[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    inv = _powers(BASE_INV, len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * STEP)
+    held = U(0)
+    for of, (_, inverse, _) in zip(prefix, _LANES):
+        x = _fold(_fold(of[ends] - of[starts])) * _powers(inverse, len(of))[starts]
+        x = _fold(_fold(_fold(x)))
+        held = held << U(31) | np.where(x == _PRIME, U(0), x)
+    return mix(held + (ends - starts).astype(np.uint64) * STEP)
 
 
 def windows(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
