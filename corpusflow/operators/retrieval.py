@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import ColumnLike, col, strip, tokens
+from corpusflow.operators import ordered
 from corpusflow.operators.vector_blocks import best_of, grouped_topk
 from corpusflow.session import stored
 
@@ -205,9 +206,9 @@ def context_scores(ranked: DataFrame, key: str, rank: str, score: str, digits: i
 
 
 def merge_contexts(private: DataFrame, corpus: DataFrame, key: str, rank: str) -> DataFrame:
-    """Private hits before the corpus's, ranked anew."""
+    """Private hits before the corpus's, ranked anew; a key's hits are numbered by ranges, however many."""
     both = private.withColumn("origin", F.lit(0)).unionByName(corpus.withColumn("origin", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("merged_rank", F.row_number().over(Window.partitionBy(key).orderBy("origin", rank)))
+    return ordered.before(both, [key], ["origin", rank], name="merged_rank").withColumn("merged_rank", F.col("merged_rank") + 1)
 
 
 def assemble_context(ranked: DataFrame, key: str, rank: str, title: str, text: str, label: str = "Tài liệu") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusflow.functions.text import ColumnLike, col, simple_norm
+from corpusflow.operators import ordered
+from corpusflow.session import stored, unused
 
 
 #: Ranges that a running total over all values is taken by.
@@ -75,10 +77,54 @@ def timing_stats(df: DataFrame, value: str, by: list[str] = (), digits: int = 1)
     return out.select(*by, F.col("mean").alias("avg"), F.col("median").alias("p50"), "p95", "min", "max")
 
 
+#: Of the mergeable sketch that brackets ranks: its errors are at most one rank in so many.
+ACCURACY = 10_000
+
+
+def _bracketed(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """(g, i, p): the interpolated percentile of each share i in each group, exactly.
+
+    A sketch of each group brackets the ranks that are asked for, and one pass counts what lies below and keeps what lies inside, some
+    ten-thousandths of the rows.  Groups that a bracket should miss are counted whole.
+    """
+    rows = df.select(_group(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    ends = [min(1.0, max(0.0, s + d / ACCURACY)) for s in shares for d in (-2, 2)]
+    sketch = rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("q"))
+    sides = F.array(*(F.struct(F.lit(i).alias("i"), F.col("q")[2 * i].alias("low"), F.col("q")[2 * i + 1].alias("high")) for i in range(len(shares))))
+    sketch = stored(sketch.select("g", "n", F.filter(sides, lambda x: x["low"].isNotNull()).alias("sides")), "sketch")
+    held = rows.join(sketch, "g").select("g", "n", "v", F.explode("sides").alias("x")).select("g", "n", "v", "x.*").where("v <= high")
+    below = held.groupBy("g", "i", "n").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+    inside = held.where("v >= low").select(F.struct("g", "i").alias("g"), "v")
+    found = _interpolated(_running(inside).select("g.g", "g.i", "v", "upto"), below, shares)
+    found = stored(found, "percentiles")
+    missed = found.where("p is null or below > floor(at)").select("g").distinct()
+    if missed.isEmpty():
+        return found.select("g", "i", "p")
+    whole = rows.join(missed, "g", "left_semi")
+    none = whole.groupBy("g").agg(F.count("*").alias("n")).select("g", "n", F.explode(F.array(*map(F.lit, range(len(shares))))).alias("i"), F.lit(0).cast("long").alias("below"))
+    again = _interpolated(_running(whole).join(none.select("g", "i"), "g").select("g", "i", "v", "upto"), none, shares)
+    return found.join(missed, "g", "left_anti").select("g", "i", "p").unionByName(again.select("g", "i", "p"))
+
+
+def _interpolated(counted: DataFrame, below: DataFrame, shares: list[float]) -> DataFrame:
+    """``below`` with at, the rank of each share from 0, and p, the value there; ``counted`` has how many values are at most v."""
+    share = F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1)
+    ranked = below.withColumn("at", (F.col("n") - 1) * share)
+    rows = counted.join(ranked, ["g", "i"]).withColumn("upto", F.col("upto") + F.col("below"))
+    near = rows.groupBy("g", "i").agg(*(F.min(F.when(F.col("upto") > f("at"), F.col("v"))).alias(c) for f, c in ((F.floor, "a"), (F.ceil, "b"))))
+    low, high = F.floor("at"), F.ceil("at")
+    p = F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    return ranked.join(near, ["g", "i"], "left").withColumn("p", p)
+
+
 def interp_percentiles(df: DataFrame, value: str, by: list[str] = (), points=(50, 90, 95, 99), digits: int = 4, approx: bool = False) -> DataFrame:
-    """Percentiles by linear interpolation, or approximate ones in bounded memory."""
-    f = (lambda p: F.percentile_approx(value, p / 100, 10_000)) if approx else (lambda p: F.percentile(value, p / 100))
-    return _by(df, by).agg(*(F.round(f(p), digits).alias(f"p{p}") for p in points))
+    """Percentiles by linear interpolation, exact without holding a group, or approximate ones from the sketch alone."""
+    if approx:
+        return _by(df, by).agg(*(F.round(F.percentile_approx(value, p / 100, ACCURACY), digits).alias(f"p{p}") for p in points))
+    found = _bracketed(df, value, list(by), [p / 100 for p in points])
+    at = lambda i: F.round(F.max(F.when(F.col("i") == i, F.col("p"))), digits)
+    each = [at(i).alias(f"p{p}") for i, p in enumerate(points)]
+    return _ungroup(found.groupBy("g").agg(*each), list(by)) if by else found.agg(*each)
 
 
 def success_summary(df: DataFrame, ok: Column, by: list[str] = ()) -> DataFrame:
@@ -198,9 +244,26 @@ def cer(reference: ColumnLike, hypothesis: ColumnLike) -> Column:
 
 def wer_summary(df: DataFrame, rate: str, by: list[str] = (), digits: int = 4) -> DataFrame:
     """Mean, median, population deviation, best, worst, shares up to 10/20/30/50 %, perfect and bad counts."""
-    share = lambda t: F.round(100.0 * F.count_if(F.col(rate) <= t) / F.count(rate), 2).alias(f"le_{round(100 * t)}_pct")
+    share = lambda t: F.round(100.0 * F.count_if(F.col(rate) <= t) / F.nullif(F.count(rate), F.lit(0)), 2).alias(f"le_{round(100 * t)}_pct")
     r = lambda c, n: F.round(c, digits).alias(n)
-    return _by(df, by).agg(F.count(rate).alias("n"), r(F.avg(rate), "mean"), r(F.median(rate), "median"), r(F.stddev_pop(rate), "std"), r(F.min(rate), "best"), r(F.max(rate), "worst"), *map(share, (0.1, 0.2, 0.3, 0.5)), F.count_if(F.col(rate) == 0).alias("perfect"), F.count_if(F.col(rate) >= 0.5).alias("bad"))
+    rows = df.groupBy(_group(by).alias("g")) if by else df.groupBy()
+    out = rows.agg(F.count(rate).alias("n"), r(F.avg(rate), "mean"), r(F.stddev_pop(rate), "std"), r(F.min(rate), "best"), r(F.max(rate), "worst"), *map(share, (0.1, 0.2, 0.3, 0.5)), F.count_if(F.col(rate) == 0).alias("perfect"), F.count_if(F.col(rate) >= 0.5).alias("bad"))
+    out = (out if by else out.withColumn("g", F.lit(0))).join(_bracketed(df, rate, list(by), [0.5]).select("g", F.round("p", digits).alias("median")), "g", "left")
+    names = ("n", "mean", "median", "std", "best", "worst", "le_10_pct", "le_20_pct", "le_30_pct", "le_50_pct", "perfect", "bad")
+    return _ungroup(out.select("g", *names), list(by)) if by else out.select(*names)
+
+
+def distinct_counts(df: DataFrame, columns: dict[str, str], approx: bool = False) -> DataFrame:
+    """One row: how many different values each column has, by output name; nulls don't count.
+
+    Exact by digests of 128 bits, so that texts stay where they are, or ``approx`` by sketches, of which a task gives one a column.
+    """
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("string").cast("binary")))
+    if approx:  # sketches leave out empty strings, not their digests
+        return df.agg(*(F.hll_sketch_estimate(F.hll_sketch_agg(digest(c))).alias(n) for n, c in columns.items()))
+    each = F.array(*(F.struct(F.lit(i).alias("i"), digest(c).alias("d")) for i, c in enumerate(columns.values())))
+    rows = df.select(F.explode(each).alias("x")).select("x.*").where("d is not null").distinct().groupBy("i").agg(F.count("*").alias("n"))
+    return rows.agg(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(n) for i, n in enumerate(columns)))
 
 
 def rtf_stats(df: DataFrame, latency: Column, duration: Column, by: list[str], digits: int = 6) -> DataFrame:
@@ -373,13 +436,13 @@ def timing_merge(events: DataFrame, key: str, seq: str, text: str, timing: str,
 
 
 def running_id(df: DataFrame, group: str, order: str, existing: DataFrame | None = None, number: str = "n", width: int = 4) -> DataFrame:
-    """``df`` with syn_{group}_{n}, going on after the largest number of the group so far."""
-    w = Window.partitionBy(group).orderBy(order)
-    out = df.withColumn("__n", F.row_number().over(w))
+    """``df`` with syn_{group}_{n}, going on after the largest number of the group so far; groups of any size are numbered by ranges."""
+    n, most = unused(df, "__n", "__max")
+    out = ordered.before(df, [group], [order], name=n).withColumn(n, F.col(n) + 1)
     if existing is not None:
-        out = out.join(existing.groupBy(group).agg(F.max(number).alias("__max")), group, "left")
-        out = out.withColumn("__n", F.col("__n") + F.coalesce("__max", F.lit(0))).drop("__max")
-    return out.withColumn("syn_id", F.concat_ws("_", F.lit("syn"), F.col(group), F.lpad(F.col("__n").cast("string"), width, "0"))).drop("__n")
+        out = out.join(existing.groupBy(group).agg(F.max(number).alias(most)), group, "left")
+        out = out.withColumn(n, F.col(n) + F.coalesce(most, F.lit(0))).drop(most)
+    return out.withColumn("syn_id", F.concat_ws("_", F.lit("syn"), F.col(group), F.lpad(F.col(n).cast("string"), width, "0"))).drop(n)
 
 
 def last_turns(df: DataFrame, session: str, turn: str, n: int) -> DataFrame:

@@ -260,7 +260,7 @@ def agg16_top_counts(spark, sf_dir):
 
 @query("SELECT count(DISTINCT text) AS texts, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM documents")
 def agg17_distinct_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count_distinct("text").alias("texts"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"))
+    return stats.distinct_counts(table(spark, sf_dir, "documents"), {"texts": "text", "sources": "source", "langs": "lang"})
 
 
 @query("WITH m AS (SELECT 'quality' AS metric, CAST(quality AS DOUBLE) AS v FROM labels UNION ALL SELECT 'rated', CASE WHEN toxic = 0 THEN CAST(quality AS DOUBLE) END FROM labels UNION ALL SELECT 'never', NULL FROM labels) SELECT metric, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max, count(*) FILTER (v IS NULL) AS missing FROM m GROUP BY 1 HAVING avg(v) IS NOT NULL")

@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import joins, retrieval, sample, stats
@@ -140,3 +142,37 @@ def test_memory_fold_agrees_with_a_loop(spark):
             if held > 3:
                 held, done = 2, done + held - 2
         assert got[n] == (held, done)
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20, 2])
+def test_percentiles_are_exact(spark, monkeypatch, accuracy):
+    """With a coarse sketch brackets hold much, or miss and are counted whole."""
+    monkeypatch.setattr(stats, "ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    data = {"a": [rng.gauss(0, 1) for _ in range(900)], "b": [float(rng.randrange(4)) for _ in range(301)], "one": [7.0], None: [1.0, 2.0], "wide": [10.0 ** rng.randrange(12) for _ in range(100)]}
+    rows = spark.createDataFrame([(k, v, 1) for k, vs in data.items() for v in vs] + [("a", None, 1), ("never", None, 1)], "k string, v double, g int").repartition(5)
+    got = {r.k: (r.p10, r.p50, r.p99) for r in stats.interp_percentiles(rows, "v", ["k"], (10, 50, 99), digits=9).collect()}
+    assert got.keys() == data.keys()
+    for k, vs in data.items():
+        assert got[k] == pytest.approx([float(np.percentile(vs, p)) for p in (10, 50, 99)], rel=1e-9, abs=1e-9)
+    every = [v for vs in data.values() for v in vs]
+    assert stats.interp_percentiles(rows, "v", points=(50,)).first().p50 == pytest.approx(float(np.percentile(every, 50)), abs=1e-4)
+    assert stats.interp_percentiles(rows.limit(0), "v", points=(50,)).collect()[0].p50 is None
+    assert stats.wer_summary(rows.where("k = 'b'"), "v").first()["median"] == float(np.percentile(data["b"], 50))
+    assert stats.wer_summary(rows.limit(0), "v").first().n == 0
+
+
+def test_distinct_counts(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, None), (None, 2, None), ("", 3, None)] * 3, "t string, n int, x string")
+    of = {"texts": "t", "numbers": "n", "none": "x"}
+    assert tuple(stats.distinct_counts(rows, of).first()) == (2, 3, 0) and stats.distinct_counts(rows, of).columns == list(of)
+    assert tuple(stats.distinct_counts(rows, of, approx=True).first()) == (2, 3, 0)
+    assert tuple(stats.distinct_counts(rows.limit(0), of).first()) == (0, 0, 0)
+
+
+def test_numbers_in_one_large_group(spark):
+    rows = spark.createDataFrame([("g", i, "x", "y") for i in range(500)] + [("h", 5, "x", "y")], "g string, o int, __n string, __max string").repartition(6)
+    got = {(r.g, r.o): r.syn_id for r in stats.running_id(rows, "g", "o", spark.createDataFrame([("g", 10)], "g string, n int")).collect()}
+    assert got == {("g", i): f"syn_g_{i + 11:04}" for i in range(500)} | {("h", 5): "syn_h_0001"}
+    merged = retrieval.merge_contexts(rows.where("o < 100"), rows.where("o >= 100"), "g", "o")
+    assert {(r.g, r.o): r.merged_rank for r in merged.collect()} == {("g", i): i + 1 for i in range(500)} | {("h", 5): 1}
