@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.folding import fold, once
 from corpusflow.functions.text import ColumnLike, col, strip
 
 _NONE = "cast(array() as array<string>)"
@@ -39,15 +40,17 @@ def split_paragraph_sentences(c: ColumnLike) -> Column:
 def pack_words(sentence: Column, size: int, least: int) -> Column:
     """A sentence's words joined up to ``size`` characters; pieces under ``least`` are dropped."""
 
-    def step(acc, w):
-        joined = F.when(acc["sub"] == "", w).otherwise(F.concat_ws(" ", acc["sub"], w))
+    none = F.expr(_NONE)
+
+    def step(st, w):
+        joined = F.when(st["sub"] == "", w).otherwise(F.concat_ws(" ", st["sub"], w))
         full = F.length(joined) > size
-        kept = F.when(F.length(acc["sub"]) >= least, F.concat(acc["out"], F.array(acc["sub"]))).otherwise(acc["out"])
-        return F.struct(F.when(full, w).otherwise(joined).alias("sub"), F.when(full & (acc["sub"] != ""), kept).otherwise(acc["out"]).alias("out"))
+        kept = F.when(full & (st["sub"] != "") & (F.length(st["sub"]) >= least), F.array(st["sub"])).otherwise(none)
+        return F.struct(F.when(full, w).otherwise(joined).alias("sub")), kept
 
-    start = F.struct(F.lit("").alias("sub"), F.expr(_NONE).alias("out"))
     words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
-    return F.aggregate(words, start, step, lambda acc: F.when((acc["sub"] != "") & (F.length(acc["sub"]) >= least), F.concat(acc["out"], F.array(acc["sub"]))).otherwise(acc["out"]))
+    last = lambda d: F.when((d["state"]["sub"] != "") & (F.length(d["state"]["sub"]) >= least), F.array(d["state"]["sub"])).otherwise(none)
+    return once(fold(words, F.struct(F.lit("").alias("sub")), step, "string"), lambda d: F.concat(d["out"], last(d)))
 
 
 def chunk_sentences_by_length(sentences: Column, size: int = 600, least: int = 150, drop: int = 60, overlap: int = 0) -> Column:
@@ -57,28 +60,46 @@ def chunk_sentences_by_length(sentences: Column, size: int = 600, least: int = 1
     ``overlap`` the last sentences of a closed chunk open the next one, if it had more; each counts one more character then.
     ``least=0`` closes as soon as the next sentence doesn't fit.
     """
-    none = F.expr(_NONE)
+    none = F.expr(f"cast(array() as array<{_CUT}>)")
+
+    def cuts(held: Column) -> Column:
+        """Where chunks begin and end, from the sentences' lengths alone."""
+        sizes = F.transform(held, lambda s: F.length(s))
+
+        def step(st, x):
+            at, add = x["i"], x["n"] + F.when(x["i"] > st["first"], 1).otherwise(0)
+            has = at > st["first"]
+            close = has & (st["len"] + add > size) & (st["len"] >= least)
+            kept = F.when(at - st["first"] > overlap, overlap).otherwise(0) if overlap else F.lit(0)
+            kept_len = F.aggregate(F.slice(x["back"], -F.greatest(kept, F.lit(1)), kept), F.lit(0), lambda a, n: a + n + 1) if overlap else F.lit(0)
+            giant = x["n"] > size
+            first = F.when(giant, at + 1).when(close, at - kept).otherwise(st["first"])
+            length = F.when(giant, 0).when(close, kept_len + add).otherwise(st["len"] + add)
+            ended = F.when((giant & has) | (~giant & close), F.array(_cut(st["first"], at, F.lit(False)))).otherwise(none)
+            return F.struct(first.alias("first"), length.alias("len")), F.concat(ended, F.when(giant, F.array(_cut(at, at + 1, F.lit(True)))).otherwise(none))
+
+        def items(n: Column) -> Column:
+            # with an overlap each sentence knows the lengths of those before it that a new chunk may keep
+            back = (lambda i: F.slice(n, F.greatest(i + 1 - overlap, F.lit(1)), F.least(i, F.lit(overlap)))) if overlap else (lambda i: F.expr("cast(array() as array<int>)"))
+            return F.transform(n, lambda x, i: F.struct(i.alias("i"), x.alias("n"), back(i).alias("back")))
+
+        done = fold(once(sizes, items), F.struct(F.lit(0).alias("first"), F.lit(0).alias("len")), step, _CUT)
+        last = lambda d: F.when(d["state"]["first"] < F.size(held), F.array(_cut(d["state"]["first"], F.size(held), F.lit(False)))).otherwise(none)
+        return once(done, lambda d: F.concat(d["out"], last(d)))
+
+    def chunks(held: Column) -> Column:
+        text = lambda c: F.array_join(F.slice(held, c["from"] + 1, c["to"] - c["from"]), " ")
+        long_enough = lambda c: F.filter(F.array(text(c)), lambda t: F.length(t) >= drop)
+        return F.flatten(F.transform(cuts(held), lambda c: F.when(c["giant"], pack_words(F.element_at(held, c["from"] + 1), size, drop)).otherwise(long_enough(c))))
+
+    return once(sentences, chunks)
+
+
+_CUT = "struct<from:int,to:int,giant:boolean>"
+
 
-    def closed(acc):
-        text = F.array_join(acc["buf"], " ")
-        out = F.when(F.length(text) >= drop, F.concat(acc["out"], F.array(text))).otherwise(acc["out"])
-        if not overlap:
-            return none, F.lit(0), out
-        keep = F.when(F.size(acc["buf"]) > overlap, F.slice(acc["buf"], -overlap, overlap)).otherwise(none)
-        return keep, F.aggregate(keep, F.lit(0), lambda a, s: a + F.length(s) + 1), out
-
-    def step(acc, s):
-        keep, kept_len, out = closed(acc)
-        add = F.length(s) + F.when(F.size(acc["buf"]) > 0, 1).otherwise(0)
-        close = (F.size(acc["buf"]) > 0) & (acc["len"] + add > size) & (acc["len"] >= least)
-        base, base_len = F.when(close, keep).otherwise(acc["buf"]), F.when(close, kept_len).otherwise(acc["len"])
-        usual = F.struct(F.concat(base, F.array(s)).alias("buf"), (base_len + add).alias("len"), F.when(close, out).otherwise(acc["out"]).alias("out"))
-        flushed = F.when(F.size(acc["buf"]) > 0, out).otherwise(acc["out"])
-        giant = F.struct(none.alias("buf"), F.lit(0).alias("len"), F.concat(flushed, pack_words(s, size, drop)).alias("out"))
-        return F.when(F.length(s) > size, giant).otherwise(usual)
-
-    start = F.struct(none.alias("buf"), F.lit(0).alias("len"), none.alias("out"))
-    return F.aggregate(sentences, start, step, lambda acc: F.when(F.size(acc["buf"]) > 0, closed(acc)[2]).otherwise(acc["out"]))
+def _cut(start: Column, end: Column, giant: Column) -> Column:
+    return F.struct(start.alias("from"), end.alias("to"), giant.alias("giant"))
 
 
 def chunk_range(c: ColumnLike, least: int = 150, size: int = 600, drop: int = 60, overlap: int = 0) -> Column:
