@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.sources import merged
+from corpusflow.sources import csv, merged
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -29,9 +29,8 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header; strings unless a schema is given."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.schema(schema).csv(path) if schema else reader.csv(path)
+    """CSV with a header; strings unless a schema is given.  Line breaks may stand in quotes, and large files are still split."""
+    return csv.read(spark, path, schema)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
