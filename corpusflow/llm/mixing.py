@@ -161,7 +161,9 @@ def mix(rows: DataFrame, each: DataFrame, block: int = BLOCK) -> DataFrame:
     ``rows`` and ``each`` are ``documents`` and ``sources``.
     """
     blocks = [-(-r["quota"] // block) for r in each.orderBy("k").collect()]  # at most SOURCES rows
-    return schedule(rows.sparkSession, blocks).join(streams(rows, each, block), ["k", "rank"]).select("slot", "k", "rank", "row", "place", "start", "n")
+    # slots are made of a small table of counts, from which the planner would take them to be few
+    slots = schedule(rows.sparkSession, blocks).hint("merge")
+    return slots.join(streams(rows, each, block), ["k", "rank"]).select("slot", "k", "rank", "row", "place", "start", "n")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
