@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from corpusflow.session import stored, unused
 
 
-def _changes(a: pa.Array, last) -> np.ndarray:
+def changes(a: pa.Array, last) -> np.ndarray:
     """Where a value isn't that of the row before; ``last`` stands before the first, as an array of one row or None."""
     if last is None:
         last = pa.nulls(0, a.type)
@@ -44,7 +44,7 @@ def _number(group: list[str], value: str, names: list[str]):
             v = b.column(b.schema.get_field_index(value)).to_numpy(zero_copy_only=False)
             new = np.zeros(b.num_rows, bool)
             for i, g in enumerate(group):
-                new |= _changes(b.column(b.schema.get_field_index(g)), last and last[i])
+                new |= changes(b.column(b.schema.get_field_index(g)), last and last[i])
             if not group and last is None:
                 new[0] = True
             sums = np.cumsum(v) - v

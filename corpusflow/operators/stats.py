@@ -468,38 +468,6 @@ def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.join(share, (_group(by) == F.col("__g")) & (F.col(value) == F.col("__v")), "left").drop("__g", "__v")
 
 
-def _medians(every: int, by: int):
-    """Batches sorted by group and order, the value last, to rows (group, checkpoint, median)."""
-
-    def run(batches):
-        group, held, new = None, np.zeros(0), []
-        for batch in batches:
-            out = [[] for _ in range(by + 2)]
-            for *own, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != group:
-                    group, held, new, n = own, np.zeros(0), [], 0
-                n += 1
-                if v is not None:
-                    new.append(v)
-                if n % every == 0:
-                    new.sort()
-                    held, new = np.insert(held, np.searchsorted(held, new), new), []
-                    m = len(held)
-                    for column, x in zip(out, (*own, n, (held[(m - 1) // 2] + held[m // 2]) / 2 if m else None)):
-                        column.append(x)
-            types = [*(batch.schema.field(i).type for i in range(by)), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [str(i) for i in range(by + 2)])
-
-    return run
-
-
-def running_median(df: DataFrame, value: str, by: list[str], order: str, every: int = 100, digits: int = 4) -> DataFrame:
-    """The median of all samples so far at every ``every``-th one, per group; a group's samples are streamed in order and kept sorted."""
-    rows = df.repartition(*by).sortWithinPartitions(*by, order).select(*by, F.col(value).cast("double").alias("v"))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    return rows.mapInArrow(_medians(every, len(by)), f"{schema}, checkpoint long, median double").withColumn("median", F.round("median", digits))
-
-
 def share_of_total(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
     out = df.groupBy(key).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("__all"))  # one row

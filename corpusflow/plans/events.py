@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.operators import joins, reshape, retrieval, sample, stats
+from corpusflow.operators import joins, medians, reshape, retrieval, sample, stats
 from corpusflow.plans.registry import query, table
 from corpusflow.streaming import ops
 
@@ -222,7 +222,7 @@ def win5_ecdf(spark, sf_dir):
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), m AS (SELECT DISTINCT event_type, i AS checkpoint FROM r WHERE i % 100 = 0) SELECT m.event_type, checkpoint, round(median(value), 4) AS median FROM m JOIN r ON r.event_type = m.event_type AND r.i <= checkpoint GROUP BY 1, 2")
 def win6_running_median(spark, sf_dir):
-    out = stats.running_median(events(spark, sf_dir), "value", ["event_type"], "event_id")
+    out = medians.running_median(events(spark, sf_dir), "value", ["event_type"], "event_id")
     return out.select("event_type", "checkpoint", "median")
 
 
