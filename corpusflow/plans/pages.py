@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusflow.functions import containers
 from corpusflow.functions import pages as P
 from corpusflow.operators import joins, retrieval
 from corpusflow.plans.cleaning import trim
@@ -30,11 +31,19 @@ def ext1_extract_title(spark, sf_dir):
 _LINES = _unescape(r"regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '(?s)<[^>]+>', chr(10), 'g')")
 
 
-@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_LINES}, chr(10)), lambda x: {trim('x')}), lambda x: x <> ''), chr(10)) AS body FROM pages")
+_BODY = f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_LINES}, chr(10)), lambda x: {trim('x')}), lambda x: x <> ''), chr(10)) AS body FROM pages"
+
+
+@query(_BODY)
 def ext2_extract_body(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.extract_body("html").alias("body"))
 
 
+@query(_BODY)
+def ext2_container_body(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", containers.container_body("html").alias("body"))
+
+
 @query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS o, regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)["'']', 1) AS l FROM pages),
 u AS (SELECT page_id, o || unnest(l) AS link, generate_subscripts(l, 1) AS i FROM h), f AS (SELECT page_id, link, min(i) AS i FROM u GROUP BY 1, 2)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, link FROM f""")
@@ -65,12 +74,35 @@ def ext7_url_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.url_domain("url", "none").alias("domain"))
 
 
-@query()
+def _field(pattern: str, blank: str = " ") -> str:
+    """The text of a field of the block ``b``, tags as blanks."""
+    return trim(_unescape(f"regexp_replace(regexp_extract(b, '(?is){pattern}', 1), '(?s)<[^>]+>', '{blank}', 'g')"))
+
+
+def _qa_sql(finish, answer: str) -> str:
+    """Questions and answers of articles; ``finish`` says in SQL what becomes of white space, ``answer`` where an answer ends."""
+    return f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<article>.*?</article>') AS l FROM pages), b AS (SELECT page_id, unnest(l) AS b, generate_subscripts(l, 1) - 1 AS pos FROM a),
+f AS (SELECT page_id, pos, coalesce(nullif({finish(_field("<h1>(.*?)</h1>"))}, ''), {finish(_field("<b>(.*?)</b>"))}) AS question, {finish(_field(answer))} AS said, {finish(_field("<footer>(.*?)</footer>"))} AS doctor FROM b)
+SELECT page_id, pos, question, {finish("CASE WHEN doctor = '' THEN said ELSE replace(said, doctor, '') END")} AS answer, doctor FROM f WHERE question <> '' AND said <> ''"""
+
+
+@query(_qa_sql(trim, "<p>(.*?)</p>"))
 def ext8_extract_qa(spark, sf_dir):
     rows = P.extract_qa(table(spark, sf_dir, "pages"), "html", r"(?is)<article>.*?</article>", r"(?is)<h1>(.*?)</h1>", r"(?is)<b>(.*?)</b>", r"(?is)<p>(.*?)</p>", r"(?is)<footer>(.*?)</footer>")
     return rows.select("page_id", "pos", "question", "answer", "doctor")
 
 
+def _single(x: str) -> str:
+    return trim(rf"regexp_replace({x}, '\s+', ' ', 'g')")
+
+
+# a paragraph without an end tag ends where the next begins
+@query(_qa_sql(_single, "<p>(.*?)</?(?:p|article)>"))
+def ext8_qa_containers(spark, sf_dir):
+    rows = containers.extract_qa(table(spark, sf_dir, "pages"), "html", "article", "h1", "b", "p", "footer")
+    return rows.select("page_id", "pos", "question", "answer", "doctor")
+
+
 @query(rf"""WITH {WITH_DOC} SELECT doc_id, md5(regexp_replace(regexp_replace(noised, '^((Home|Contact)[^\n]*\n)+', ''), '(?s)\n(References)\b.*$', '')) AS h FROM n""")
 def ext9_strip_edges(spark, sf_dir):
     return noised(table(spark, sf_dir, "documents")).select("doc_id", F.md5(P.strip_edges("noised", "Home|Contact", "References")).alias("h"))
