@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.functions import chunking, text
+from corpusflow.functions import chunking, dictionary, text
 from corpusflow.functions.packs import TEST_EN
 from corpusflow.operators import clean
 from corpusflow.plans import chunk_sql
@@ -299,6 +299,11 @@ def nrm1_expand_aliases(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.expand_aliases("text", TEST_EN.aliases)).alias("h"))
 
 
+@query(f"SELECT doc_id, md5({_alias_sql('text')}) AS h FROM documents")
+def nrm1_expand_dictionary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(dictionary.expand_aliases("text", TEST_EN.aliases)).alias("h"))
+
+
 @query(f"SELECT conv_id, turn, md5({_alias_sql(_ASR)}) AS h FROM conversations")
 def nrm2_asr_fixups(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.asr_fixups("text", TEST_EN)).alias("h"))

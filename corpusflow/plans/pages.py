@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.functions import containers
+from corpusflow.functions import containers, dictionary
 from corpusflow.functions import pages as P
 from corpusflow.operators import joins, retrieval
 from corpusflow.plans.cleaning import trim
@@ -120,6 +120,11 @@ def ext11_topic_filter(spark, sf_dir):
     return P.topic_filter(table(spark, sf_dir, "documents"), F.col("source"), "text", ("heat", "queau", "src7")).select("doc_id")
 
 
+@query("SELECT doc_id, regexp_matches(text, '(?i)heat|queau|tion der') AS on_topic FROM documents")
+def ext11_topic_dictionary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", dictionary.holds_any("text", ("heat", "queau", "tion der")).alias("on_topic"))
+
+
 @query("""WITH p AS (SELECT user_id, event_id, CASE WHEN value < 20 THEN 0 ELSE 1 END AS n_items, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
 s AS (SELECT *, CASE WHEN n_items = 0 AND lag(n_items) OVER (PARTITION BY user_id ORDER BY event_id) = 0 THEN 1 ELSE 0 END AS stop FROM p),
 d AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s)
