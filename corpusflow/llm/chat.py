@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.llm.shared import stored
+
 # fixed values: the template's marks and the control strings that texts must not spell
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -48,7 +50,7 @@ def log_of(rows: DataFrame, delta: int = DELTA) -> DataFrame:
     and edited to their text.
     """
     rows = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("message", F.monotonically_increasing_id())
+    rows = stored(rows.withColumn("message", F.monotonically_increasing_id()), "turns")  # a lost task must not number them anew
     n = F.ceil(F.length("text") / delta).cast("int")
     cuts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr("text", i * delta + 1, F.lit(delta)))
     event = lambda name, text: F.array(F.struct(F.lit(name).alias("event"), text.alias("text")))
