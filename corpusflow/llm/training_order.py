@@ -29,6 +29,8 @@ from corpusflow.llm import tokens, vec
 from corpusflow.llm.shared import checkpoint_dir, cut
 
 SEQ_LEN, SHARD_ROWS, KEY, ROUNDS = 1024, 16_384, 0x5EED, 6
+#: Shards that a task writes one after the other where there are more than the session has shuffle partitions.
+SHARDS_A_TASK = 64
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -114,7 +116,9 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     slots = numbered.select("doc_id", "seq", "n_ids", "z", (F.col("before") + F.col("place")).alias("index")).mapInArrow(_slot(n, key), f"doc_id {kind}, seq int, n_ids int, z binary, slot long")
     slots = slots.withColumn("shard", (F.col("slot") / shard_rows).cast("long"))
     shards = max(1, -(-n // shard_rows))
-    out = slots.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(shards, max(least, -(-shards // SHARDS_A_TASK)))
+    out = slots.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
     out = out.select("shard", "slot", "doc_id", "seq", "n_ids", "z").mapInArrow(_pad((4 if wide else 2) * seq_len), f"shard long, slot long, doc_id {kind}, seq int, n_ids int, ids binary")
     out.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
 

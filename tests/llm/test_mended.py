@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import near_dup, quality_rules, secrets, vec
+from corpusflow.llm import near_dup, quality_rules, secrets, training_order, vec
 
 
 def thue_morse(n, a="a", b="b"):
@@ -72,3 +72,14 @@ def test_free_spans(spark, spans, more):
     df = spark.createDataFrame([(spans, more)], f"b {kind}, m {kind}").select(secrets._free(F.array_sort(F.concat("b", "m"))).alias("s"))
     want = sorted([*spans, *(m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in spans))])
     assert [tuple(x) for x in df.first().s] == want
+
+
+def test_several_shards_a_task(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "some words " * (i % 40)) for i in range(900)], "doc_id long, text string")
+    path = str(tmp_path / "shards")
+    training_order.materialise(rows, path, seq_len=8, shard_rows=4)
+    shards = {int(p.name.split("=")[1]): list(p.glob("*.parquet")) for p in (tmp_path / "shards").glob("shard=*")}
+    n = spark.read.parquet(path).count()
+    assert sorted(shards) == list(range(-(-n // 4))) and len(shards) > 64
+    assert all(len(files) == 1 for files in shards.values())
+    assert [r.slot for r in training_order.read_from(spark, path, 1001, 4).orderBy("slot").collect()] == list(range(1001, n))
