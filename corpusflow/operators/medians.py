@@ -18,7 +18,7 @@ from corpusflow.operators.ordered import before, changes
 from corpusflow.session import stored
 
 #: Rows of a block.  A task holds a block and at most about three times as many values before it; the counts are fewer than the
-#: rows as long as a group has under BLOCK ** 2 / BUCKETS of them.
+#: rows as long as a group has under BLOCK ** 2 / (2 * BUCKETS) of them.
 BLOCK = 1 << 20
 #: Buckets of values that a block's number of rows is dealt to, and the parts that a bucket's rows are sent out by.
 BUCKETS, PARTS = 4, 64
