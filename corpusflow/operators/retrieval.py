@@ -200,9 +200,15 @@ def _scored(rows: pd.DataFrame, k: int, k1: float, b: float, avg_len: float, dig
 
 
 def context_scores(ranked: DataFrame, key: str, rank: str, score: str, digits: int = 4) -> DataFrame:
-    """Per query: its scores in order, and their max, min and average."""
-    order = F.transform(F.array_sort(F.collect_list(F.struct(rank, score))), lambda x: F.round(x[score], digits))
-    return ranked.groupBy(key).agg(order.alias("scores"), F.round(F.max(score), digits).alias("score_max"), F.round(F.min(score), digits).alias("score_min"), F.round(F.avg(score), digits).alias("score_avg"))
+    """Per query: its scores in order, and their max, min and average, which is summed in that order.
+
+    Rounded as doubles are: what lies half way in decimals goes by the nearest double, not by how it prints.
+    """
+    near = lambda x: F.round(x * 10.0**digits) / 10.0**digits
+    held = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, score))), lambda x: x[score].cast("double")).alias("__s"))
+    known = F.filter("__s", lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(known), F.lit(0))
+    return held.select(key, F.transform("__s", near).alias("scores"), near(F.array_max("__s")).alias("score_max"), near(F.array_min("__s")).alias("score_min"), near(mean).alias("score_avg"))
 
 
 def merge_contexts(private: DataFrame, corpus: DataFrame, key: str, rank: str) -> DataFrame:

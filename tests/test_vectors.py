@@ -102,3 +102,12 @@ def test_many_queries_are_scored_in_slices(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "SCORED_CELLS", 5_000)
     list(run([frame(spark, rows, "c").withColumn("g", F.lit(0)).toPandas()]))
     assert scores is np.round and max(seen) <= 5_000 and sum(seen) == 2000 * 90
+
+
+def test_context_scores_round_doubles(spark):
+    rows = spark.createDataFrame([("a", 2, 0.36265), ("a", 1, 1.0), ("b", 1, None), ("c", 1, 0.32685), ("c", 2, None)], "q string, r int, s double")
+    got = {r.q: r for r in retrieval.context_scores(rows, "q", "r", "s").collect()}
+    # 0.36265 and 0.32685 lie below half way as doubles
+    assert (got["a"].scores, got["a"].score_max, got["a"].score_min, got["a"].score_avg) == ([1.0, 0.3626], 1.0, 0.3626, 0.6813)
+    assert (got["b"].scores, got["b"].score_max, got["b"].score_avg) == ([None], None, None)
+    assert (got["c"].scores, got["c"].score_min, got["c"].score_avg) == ([0.3268, None], 0.3268, 0.3268)
