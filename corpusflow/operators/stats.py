@@ -43,18 +43,6 @@ def _running(rows: DataFrame) -> DataFrame:
     return placed.withColumn("inside", inside).join(before, ["g", "b"]).select("g", "v", "t", (F.col("before") + F.col("inside")).alias("upto"), "n")
 
 
-def _at_rank(i: Column) -> Column:
-    """The value at rank ``i`` of a group of ``_running``, counted from 0."""
-    return F.min(F.when(F.col("upto") > i, F.col("v")))
-
-
-def _percentile(p: float) -> Column:
-    """The percentile of a group of ``_running``, by linear interpolation between ranks."""
-    at = (F.col("n") - 1) * F.lit(p)
-    low, high = _at_rank(F.floor(at)), _at_rank(F.ceil(at))
-    return low + (high - low) * F.max(at - F.floor(at))
-
-
 def _ungroup(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*(F.col(f"g.{c}").alias(c) for c in by), *(c for c in df.columns if c != "g"))
 
@@ -62,13 +50,13 @@ def _ungroup(df: DataFrame, by: list[str]) -> DataFrame:
 def rank_stats(df: DataFrame, value: str, by: list[str] = (), digits: int = 1, clamp: bool = False) -> DataFrame:
     """n, mean, median, p90, p95, min, max by rank: the element at floor(n * p), counted from 0, nulls left out.
 
-    ``clamp`` holds the p95 index to n - 1.
+    ``clamp`` holds the p95 index to n - 1.  Reads ``df`` several times, at once, see ``_located``.
     """
-    run = _running(df.where(F.col(value).isNotNull()).select(_group(by).alias("g"), F.col(value).alias("v")))
-    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1) if clamp else F.floor(F.col("n") * p)
-    pick = lambda p, name: F.round(_at_rank(at(p)), digits).alias(name)
-    out = run.groupBy("g").agg(F.sum("t").alias("n"), F.round(F.sum(F.col("v") * F.col("t")) / F.sum("t"), digits).alias("mean"), pick(0.5, "median"), pick(0.9, "p90"), pick(0.95, "p95"), F.round(F.min("v"), digits).alias("min"), F.round(F.max("v"), digits).alias("max"))
-    return _ungroup(out, list(by))
+    rank = lambda n, p: F.least(F.floor(n * p), n - 1) if clamp else F.floor(n * p)
+    rows = df.where(F.col(value).isNotNull()).select(_group(by).alias("g"), F.col(value).alias("v"))
+    r = lambda c, n: F.round(c, digits).alias(n)
+    out = _with_shares(rows, [F.count("*").alias("n"), r(F.avg("v"), "mean"), r(F.min("v"), "min"), r(F.max("v"), "max")], {"median": 0.5, "p90": 0.9, "p95": 0.95}, digits, rank)
+    return _ungroup(out, list(by)).select(*by, "n", "mean", "median", "p90", "p95", "min", "max")
 
 
 def timing_stats(df: DataFrame, value: str, by: list[str] = (), digits: int = 1) -> DataFrame:
@@ -81,12 +69,16 @@ ACCURACY = 10_000
 
 
 def _bracketed(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
-    """(g, i, p): the interpolated percentile of each share i in each group, exactly.
+    """(g, i, p): the interpolated percentile of each share i in each group, exactly."""
+    return _located(df.select(_group(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null"), shares)
+
+
+def _located(rows: DataFrame, shares: list[float], rank=None) -> DataFrame:
+    """(g, i, p): the percentile of each share i in each group g of the values v, exactly: interpolated, or the value at ``rank(n, share)``.
 
     A sketch of each group brackets the ranks that are asked for, and one pass counts what lies below and keeps what lies inside, some
     ten-thousandths of the rows.  Groups that a bracket should miss are counted whole.
     """
-    rows = df.select(_group(by).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
     ends = [min(1.0, max(0.0, s + d / ACCURACY)) for s in shares for d in (-2, 2)]
     sketch = rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("q"))
     sides = F.array(*(F.struct(F.lit(i).alias("i"), F.col("q")[2 * i].alias("low"), F.col("q")[2 * i + 1].alias("high")) for i in range(len(shares))))
@@ -94,28 +86,35 @@ def _bracketed(df: DataFrame, value: str, by: list[str], shares: list[float]) ->
     held = rows.join(sketch, "g").select("g", "n", "v", F.explode("sides").alias("x")).select("g", "n", "v", "x.*").where("v <= high")
     below = held.groupBy("g", "i", "n").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
     inside = held.where("v >= low").select(F.struct("g", "i").alias("g"), "v")
-    found = _interpolated(_running(inside).select("g.g", "g.i", "v", "upto"), below, shares)
+    found = _interpolated(_running(inside).select("g.g", "g.i", "v", "upto"), below, shares, rank)
     found = stored(found, "percentiles")
     missed = found.where("p is null or below > floor(at)").select("g").distinct()
     if missed.isEmpty():
         return found.select("g", "i", "p")
     whole = rows.join(missed, "g", "left_semi")
     none = whole.groupBy("g").agg(F.count("*").alias("n")).select("g", "n", F.explode(F.array(*map(F.lit, range(len(shares))))).alias("i"), F.lit(0).cast("long").alias("below"))
-    again = _interpolated(_running(whole).join(none.select("g", "i"), "g").select("g", "i", "v", "upto"), none, shares)
+    again = _interpolated(_running(whole).join(none.select("g", "i"), "g").select("g", "i", "v", "upto"), none, shares, rank)
     return found.join(missed, "g", "left_anti").select("g", "i", "p").unionByName(again.select("g", "i", "p"))
 
 
-def _interpolated(counted: DataFrame, below: DataFrame, shares: list[float]) -> DataFrame:
+def _interpolated(counted: DataFrame, below: DataFrame, shares: list[float], rank=None) -> DataFrame:
     """``below`` with at, the rank of each share from 0, and p, the value there; ``counted`` has how many values are at most v."""
     share = F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1)
-    ranked = below.withColumn("at", (F.col("n") - 1) * share)
+    ranked = below.withColumn("at", rank(F.col("n"), share).cast("double") if rank else (F.col("n") - 1) * share)
     rows = counted.join(ranked, ["g", "i"]).withColumn("upto", F.col("upto") + F.col("below"))
     near = rows.groupBy("g", "i").agg(*(F.min(F.when(F.col("upto") > f("at"), F.col("v"))).alias(c) for f, c in ((F.floor, "a"), (F.ceil, "b"))))
     low, high = F.floor("at"), F.ceil("at")
-    p = F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    p = F.col("a") if rank else F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
     return ranked.join(near, ["g", "i"], "left").withColumn("p", p)
 
 
+def _with_shares(rows: DataFrame, aggregates: list[Column], shares: dict[str, float], digits: int, rank=None) -> DataFrame:
+    """(g, ``aggregates`` of v, percentiles by name) of each group g, see ``_located``."""
+    found = _located(rows, list(shares.values()), rank)
+    each = (F.round(F.max(F.when(F.col("i") == i, F.col("p"))), digits).alias(name) for i, name in enumerate(shares))
+    return rows.groupBy("g").agg(*aggregates).join(found.groupBy("g").agg(*each), "g")
+
+
 def interp_percentiles(df: DataFrame, value: str, by: list[str] = (), points=(50, 90, 95, 99), digits: int = 4, approx: bool = False) -> DataFrame:
     """Percentiles by linear interpolation, exact without holding a group, or approximate ones from the sketch alone."""
     if approx:
@@ -142,9 +141,9 @@ def condition_summary(df: DataFrame, condition: str, metrics: list[str], order:
     """Median and interpolated p95 of the metrics per condition, in a fixed order; conditions without rows give nulls."""
     got = df.groupBy(condition).agg(F.count("*").alias("n"))
     for m in metrics:
-        run = _running(df.where(F.col(m).isNotNull() & F.col(condition).isNotNull()).select(_group([condition]).alias("g"), F.col(m).cast("double").alias("v")))
-        part = run.groupBy("g").agg(F.round(_percentile(0.5), digits).alias(f"{m}_median"), F.round(_percentile(0.95), digits).alias(f"{m}_p95"))
-        got = got.join(_ungroup(part, [condition]), condition, "left")
+        rows = df.where(F.col(m).isNotNull() & F.col(condition).isNotNull()).select(_group([condition]).alias("g"), F.col(m).cast("double").alias("v"))
+        part = _with_shares(rows, [F.count("*").alias("__m")], {f"{m}_median": 0.5, f"{m}_p95": 0.95}, digits)
+        got = got.join(_ungroup(part, [condition]).drop("__m"), condition, "left")
     return reindex(got, condition, order)
 
 
@@ -267,10 +266,12 @@ def distinct_counts(df: DataFrame, columns: dict[str, str], approx: bool = False
 
 def rtf_stats(df: DataFrame, latency: Column, duration: Column, by: list[str], digits: int = 6) -> DataFrame:
     """Latency over duration: mean, median, p95, p99, max; rows without a duration count 0."""
-    run = _running(df.select(_group(by).alias("g"), F.when(duration > 0, latency / duration).otherwise(0.0).alias("v")))
+    rows = df.select(_group(by).alias("g"), F.when(duration > 0, latency / duration).otherwise(0.0).alias("v"))
     r = lambda c, n: F.round(c, digits).alias(n)
-    out = run.groupBy("g").agg(F.sum("t").alias("n"), r(F.sum(F.col("v") * F.col("t")) / F.sum("t"), "mean"), r(_percentile(0.5), "median"), r(_percentile(0.95), "p95"), r(_percentile(0.99), "p99"), r(F.max("v"), "max"))
-    return _ungroup(out, list(by))
+    # a latency without a value is counted, but has no rank
+    out = _with_shares(rows.where("v is not null"), [r(F.avg("v"), "mean"), r(F.max("v"), "max")], {"median": 0.5, "p95": 0.95, "p99": 0.99}, digits)
+    out = rows.groupBy("g").agg(F.count("*").alias("n")).join(out, "g", "left")
+    return _ungroup(out, list(by)).select(*by, "n", "mean", "median", "p95", "p99", "max")
 
 
 def derived_latency(asr: Column, rag: Column, ttft: Column, flush: Column, tts: Column, tokens: Column, total: Column) -> list[Column]:
@@ -402,8 +403,8 @@ def stress_report(df: DataFrame, ok: Column, metrics: list[str], digits: int = 4
     rows = df.withColumn("__ok", ok)
     long = rows.where("__ok").select(*(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([], metrics, "metric", "v")
     r = lambda c, n: F.round(c, digits).alias(n)
-    run = _running(long.where("v is not null").select(_group(["metric"]).alias("g"), "v"))
-    out = _ungroup(run.groupBy("g").agg(r(F.sum(F.col("v") * F.col("t")) / F.sum("t"), "mean"), r(F.min("v"), "min"), r(F.max("v"), "max"), *(r(_percentile(p / 100), f"p{p}") for p in (50, 90, 99))), ["metric"])
+    values = long.where("v is not null").select(_group(["metric"]).alias("g"), "v")
+    out = _ungroup(_with_shares(values, [r(F.avg("v"), "mean"), r(F.min("v"), "min"), r(F.max("v"), "max")], {f"p{p}": p / 100 for p in (50, 90, 99)}, digits), ["metric"])
     failed = rows.agg(F.count_if(~F.coalesce(F.col("__ok"), F.lit(False))).alias("failed"))
     return out.crossJoin(F.broadcast(failed))
 

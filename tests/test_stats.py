@@ -176,3 +176,18 @@ def test_numbers_in_one_large_group(spark):
     assert got == {("g", i): f"syn_g_{i + 11:04}" for i in range(500)} | {("h", 5): "syn_h_0001"}
     merged = retrieval.merge_contexts(rows.where("o < 100"), rows.where("o >= 100"), "g", "o")
     assert {(r.g, r.o): r.merged_rank for r in merged.collect()} == {("g", i): i + 1 for i in range(500)} | {("h", 5): 1}
+
+
+def test_summaries_rank_few_of_the_values(spark, monkeypatch):
+    """Only what the sketch can't place is counted by value, not a group's every value."""
+    n, ranked = 20_000, []
+    plain = stats._running
+    monkeypatch.setattr(stats, "_running", lambda rows: ranked.append(rows.count()) or plain(rows))
+    rows = spark.range(n).select(F.lit("g").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v"), F.lit(1.0).alias("one"))
+    odd = spark.createDataFrame([("h", None, 1.0), ("h", 3.0, 0.0), ("h", 4.0, 1.0)], "k string, v double, one double")
+    got = {r.k: r for r in stats.rtf_stats(rows.union(odd), F.col("v"), F.col("one"), ["k"]).collect()}
+    assert tuple(got["g"]) == ("g", n, (n - 1) / 2, (n - 1) / 2, pytest.approx(0.95 * (n - 1)), pytest.approx(0.99 * (n - 1)), n - 1.0)
+    assert tuple(got["h"]) == ("h", 3, 2.0, 2.0, 3.8, 3.96, 4.0)
+    assert tuple(stats.rank_stats(rows, "v", ["k"]).first())[1:] == (n, (n - 1) / 2, n / 2, 0.9 * n, 0.95 * n, 0.0, n - 1.0)
+    assert stats.condition_summary(rows, "k", ["v"], ["g"]).first().v_median == (n - 1) / 2
+    assert ranked and max(ranked) < n / 50
