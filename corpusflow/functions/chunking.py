@@ -122,18 +122,16 @@ def chunk_words(c: ColumnLike, window: int = 200, stride: int = 150, min_chars:
     return F.transform(F.array(words), windows)[0]
 
 
-def _window(sentences: list[str], text: str, window: int, stride: int) -> list[str]:
-    size = [len(s.split()) for s in sentences]
-    if not sentences:
-        return [text] if text.strip() else []
+def _window(size: list[int], window: int, stride: int) -> list[tuple[int, int]]:
+    """Where windows over sentences of ``size`` words begin and end."""
     out, at = [], 0
-    while at < len(sentences):
+    while at < len(size):
         end, words = at + 1, size[at]
-        while end < len(sentences) and words + size[end] <= window:
+        while end < len(size) and words + size[end] <= window:
             words += size[end]
             end += 1
-        out.append(" ".join(sentences[at:end]))
-        if end == len(sentences):
+        out.append((at, end))
+        if end == len(size):
             break
         back, words = end, 0
         while back > at and words + size[back - 1] <= window - stride:
@@ -143,14 +141,24 @@ def _window(sentences: list[str], text: str, window: int, stride: int) -> list[s
     return out
 
 
+#: A word, parted by what Unicode counts as white space.
+_WORD = r"[^\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def chunk_sentence_window(c: ColumnLike, window: int = 200, stride: int = 150) -> Column:
-    """Whole sentences up to ``window`` words; the next chunk steps back by at most ``window - stride`` words."""
+    """Whole sentences up to ``window`` words; the next chunk steps back by at most ``window - stride`` words.
 
-    @F.pandas_udf("array<string>")
-    def run(sentences: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _window(list(s), t, window, stride) for s, t in zip(sentences, text)])
+    Only the sentences' numbers of words go to Python; texts stay where they are.
+    """
+
+    @F.pandas_udf("array<struct<from:int,to:int>>")
+    def run(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda n: None if n is None else [{"from": a, "to": b} for a, b in _window(n.tolist(), window, stride)])
 
-    return run(split_paragraph_sentences(c), col(c))
+    sentences = split_paragraph_sentences(c)
+    cuts = run(F.transform(sentences, lambda s: F.regexp_count(s, F.lit(_WORD))))
+    text = lambda held: F.transform(held["cuts"], lambda x: F.array_join(F.slice(held["all"], x["from"] + 1, x["to"] - x["from"]), " "))
+    return once(F.struct(sentences.alias("all"), cuts.alias("cuts")), text)
 
 
 def rechunk_oversize(chunks: DataFrame, size: int = 5000, window: int = 200, stride: int = 150) -> DataFrame:

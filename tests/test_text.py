@@ -161,3 +161,14 @@ def test_number_words(spark, n, said):
 
 def test_numbers_in_text(spark):
     assert one(spark, "phòng 21, tầng 3a: 1005", text.numbers_to_words("t")) == "phòng hai mươi mốt, tầng 3a: một nghìn không trăm lẻ năm"
+
+
+def test_sentence_windows_send_no_text_to_python(spark):
+    from corpusflow.functions.chunking import chunk_sentence_window
+
+    texts = ["One two. Three four five! Six?\nSeven", "a b c d e f g", " \n ", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = rows.select("i", chunk_sentence_window("t", 3, 1).alias("c"))
+    assert {r.i: r.c for r in out.collect()} == {0: ["One two.", "Three four five!", "Six? Seven"], 1: ["a b c d e f g"], 2: [], 3: [], 4: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" in plan.split("ArrowEvalPython")[1]
