@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -351,20 +352,37 @@ def _split(contexts: DataFrame) -> DataFrame:
     return masks
 
 
+def _masks(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and, a row of bits a place, the windows that repeat there; a null mask is all of them."""
+    pos, mask = found.field("pos"), found.field("mask")
+    whole = np.packbits(np.ones(PLACES, bool)).tobytes()
+    held = b"".join(mask.fill_null(whole).to_pylist())
+    return pos.to_numpy().astype(np.int64), np.frombuffer(held, np.uint8).reshape(len(pos), len(whole))
+
+
+def _covered(pos: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
+    """Which of a text's ``n`` bytes lie in a window that repeats."""
+    start = (pos[:, None] - np.arange(PLACES))[np.unpackbits(bits, axis=1, count=PLACES).astype(bool)]
+    first = np.zeros(n, bool)
+    first[start[(start >= 0) & (start + LENGTH <= n)]] = True
+    return vec.cover(np.flatnonzero(first), LENGTH, n)
+
+
 def _remove(batches):
     open_ = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         rows = []
-        for doc, z, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        lists = batch.column(2)
+        size = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        until = np.cumsum(size)
+        pos, bits = _masks(lists.flatten())
+        for doc, z, begin, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (until - size).tolist(), until.tolist()):
             b = open_(z)
             n = len(b)
-            if not found:
+            if begin == end:
                 rows.append((doc, n, 0, 0, hashlib.sha256(b).hexdigest(), []))
                 continue
-            pos = np.array([f["pos"] for f in found], np.int64)
-            mask = np.stack([np.ones(PLACES, bool) if f["mask"] is None else np.unpackbits(np.frombuffer(f["mask"], np.uint8))[:PLACES].astype(bool) for f in found])
-            start = (pos[:, None] - np.arange(PLACES))[mask]
-            gone = vec.cover(np.unique(start[(start >= 0) & (start + LENGTH <= n)]), LENGTH, n)
+            gone = _covered(pos[begin:end], bits[begin:end], n)
             first, last, _ = vec.runs(gone, np.array([0, n]))
             kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
             rows.append((doc, n, int(gone.sum()), len(first), hashlib.sha256(kept).hexdigest(), [{"start": int(x), "end": int(y)} for x, y in zip(first, last)]))

@@ -83,3 +83,20 @@ def test_several_shards_a_task(spark, tmp_path):
     assert sorted(shards) == list(range(-(-n // 4))) and len(shards) > 64
     assert all(len(files) == 1 for files in shards.values())
     assert [r.slot for r in training_order.read_from(spark, path, 1001, 4).orderBy("slot").collect()] == list(range(1001, n))
+
+
+def test_repeats_are_removed_by_batch():
+    """Places of all texts of a batch are read at once, from slices and with null lists and masks too."""
+    import pyarrow as pa
+    import zstandard
+
+    from corpusflow.llm import suffix_dedup as S
+
+    text = bytes(range(97, 117)) * 20
+    mask = np.packbits(np.arange(S.PLACES) == 8).tobytes()
+    found = [None, [{"pos": 90, "mask": None}], [], [{"pos": 10, "mask": mask}, {"pos": 300, "mask": mask}, {"pos": 350, "mask": mask}]]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("mask", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([zstandard.compress(text)] * 4), pa.array(found, kind)], ["doc", "z", "found"])
+    for low in (0, 1):
+        got = pa.Table.from_batches(S._remove([batch.slice(low)])).to_pylist()
+        assert [[(s["start"], s["end"]) for s in r["spans"]] for r in got] == [[], [(22, 190)], [], [(2, 102), (292, 392)]][low:]
