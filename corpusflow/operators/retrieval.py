@@ -17,8 +17,8 @@ from corpusflow.session import stored
 
 #: Query vectors go to the tasks in blocks of at most this many; more queries, more passes over the chunks.
 QUERY_BLOCK = 20_000
-#: Terms of queries, each counted for its query, that go to the tasks at once, and scores that a task holds at once.
-TERM_BLOCK, SCORED_CELLS = 500_000, 4_000_000
+#: Terms of queries, each counted for its query, that go to the tasks at once; scores, and words of documents, that a task holds at once.
+TERM_BLOCK, SCORED_CELLS = 500_000, 500_000
 
 
 def dot(a: ColumnLike, b: ColumnLike) -> Column:
@@ -121,10 +121,13 @@ def _scanned(rows: pd.DataFrame, keep, digits: int):
 
     def run(frames):
         for pdf in frames:
-            step = max(1, SCORED_CELLS // max(1, len(pdf)))
-            for i in range(0, len(ids) if len(pdf) else 0, step):
-                score, own = np.round(matrix[i : i + step] @ unit(pdf["v"]).T, digits), pdf["c"].to_numpy()
-                score[groups[i : i + step, None] != pdf["g"].to_numpy()[None, :]] = -np.inf
+            if not len(pdf):
+                continue
+            step = max(1, SCORED_CELLS // len(pdf))
+            vectors, own, of = unit(pdf["v"]).T, pdf["c"].to_numpy(), pdf["g"].to_numpy()
+            for i in range(0, len(ids), step):
+                score = np.round(matrix[i : i + step] @ vectors, digits)
+                score[groups[i : i + step, None] != of[None, :]] = -np.inf
                 q, *cols = keep(score, own, ids[i : i + step]) if by_id else keep(score, own)
                 yield pd.DataFrame({0: ids[i + q]} | dict(enumerate(cols, 1)))
 
@@ -169,17 +172,25 @@ def _scored(rows: pd.DataFrame, k: int, k1: float, b: float, avg_len: float, dig
     order = np.argsort(term, kind="stable")
     start = np.searchsorted(term[order], np.arange(len(names) + 1))
     q, weight = q[order], rows["weight"].to_numpy()[order]
-    code = {t: i for i, t in enumerate(names.tolist())}
+    known = pa.array(names.tolist(), pa.string())
+    most = max(1, SCORED_CELLS // len(ids))
+
+    def parts(batch):
+        """Pieces of at most ``most`` documents and about SCORED_CELLS words, one document at least."""
+        words = np.cumsum(pa.compute.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < batch.num_rows:
+            before = words[low - 1] if low else 0
+            n = max(1, min(most, int(np.searchsorted(words, before + SCORED_CELLS, "right")) - low))
+            yield batch.slice(low, n)
+            low += n
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, max(1, SCORED_CELLS // len(ids))):
-                part = batch.slice(low, max(1, SCORED_CELLS // len(ids)))
+            for part in parts(batch):
                 held = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
                 size = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = held.flatten().dictionary_encode()
-                coded = np.array([code.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
-                at = coded[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+                at = pa.compute.index_in(held.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 doc = np.repeat(np.arange(len(size)), size)
                 pair, tf = np.unique((doc * len(names) + at)[at >= 0], return_counts=True)
                 doc, at = pair // len(names), pair % len(names)

@@ -111,3 +111,21 @@ def test_context_scores_round_doubles(spark):
     assert (got["a"].scores, got["a"].score_max, got["a"].score_min, got["a"].score_avg) == ([1.0, 0.3626], 1.0, 0.3626, 0.6813)
     assert (got["b"].scores, got["b"].score_max, got["b"].score_avg) == ([None], None, None)
     assert (got["c"].scores, got["c"].score_min, got["c"].score_avg) == ([0.3268, None], 0.3268, 0.3268)
+
+
+def test_scores_held_at_once_are_bounded(spark, monkeypatch):
+    """Pieces of documents stay within the cells and the words a task may hold, and give the same ranks."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 13}" for j in range(i % 40))) for i in range(200)] + [(200, None)], "d int, t string").coalesce(1)
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w12") for i in range(8)], "q int, t string")
+    want = sorted(map(tuple, retrieval.bm25_topk(asked, docs, 3, "q", "t", "d", "t").collect()))
+    monkeypatch.setattr(retrieval, "SCORED_CELLS", 64)
+    assert want and sorted(map(tuple, retrieval.bm25_topk(asked, docs, 3, "q", "t", "d", "t").collect())) == want
+    import pandas as pd
+    import pyarrow as pa
+
+    seen, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, w, n: seen.append(len(x)) or bincount(x, w, n))
+    rows = pd.DataFrame({"q": [1], "term": ["a"], "weight": [1.0]})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([["a", "b"] * 20] * 30)], ["d", "t"])
+    assert sum(b.num_rows for b in retrieval._scored(rows, 30, 1.5, 0.75, 40.0, 4)([batch])) == 30
+    assert len(seen) == 30  # 40 words each: one document at a time, though 64 cells would take all
