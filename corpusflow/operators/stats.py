@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -216,16 +218,169 @@ def edit_distance(a: list | str, b: list | str) -> int:
     return distance
 
 
+#: Numbers of 64 bits that the tables of a group of pairs take at most, and about how many a step works on at once.
+TABLE, STEP = 1 << 22, 4096
+#: Symbols that are held as numbers at once, if one pair hasn't more.
+SYMBOLS = 1 << 22
+
+
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The longer and the shorter of two arrays of symbols without what they begin and end with alike, as numbers from 1 on, and how many there are; 0 is what the longer one hasn't."""
+    if len(a) < len(b):
+        a, b = b, a
+    for _ in range(2):  # from the start, then from the end
+        other = a[: len(b)] != b
+        n = int(other.argmax()) if other.any() else len(b)
+        a, b = a[n:][::-1], b[n:][::-1]
+    known, of_a = np.unique(a, return_inverse=True)
+    if not len(b):
+        return of_a + 1, np.zeros(0, np.int64), len(known)
+    of_b = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    return of_a + 1, np.where(known[of_b] == b, of_b + 1, 0), len(known)
+
+
+def _within(pairs: list[tuple]) -> np.ndarray:
+    """A distance of each pair (longer, shorter, symbols, k) that is never too small, and right where it is at most k.
+
+    A path of k edits leaves the diagonals of the distance table by no more than k allows, so the rest is left out.  A column's 64 rows are one
+    number for up and one for down, as in ``edit_distance``; all blocks of rows of all pairs move on together, each a column behind
+    the block above it.  All get the same rows: what is added is the same at both ends and costs nothing.
+    """
+    rows = -(-max(len(a) for a, _, _, _ in pairs) // 64)
+    gap = np.array([len(a) - len(b) for a, b, _, _ in pairs])
+    most = np.array([k for *_, k in pairs])
+    below, above = int(((most - gap) // 2).max()), int(((most + gap) // 2).max())
+    columns, n = int(64 * rows - gap.min()), len(pairs)
+    starts = np.cumsum([0] + [(s + 2) * rows for _, _, s, _ in pairs])
+    table = np.zeros(starts[-1], np.uint64)
+    own, at = np.empty((n, 64 * rows), np.int64), np.empty((columns, n), np.int64)
+    for p, (a, b, s, _) in enumerate(pairs):
+        own[p], at[:, p] = starts[p] + (s + 1) * rows, starts[p]
+        own[p, : len(a)] = starts[p] + a * rows
+        at[columns - len(b) :, p] = starts[p] + b[::-1] * rows  # the last column comes first: blocks are read in order then
+        at[columns - (64 * rows - gap[p]) : columns - len(b), p] = starts[p] + (s + 1) * rows
+    block = np.arange(rows)
+    for bit in range(64):
+        table[own[:, bit::64] + block] |= np.uint64(1 << bit)
+    del own
+    block = np.repeat(block[:, None], n, axis=1)
+    one, last_bit = np.uint64(1), np.uint64(63)
+    up, down = np.full((rows, n), ~np.uint64(0)), np.zeros((rows, n), np.uint64)
+    plus, minus = np.ones((rows + 1, n), np.uint64), np.zeros((rows + 1, n), np.uint64)  # what each block hands to the next
+    ends: dict[int, list[int]] = {}
+    for p in range(n):
+        ends.setdefault(int(64 * rows - gap[p]) + rows - 2, []).append(p)
+    score, out = np.full(n, 64, np.uint64), np.zeros(n, np.int64)
+    first = last = -1
+    for t in range(max(ends) + 1):
+        f, e = max(0, (t - 64 - below) // 65 + 1, t - columns + 1), min(rows - 1, t, (t + above) // 65)
+        moved = f != first
+        if moved or e != last:
+            if 0 <= last < e:  # the next block begins where the last one was a column before
+                score += np.uint64(64)
+                score -= plus[e]
+                score += minus[e]
+            first, last = f, e
+            u, d, hp, hm, place = up[f : e + 1], down[f : e + 1], plus[f : e + 1], minus[f : e + 1], block[f : e + 1]
+            to_plus, to_minus, end_plus, end_minus = plus[f + 1 : e + 2], minus[f + 1 : e + 2], plus[e + 1], minus[e + 1]
+            index, x, y, z = np.empty(u.shape, np.int64), *(np.empty(u.shape, np.uint64) for _ in range(3))
+        np.add(at[columns - 1 - t + f : columns - t + e], place, out=index)
+        table.take(index, out=y, mode="clip")
+        np.bitwise_or(y, hm, out=y)  # equal, or less comes from above
+        np.bitwise_and(y, u, out=x)
+        np.add(x, u, out=x)
+        np.bitwise_xor(x, u, out=x)
+        np.bitwise_or(x, y, out=x)
+        np.bitwise_or(x, d, out=x)  # the diagonal stays
+        np.bitwise_or(x, u, out=z)
+        np.invert(z, out=z)
+        np.bitwise_or(z, d, out=z)  # right is more
+        np.bitwise_and(x, u, out=y)  # right is less
+        np.left_shift(z, one, out=u)
+        np.bitwise_or(u, hp, out=u)
+        np.right_shift(z, last_bit, out=to_plus)
+        np.left_shift(y, one, out=z)
+        np.bitwise_or(z, hm, out=z)
+        np.right_shift(y, last_bit, out=to_minus)
+        np.bitwise_and(x, u, out=d)
+        np.bitwise_or(x, u, out=u)
+        np.invert(u, out=u)
+        np.bitwise_or(u, z, out=u)
+        score += end_plus
+        score -= end_minus
+        if moved:  # nothing comes from above any more
+            plus[f], minus[f] = 1, 0
+        if t in ends:
+            out[ends[t]] = score[ends[t]]
+    return out
+
+
+def _grouped(pairs: list[tuple]):
+    """Lists of pairs (place, (longer, shorter, symbols, k)) of about the same size that are worked on together."""
+    group, rows, symbols, wide = [], 0, 0, 0
+    for place, p in sorted(pairs, key=lambda x: (x[1][3].bit_length(), len(x[1][0])), reverse=True):
+        own = -(-len(p[0]) // 64)
+        r, s, w = max(rows, own), symbols + p[2] + 2, max(wide, p[3] // 64 + 2)
+        if group and (r * s > TABLE or w * (len(group) + 1) > STEP or 2 * own < r):
+            yield group
+            group, r, s, w = [], own, p[2] + 2, p[3] // 64 + 2
+        group.append((place, p))
+        rows, symbols, wide = r, s, w
+    if group:
+        yield group
+
+
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``edit_distance`` of many pairs of arrays of whole numbers, at once: first near the diagonal, and farther where the distance found asks for it."""
+    out = np.zeros(len(pairs), np.int64)
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        a, b, symbols = _coded(a, b)
+        if not len(b):
+            out[i] = len(a)
+        elif (symbols + 2) * (len(a) // 64 + 1) > TABLE:
+            out[i] = edit_distance(a.tolist(), b.tolist())
+        else:
+            todo.append((i, (a, b, symbols, min(len(a), len(a) - len(b) + len(b) // 10 + 16))))
+    while todo:
+        again = []
+        for group in _grouped(todo):
+            for (i, (a, b, symbols, k)), d in zip(group, _within([p for _, p in group]).tolist()):
+                if d <= k:
+                    out[i] = d
+                else:
+                    again.append((i, (a, b, symbols, min(d, 4 * k))))
+        todo = again
+    return out
+
+
+def _symbols(texts: list[str], words: bool) -> list[np.ndarray]:
+    """The words or characters of each text as numbers that are the same for the same ones."""
+    if not words:
+        return [np.frombuffer(x.replace(" ", "").encode("utf-32-le"), np.uint32) for x in texts]
+    parts = pc.utf8_split_whitespace(pa.array([x.strip() for x in texts], pa.large_string()))  # at what str.split parts at
+    numbers = parts.flatten().dictionary_encode().indices.to_numpy()
+    cuts = np.cumsum(pc.list_value_length(parts).to_numpy())[:-1]
+    return [n if x.strip() else n[:0] for x, n in zip(texts, np.split(numbers, cuts))]
+
+
 def _rate(words: bool):
     def run(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-        out = []
-        for r, h in zip(reference, hypothesis):
-            if r is None or h is None:
-                out.append(None)
-                continue
-            r, h = (r.split(), h.split()) if words else (r.replace(" ", ""), h.replace(" ", ""))
-            out.append(edit_distance(r, h) / len(r) if r else 0.0)
-        return pd.Series(out, dtype="float64")
+        out = np.full(len(reference), np.nan)
+        texts = sorted(((len(r) + len(h), i) for i, (r, h) in enumerate(zip(reference, hypothesis)) if r is not None and h is not None), reverse=True)
+        at = 0
+        while at < len(texts):
+            size, end = texts[at][0], at + 1
+            while end < len(texts) and size + texts[end][0] <= SYMBOLS:
+                size += texts[end][0]
+                end += 1
+            places = [i for _, i in texts[at:end]]
+            said = _symbols([s.iat[i] for s in (reference, hypothesis) for i in places], words)
+            length = np.array([len(r) for r in said[: len(places)]])
+            pairs = list(zip(said[: len(places)], said[len(places) :]))
+            out[places] = np.where(length > 0, edit_distances(pairs) / np.maximum(length, 1), 0.0)
+            at = end
+        return pd.Series(out)
 
     return F.pandas_udf(run, "double")
 

@@ -50,6 +50,30 @@ def test_edit_distance():
     assert stats.edit_distance("kitten", "sitting") == 3
 
 
+def test_edit_distances_of_many_pairs_near_the_diagonal(monkeypatch):
+    rng = random.Random(8)
+    pairs = []
+    for n in (0, 1, 20, 63, 64, 65, 200, 700):
+        for letters in (1, 2, 5, 400):
+            a, b = ([rng.randrange(letters) for _ in range(rng.randrange(n + 1))] for _ in range(2))
+            few, moved = [x for x in a if rng.random() > 0.1], a[n // 3 :] + a[: n // 3]
+            pairs += [(a, b), (b, a), (a, few), (few, b), (a, moved), (moved + b, a)]
+    as_arrays = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]
+    right = [stats.edit_distance(a, b) for a, b in pairs]
+    assert right[::9] == [distance(a, b) for a, b in pairs[::9]]
+    assert stats.edit_distances(as_arrays).tolist() == right
+    monkeypatch.setattr(stats, "STEP", 40)
+    monkeypatch.setattr(stats, "TABLE", 2000)  # some pairs go one by one
+    assert stats.edit_distances(as_arrays).tolist() == right
+    monkeypatch.undo()
+    kept, within = [], stats._within
+    monkeypatch.setattr(stats, "_within", lambda pairs: kept.extend(k for *_, k in pairs) or within(pairs))
+    text = np.array([rng.randrange(26) for _ in range(9000)])
+    said = np.delete(text, np.arange(4, 9000, 9))
+    assert stats.edit_distances([(text, said)]).tolist() == [1000]
+    assert len(kept) == 1 and kept[0] < 2000  # of 9000 rows
+
+
 def test_error_rates_of_any_vocabulary(spark):
     words = [f"w{i}" for i in range(60_000)]
     said = [w for i, w in enumerate(words) if i % 100] + ["x"]
