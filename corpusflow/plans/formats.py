@@ -156,7 +156,9 @@ def str5_ttl_cache(spark, sf_dir):
 
 @query()
 def str6_token_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.size(F.split("text", "(?<= )")).alias("n"), F.posexplode(F.split("text", "(?<= )")).alias("seq", "token"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.split("text", "(?<= )").alias("tokens"))
+    # counted beside posexplode, the tokens would be split anew for each of them
+    rows = rows.select("key", "tokens", F.size("tokens").alias("n")).select("key", "n", F.posexplode("tokens").alias("seq", "token"))
     rows = rows.select("key", "seq", "token", (F.col("seq") == F.col("n") - 1).alias("final"))
     return _ran(ops.token_chunks(_streamed(rows, "tokens"), "key", "seq", "token", "final"), "chunks")
 

@@ -2,6 +2,7 @@
 
 State is per key, typed and small, and lives in the RocksDB state store.  A micro-batch's rows of one key are folded in order, as columns; a
 key with more than HELD rows goes through a list on disk and is folded range by range, so that memory doesn't grow with the key.
+Without ``ts`` rows of one key that are read together travel as one row of arrays; with it each row keeps its own event time.
 Time is event time: with ``ts``, a timestamp column behind a watermark, keys that stay idle are closed and forgotten when
 the watermark passes them, and nothing depends on when a query runs.  Without it keys are kept.
 
@@ -15,15 +16,22 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from corpusflow.functions.chunking import StreamBuffer
 
 #: Rows of one key that are held in memory.
 HELD = 200_000
+#: Rows of one key that travel as one.
+PACKED = 256
+#: Types whose arrays come to Python as they are.
+_PLAIN = (T.StringType, T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType)
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,8 +45,8 @@ class _Fold(StatefulProcessor):
     state = ""
     made: list[str] = []
 
-    def __init__(self, key: str, columns: list[str], kinds: str, order: list[int], ts: int | None, idle_ms: int | None):
-        self.key, self.columns, self.kinds, self.order, self.ts, self.idle_ms = key, columns, kinds, order, ts, idle_ms
+    def __init__(self, key: str, columns: list[str], kinds: str, order: list[int], ts: int | None, idle_ms: int | None, packed: bool):
+        self.key, self.columns, self.kinds, self.order, self.ts, self.idle_ms, self.packed = key, columns, kinds, order, ts, idle_ms, packed
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -60,11 +68,19 @@ class _Fold(StatefulProcessor):
     def _rank(self, row: tuple) -> tuple:
         return tuple((row[i] is not None, row[i]) for i in self.order)
 
+    def _parts(self, pdf: pd.DataFrame) -> Iterator[Iterator[tuple]]:
+        """The rows of a frame, in parts of bounded size."""
+        if self.packed:
+            for arrays in zip(*(pdf[c] for c in self.columns)):
+                yield zip(*map(_values, arrays))
+        else:
+            yield zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in self.columns))
+
     def _sorted(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         """The rows in order; with many, by ranges of what was put aside."""
         at, spilled, samples = [], 0, []
-        for pdf in rows:
-            at += zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in self.columns))
+        for part in (part for pdf in rows for part in self._parts(pdf)):
+            at += part
             if len(at) > HELD:
                 spilled += len(at)
                 samples += map(self._rank, at[:: max(1, HELD // 256)])
@@ -88,13 +104,12 @@ class _Fold(StatefulProcessor):
         self.pending.clear()
 
     def _given(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        got = pd.DataFrame(out, columns=self.made)
-        got.insert(0, self.key, key[0])
+        got = pd.DataFrame({self.key: [key[0]] * len(out)} | dict(zip(self.made, map(list, zip(*out)))))
         out.clear()
         return got
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.held.get()) if self.held.exists() else None
+        state = self.held.get()
         out: list[tuple] = []
         last = None
         for row in self._sorted(rows):
@@ -131,12 +146,39 @@ class _Fold(StatefulProcessor):
             self.held.update(state)
 
 
+def _values(array: np.ndarray) -> list:
+    return [None if x != x else x for x in array.tolist()] if array.dtype.kind == "f" else array.tolist()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's rows by their first column, up to PACKED of one key as one row: the key, and the others as arrays in the order they came."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+        if (codes[1:] < codes[:-1]).any():
+            by_key = np.argsort(codes, kind="stable")
+            batch, codes = batch.take(pa.array(by_key)), codes[by_key]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        place = np.arange(len(codes)) - np.repeat(first, np.diff(first, append=len(codes)))
+        starts = np.flatnonzero(place % PACKED == 0)
+        ends = pa.array(np.append(starts, len(codes)), pa.int32())
+        arrays = [pa.ListArray.from_arrays(ends, c) for c in batch.columns[1:]]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), *arrays], names=batch.schema.names)
+
+
 def _stateful(df: DataFrame, fold: type[_Fold], key: str, columns: list[str], order: list[str], out: str, ts: str | None, idle_ms: int | None, *args) -> DataFrame:
     names = list(dict.fromkeys([*columns, *order, *([ts] if ts else [])]))
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     kind = df.schema[key].dataType.simpleString()
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the only store with typed state
-    run = fold(key, names, kinds, [names.index(c) for c in order], names.index(ts) if ts else None, idle_ms)
+    places, packed = [names.index(c) for c in order], not ts and all(isinstance(df.schema[c].dataType, _PLAIN) for c in (key, *names))
+    if packed:
+        kept = [f"{key}_{i}" for i in range(len(names))]
+        df = df.select(key, *(F.col(c).alias(k) for c, k in zip(names, kept)))
+        df = df.mapInArrow(_pack, T.StructType([df.schema[key], *(T.StructField(k, T.ArrayType(df.schema[k].dataType)) for k in kept)]))
+        names = kept
+    run = fold(key, names, kinds, places, names.index(ts) if ts else None, idle_ms, packed)
     run.made = [c.split()[0] for c in out.split(", ")]
     run.args = args
     return df.groupBy(key).transformWithStateInPandas(run, f"{key} {kind}, {out}", "append", "eventTime" if ts else "none")
@@ -207,14 +249,18 @@ def ttl_cache(requests: DataFrame, key: str, ts_s: str, order: str, ttl: float,
 class _Tokens(_Fold):
     state = "text string, n int"
 
+    def init(self, handle):
+        super().init(handle)
+        self.buffer = StreamBuffer(self.args[0])
+
     def step(self, state, row, out):
-        text, n = state or ("", 0)
-        buf = StreamBuffer(self.args[0], text)
-        chunks = buf.add(row[0] or "")
+        self.buffer.text, n = state or ("", 0)
+        chunks = self.buffer.add(row[0] or "")
         if row[1]:
-            chunks += buf.close()
-        out += ((n + i, c) for i, c in enumerate(chunks))
-        return buf.text, n + len(chunks)
+            chunks += self.buffer.close()
+        if chunks:
+            out += ((n + i, c) for i, c in enumerate(chunks))
+        return self.buffer.text, n + len(chunks)
 
     def close(self, state=None, out=None):
         if state:
